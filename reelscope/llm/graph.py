@@ -1,7 +1,7 @@
 """Connected components of an edge table, by alternating large-star and small-star steps.
 
-Every step joins on a node id; a hub with very many links is a skewed join key, which adaptive execution splits. Each step is
-written to the shared folder, so a lost executor costs that step only. The driver sees one checksum a round.
+Every step joins on a node id; a hub with very many links is a skewed join key, which adaptive execution splits. Each round is
+written to the shared folder, so a lost executor costs that round only. The driver sees one count a round.
 """
 
 from __future__ import annotations
@@ -12,30 +12,34 @@ from pyspark.sql import functions as F
 from .shared import written
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """edges (u, v) with v < u. Large: each node's larger neighbours go to its least one. Small: its smaller ones do, and itself."""
-    if large:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        moved = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+def _large_star(edges: DataFrame) -> DataFrame:
+    """edges (u, v) with v < u: each node's larger neighbours go to the least of the node and its neighbours."""
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Each node and its smaller neighbours go to the least of these."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
     return moved.filter("u <> v").distinct()
 
 
+def _unsettled(edges: DataFrame) -> int:
+    """Nodes that have two parents, or a parent and a child; none once every component is one star."""
+    one, none = F.lit(1), F.lit(0)
+    ends = edges.select(F.col("u").alias("id"), one.alias("up"), none.alias("down")).unionByName(edges.select(F.col("v").alias("id"), none.alias("up"), one.alias("down")))
+    return ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or (up > 0 and down > 0)").count()
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, component (the least node id reachable) for every node of links (a, b). Nodes without a link are not in it.
 
     Links may repeat, go either way or join a node to itself; rows with a null end are no links.
     """
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("a is not null and b is not null and u <> v").distinct()
-    edges = written(edges, "links")
-    seen = None
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("a is not null and b is not null and u <> v")
     while True:
-        edges = written(_star(_star(edges, True), False), "links")
-        now = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).collect()[0])
-        if now == seen:
-            break
-        seen = now
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+        edges = written(_small_star(_large_star(edges)), "links", narrow=True)
+        if not _unsettled(edges):
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -10,9 +10,12 @@ Bands of `rows` coordinates are the candidates' keys. With 48 bands of 6 a pair
 probability (1 - 0.8 ** 6) ** 48, below one in two million. Documents with equal shingle sets form a class, and only one
 document of each class, the least id, goes on.
 
-Links are confirmed on whole sets and never all drawn: each band's bucket first links its members to one of them; then only
-members that are still in different components are paired, bucket by bucket, until no untested pair is left. So a group of m
-near copies costs about m tests, no bucket is capped, and no component is split.
+Links are confirmed on whole sets and never all drawn: each band's bucket first links its members to two of them, that of least id
+and the one that meets most others over all buckets, which is where a group of copies of one text has its centre; then only members that are still in different components are paired, bucket by bucket. So a group of m near
+copies costs about 2 m tests a bucket at most, no bucket is capped, and no component is split.
+
+Shingles that only one candidate document has bound what it can share with any other: a pair whose rest is too small for the
+similarity is never drawn. In a large group of near copies these are the copies that are too far from all others.
 """
 
 from __future__ import annotations
@@ -34,8 +37,6 @@ BANDS = 48
 ROWS = 6
 #: Links need this similarity, in hundredths.
 PERCENT = 80
-#: Rounds in which each bucket links to one member, before all pairs of different components in a bucket are tested.
-STAR_ROUNDS = 2
 
 _SEEDS = mixed(np.arange(1, 4097, dtype=np.uint64))
 
@@ -117,19 +118,13 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, shingles array<long>")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the similarity."""
+def measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b, common (shingles that both whole sets have) and linked for the pairs (a, b)."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("of_a"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("of_b"))
-    common = F.size(F.array_intersect("of_a", "of_b"))
-    return (
-        pairs.join(left, "a")
-        .join(right, "b")
-        .withColumn("common", common)
-        .filter(F.col("common") * 100 >= (F.size("of_a") + F.size("of_b") - F.col("common")) * percent)
-        .select("a", "b")
-        .distinct()
-    )
+    both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("of_a", "of_b")))
+    linked = F.col("common") * 100 >= (F.size("of_a") + F.size("of_b") - F.col("common")) * percent
+    return both.select("a", "b", F.col("common").cast("long").alias("common"), linked.alias("linked"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -144,45 +139,54 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, band
     marked = written(sketched(docs, size, bands, rows), "sketches")
     classes = written(marked.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")), "classes")
     members = classes.filter("rep is not null").select("rep", "n", F.posexplode("keys").alias("band", "key"))
-    shared = members.groupBy("band", "key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low <> high").select("band", "key")
-    members = written(members.join(shared, ["band", "key"]).withColumn("bucket", F.xxhash64("band", "key")).select("bucket", "rep", "n"), "buckets")
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = written(shingle_sets(docs.join(wanted, "doc_id", "left_semi"), size), "sets")
-
-    labels = members.select("rep").distinct().withColumn("comp", F.col("rep"))
-    links = tested = None
-    for turn in range(STAR_ROUNDS + 1):
-        placed = members.join(labels, "rep")
-        if turn:
-            mixed_up = placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("bucket")
-            placed = placed.join(mixed_up, "bucket")
-        if turn < STAR_ROUNDS:
-            first = F.struct(F.xxhash64("rep", F.lit(turn)) if turn else F.lit(0), F.col("rep"))
-            hub = placed.groupBy("bucket").agg(F.min_by(F.struct("rep", "n", "comp"), first).alias("hub"))
-            pairs = placed.join(hub, "bucket").select("rep", "n", "comp", F.col("hub.rep").alias("rep2"), F.col("hub.n").alias("n2"), F.col("hub.comp").alias("comp2"))
-        else:
-            apart = placed.select("bucket", "comp").distinct()
-            apart = apart.join(apart.withColumnRenamed("comp", "comp2"), "bucket").filter("comp < comp2")
-            other = placed.select("bucket", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
-            pairs = apart.join(placed, ["bucket", "comp"]).join(other, ["bucket", "comp2"])
-        pairs = pairs.filter((F.col("comp") != F.col("comp2")) & (F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent))
-        pairs = pairs.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        if turn and pairs.isEmpty():
-            if turn == STAR_ROUNDS:
-                break
-            continue
-        found = written(confirmed(pairs, sets, percent), "confirmed")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        of_node = components(links)
-        labels = written(members.select("rep").distinct().join(of_node, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("comp")), "components")
+    shared = members.groupBy("band", "key").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count(F.lit(1)).alias("m")).filter("low <> high").select("band", "key", "m")
+    members = written(members.join(shared, ["band", "key"]).select(F.xxhash64("band", "key").alias("bucket"), "rep", "n", "m"), "buckets", narrow=True)
+    met = members.groupBy("rep").agg(F.sum("m").alias("met"))
+    sets = written(shingle_sets(docs.join(met.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), size), "sets")
+    alone = sets.select("doc_id", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min("doc_id").alias("rep")).filter("c = 1")
+    alone = alone.groupBy("rep").agg(F.count(F.lit(1)).alias("alone"))
+    about = met.join(alone, "rep", "left").select("rep", "met", F.coalesce("alone", F.lit(0)).alias("alone"))
+    members = members.join(about, "rep").select("bucket", "rep", "n", (F.col("n") - F.col("alone")).alias("f"), "met")
+    members = written(members.filter(F.col("f") * (100 + percent) * 100 >= F.col("n") * percent * (100 + percent)), "buckets", narrow=True)
+    one = F.struct("rep", "n", "f", "met")
+    ranked = members.groupBy("bucket").agg(F.min(one).alias("least"), F.min_by(one, F.struct(-F.col("met"), F.col("rep"))).alias("other"))
+
+    may = lambda most: most * (100 + percent) >= (F.col("n") + F.col("n2")) * percent
+    pair = [F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")]
+    hubs = members.join(ranked, "bucket").select("rep", "n", "f", F.explode(F.array_distinct(F.array("least", "other"))).alias("hub"))
+    hubs = hubs.select("rep", "n", "f", F.col("hub.rep").alias("rep2"), F.col("hub.n").alias("n2"), F.col("hub.f").alias("f2"), F.col("hub.met").alias("met2"))
+    hubs = hubs.filter(F.col("rep") != F.col("rep2")).filter(may(F.least("f", "f2"))).distinct()
+    hubs = written(hubs, "hubs", narrow=True)
+    tested = written(measured(hubs.select(*pair).distinct(), sets, percent), "measured", narrow=True)
+    of_node = components(tested.filter("linked"))
+
+    # what each member shares with its hub, the most central one that it was tested against
+    own = hubs.select("rep", F.col("rep2").alias("hub"), "met2", *pair).join(tested, ["a", "b"]).groupBy("rep").agg(F.max_by(F.struct("hub", "common"), F.struct("met2", "hub")).alias("own"))
+    info = members.select("rep", "n", "f").distinct().join(own, "rep", "left").join(of_node, F.col("rep") == F.col("node"), "left")
+    info = info.select("rep", "n", "f", F.coalesce("own.hub", "rep").alias("hub"), F.coalesce("own.common", "n").alias("c"), F.coalesce("component", "rep").alias("comp"))
+    labelled = members.select("bucket", "rep").join(info, "rep")
+    split = labelled.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("bucket")
+    labelled = written(labelled.join(split, "bucket"), "split-buckets", narrow=True)
+    as_second = lambda df: df.select(*(F.col(c) if c in ("bucket", "shingle") else F.col(c).alias(f"{c}2") for c in df.columns))
+
+    # beyond what both share with the same hub, a pair shares only shingles that neither hub has
+    apart = labelled.select("bucket", "comp").distinct()
+    apart = apart.join(apart.withColumnRenamed("comp", "comp2"), "bucket").filter("comp < comp2")
+    by_hub = apart.join(labelled, ["bucket", "comp"]).join(as_second(labelled), ["bucket", "comp2"]).filter(may(F.least("f", "f2")) & ((F.col("hub") != F.col("hub2")) | may(F.least("c", "c2")))).select(*pair)
+    inside = labelled.select("rep", "n", "hub", "c", "comp").distinct()
+    rest = inside.join(sets.select(F.col("doc_id").alias("rep"), "shingles"), "rep").join(sets.select(F.col("doc_id").alias("hub"), F.col("shingles").alias("of_hub")), "hub")
+    rest = rest.select("rep", "n", "hub", "c", "comp", F.explode(F.array_except("shingles", "of_hub")).alias("shingle"))
+    rest = written(rest, "rests", narrow=True)
+    sharing = rest.join(as_second(rest), "shingle").filter((F.col("hub") == F.col("hub2")) & (F.col("comp") < F.col("comp2")))
+    by_rest = sharing.groupBy("rep", "rep2").agg(F.first("n").alias("n"), F.first("n2").alias("n2"), F.first(F.least("c", "c2")).alias("c"), F.count(F.lit(1)).alias("d")).filter(may(F.col("c") + F.col("d"))).select(*pair)
+    pairs = by_hub.unionByName(by_rest).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    more = written(measured(pairs, sets, percent).filter("linked"), "confirmed", narrow=True)
+    if not more.isEmpty():
+        of_node = components(more.select("a", "b").unionByName(of_node.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
     reps = classes.select("class", "rep")
-    joined = marked.select("doc_id", "n", "class").join(reps, "class", "left").join(labels, "rep", "left")
-    component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.coalesce("comp", "rep"))
+    joined = marked.select("doc_id", "n", "class").join(reps, "class", "left").join(of_node, F.col("rep") == F.col("node"), "left")
+    component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.coalesce("component", "rep"))
     return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 

@@ -30,11 +30,14 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: later reads neither repeat its work nor need the executors that did it."""
+def written(df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
+    """df as a Parquet table in the shared folder: later reads neither repeat its work nor need the executors that did it.
+
+    narrow: rows of a few numbers, of which four tasks a core make enough; spares small tables a file for each shuffle partition.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.coalesce(4 * spark.sparkContext.defaultParallelism) if narrow else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
