@@ -1,6 +1,55 @@
-STAGES = []
+"""From documents to token ids: quality, line dedup, near-dup, mixing, tokens. Each stage reads what the one before wrote."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from reelscope.llm import bpe, line_dedup, mixing, near_dup, quality
+from reelscope.llm.shared import table, written
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the classifier, learned from the labels outside the held-out fifth, accepts."""
+    weights = quality.fit_on_labels(spark, docs, sf_dir)
+    return quality.scored(docs, weights).filter(F.col("score") >= quality.ACCEPTED).select(*docs.columns)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that ten documents or more share; n_chars follows the text."""
+    kept = line_dedup.dropped_lines(docs)
+    kept = kept.withColumn("text", F.when(F.col("text").isNotNull(), F.col("kept_text"))).withColumn("n_chars", F.length("text").cast("long"))
+    return kept.select(*docs.columns)
+
+
+def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8), the one of least id.
+
+    Documents without words belong to no group. Rows of a null id stay.
+    """
+    found = near_dup.near_duplicates(docs)
+    gone = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: repeated where their source is short, left out where it is over its target."""
+    return mixing.mixed_documents(docs).select(*docs.columns)
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, n_tokens, ids and decoded_sha256 (of the bytes that the ids decode to)."""
+    return bpe.tokenized(docs, *bpe.public_vocabulary())
+
+
+STAGES = [("quality", quality_stage), ("line_dedup", line_stage), ("near_dup", near_dup_stage), ("mixing", mixing_stage), ("tokens", token_stage)]
+
+#: The classifier and the tokenizer have no SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

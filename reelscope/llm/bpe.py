@@ -156,6 +156,30 @@ def digests(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def tokenized(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
+    """doc_id, source, n_tokens, ids and decoded_sha256 for each row of docs (doc_id, source, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = coder(vocabulary, pattern)
+        for big in batches:
+            for at in range(0, big.num_rows, 500):
+                batch = big.slice(at, 500)
+                ids = [own.encode_one(text.as_py() or "") for text in batch.column("text")]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc_id"),
+                        batch.column("source"),
+                        pa.array([len(i) for i in ids], pa.int64()),
+                        pa.array(ids, pa.list_(pa.int32())),
+                        pa.array([hashlib.sha256(own.decode_bytes(i)).hexdigest() for i in ids], pa.string()),
+                    ],
+                    ["doc_id", "source", "n_tokens", "ids", "decoded_sha256"],
+                )
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "source", "text").mapInArrow(run, f"doc_id {kind}, source string, n_tokens long, ids array<int>, decoded_sha256 string")
+
+
 def rank_file(path: str) -> dict[bytes, int]:
     """The ranks of a .tiktoken file, to hold a vocabulary against."""
     with open(path, "rb") as lines:
