@@ -28,33 +28,27 @@ BLOCK = 16_384
 MOST_TASK_BYTES = 64_000_000
 
 
-def neighbour_max(raw: np.ndarray, window: int, ahead: bool) -> np.ndarray:
-    """For each row the largest of the `window` rows before it (ahead: after it), 0 where there is none. NaN wins over numbers."""
-    out = np.zeros_like(raw)
+def neighbour_max(raw: np.ndarray, window: int, ahead: bool, videos: np.ndarray | None = None) -> np.ndarray:
+    """For each row the largest of the `window` rows before it (ahead: after it), 0 where there is none. NaN wins over numbers.
+
+    videos: rows of another video do not count.
+    """
+    out = np.full(len(raw), -np.inf)
     for k in range(1, min(window, len(raw) - 1) + 1):
-        if ahead:
-            out[:-k] = np.maximum(out[:-k], raw[k:]) if k > 1 else raw[k:]
-        else:
-            out[k:] = np.maximum(out[k:], raw[:-k]) if k > 1 else raw[:-k]
+        here, there = (slice(None, -k), slice(k, None)) if ahead else (slice(k, None), slice(None, -k))
+        near = raw[there] if videos is None else np.where(videos[there] == videos[here], raw[there], -np.inf)
+        out[here] = np.maximum(out[here], near)
+    out[np.isneginf(out)] = 0.0
     return out
 
 
 def fused(main: np.ndarray, before: np.ndarray | None, after: np.ndarray | None, videos: np.ndarray | None, how: Retrieval) -> np.ndarray:
-    """Scores of frames in index order for one task, from raw similarities; videos: neighbours of another video do not count."""
-    core = np.maximum(main - how.threshold, 0.0) ** 2
-    bonus = np.ones_like(core)
+    """Scores of frames in index order for one task, from raw similarities."""
+    bonus = np.ones_like(main)
     for raw, weight, ahead in ((before, how.before, False), (after, how.after, True)):
-        if raw is None:
-            continue
-        if videos is None:
-            best = neighbour_max(raw, how.window, ahead)
-        else:
-            best = np.zeros_like(raw)
-            edges = np.flatnonzero(np.append(True, videos[1:] != videos[:-1]))
-            for a, b in zip(edges, np.append(edges[1:], len(raw)), strict=True):
-                best[a:b] = neighbour_max(raw[a:b], how.window, ahead)
-        bonus += weight * np.maximum(best - how.threshold, 0.0)
-    return core * bonus
+        if raw is not None:
+            bonus += weight * np.maximum(neighbour_max(raw, how.window, ahead, videos) - how.threshold, 0.0)
+    return np.maximum(main - how.threshold, 0.0) ** 2 * bonus
 
 
 def _task_rows(tasks: DataFrame, most: int) -> Iterator[list[dict]]:
@@ -106,7 +100,7 @@ def scored_blocks(frames: DataFrame, tasks: list[dict], how: Retrieval) -> DataF
     here = F.floor(F.col("idx") / BLOCK)
     near = F.array_distinct(F.array(here, F.floor((F.col("idx") - how.window) / BLOCK), F.floor((F.col("idx") + how.window) / BLOCK)))
     columns = ["idx", "embedding"] + ["video_id"] * (how.neighbours == "video")
-    placed = frames.filter(F.col("embedding").isNotNull()).select(F.explode(near).cast("long").alias("block"), *columns)
+    placed = frames.filter(F.col("embedding").isNotNull()).select(F.explode(near.cast("array<bigint>")).alias("block"), *columns)
     return placed.groupBy("block").applyInArrow(score, "task_id string, idx long, score double")
 
 
@@ -142,10 +136,14 @@ def fused_by_windows(frames: DataFrame, tasks: DataFrame, how: Retrieval = Retri
     raw = frames.join(F.broadcast(q), F.lit(True)).select(
         "task_id", *[c for c in ("video_id",) if how.neighbours == "video"], "idx", dot(F.col("embedding"), F.col("main_vec")).alias("main"), dot(F.col("embedding"), F.col("b")).alias("rb"), dot(F.col("embedding"), F.col("a")).alias("ra")
     )
-    by = ["task_id"] + ["video_id"] * (how.neighbours == "video")
-    w = Window.partitionBy(*by).orderBy("idx")
-    best = lambda c, a, b: F.coalesce(F.max(c).over(w.rowsBetween(a, b)), F.lit(0.0))
-    pooled = raw.withColumn("max_before", best("rb", -how.window, -1)).withColumn("max_after", best("ra", 1, how.window))
+    w = Window.partitionBy("task_id").orderBy("idx")
+
+    def best(c: str, ahead: bool) -> F.Column:
+        shift = F.lead if ahead else F.lag
+        near = [F.when(shift("video_id", k).over(w) == F.col("video_id"), shift(c, k).over(w)) if how.neighbours == "video" else shift(c, k).over(w) for k in range(1, how.window + 1)]
+        return F.coalesce(F.array_max(F.array(*near)), F.lit(0.0))
+
+    pooled = raw.withColumn("max_before", best("rb", False)).withColumn("max_after", best("ra", True))
     over = lambda c: F.greatest(F.col(c) - how.threshold, F.lit(0.0))
     core = over("main") * over("main")
     return pooled.select("task_id", "idx", "main", "max_before", "max_after", (core * (1 + how.before * over("max_before") + how.after * over("max_after"))).alias("score"))

@@ -71,11 +71,20 @@ t AS (SELECT CAST(item_id AS VARCHAR) AS task_id, CAST(item_id AS INT) AS ordina
       JOIN embeddings a ON a.vec_id = (item_id * 13 + 5) % 500),
 r AS (SELECT task_id, ordinal, vec_id AS idx, label, list_dot_product(embedding::DOUBLE[], mv) AS main,
              list_dot_product(embedding::DOUBLE[], bv) AS rb, list_dot_product(embedding::DOUBLE[], av) AS ra FROM t, embeddings),
-p AS (SELECT *, coalesce(max(rb) OVER (PARTITION BY {by} ORDER BY idx ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING), 0) AS mb,
-             coalesce(max(ra) OVER (PARTITION BY {by} ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND 6 FOLLOWING), 0) AS ma FROM r),
+p AS (SELECT *, coalesce(max(rb) OVER (PARTITION BY task_id ORDER BY idx ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING), 0) AS mb,
+             coalesce(max(ra) OVER (PARTITION BY task_id ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND 6 FOLLOWING), 0) AS ma FROM r),
 s AS (SELECT *, greatest(main - 0.24::DOUBLE, 0) * greatest(main - 0.24::DOUBLE, 0)
              * (1 + 0.1::DOUBLE * greatest(mb - 0.24::DOUBLE, 0) + 0.1::DOUBLE * greatest(ma - 0.24::DOUBLE, 0)) AS score FROM p)"""
-_GLOBAL, _BY_VIDEO = _TASK_CTE.format(by="task_id"), _TASK_CTE.format(by="task_id, label")
+
+
+def _same_video(value: str, shift: str) -> str:
+    """The largest of the six rows before or after that are of the same video."""
+    rows = ", ".join(f"CASE WHEN {shift}(label, {k}) OVER w = label THEN {shift}({value}, {k}) OVER w END" for k in range(1, 7))
+    return f"coalesce(greatest({rows}), 0)"
+
+
+_GLOBAL = _TASK_CTE
+_BY_VIDEO = _TASK_CTE[: _TASK_CTE.index("p AS")] + f"p AS (SELECT *, {_same_video('rb', 'lag')} AS mb, {_same_video('ra', 'lead')} AS ma FROM r WINDOW w AS (PARTITION BY task_id ORDER BY idx))" + _TASK_CTE[_TASK_CTE.index(",\ns AS") :]
 _TOP_CTE = f"{_GLOBAL}, k AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY score DESC, idx DESC) AS rank FROM s)"
 
 
@@ -245,7 +254,7 @@ def metadata_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey").cast("string")
     entry = F.expr("s_suppkey % 4")
     text = (
-        F.when(entry == 0, F.concat(F.lit('{"video_id":"a'), k, F.lit('","frame_ms":'), k, F.lit("0}")))
+        F.when(entry == 0, F.concat(F.lit('{"video_id":"a'), k, F.lit('","frame_ms":'), (F.col("s_suppkey") * 10).cast("string"), F.lit("}")))
         .when(entry == 1, F.concat(F.lit('{"video":"b'), k, F.lit('","frame":'), k, F.lit(',"tar_name":"t"}')))
         .when(entry == 2, F.lit("{}"))
         .otherwise(F.concat(F.lit('["c","frame_'), F.when(F.col("s_suppkey") % 8 == 3, F.lpad(k, 8, "0")).otherwise(F.lit("bad")), F.lit('.jpg"]')))
