@@ -63,7 +63,9 @@ def samples(docs: DataFrame) -> DataFrame:
     digest = F.sha2(F.concat(F.lit("random/"), F.col("id").cast("string")).cast("binary"), 256)
     plain = F.regexp_replace(F.base64(F.unhex(digest)), "=+$", "")
     made = spark.range(SAMPLE_RANDOM).select(F.explode(F.array(digest, plain, F.upper(F.regexp_replace(plain, "[+/]", "")))).alias("text"), F.lit(1).alias("label"))
-    some = docs.select("text", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("turn")).filter("text is not null").orderBy("turn").limit(SAMPLE_DOCS)
+    turn = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    drawn = docs.select("doc_id", turn.alias("turn")).orderBy("turn").limit(SAMPLE_DOCS)  # ids only; their texts stay where they are
+    some = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(drawn.select("doc_id").distinct()), "doc_id", "left_semi")
     words = F.filter(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), lambda w: F.regexp_like(w, F.lit("^[A-Za-z]{2,14}$")))
     runs = F.transform(
         F.sequence(F.lit(0), F.size("w") - 3),
