@@ -1,4 +1,4 @@
-"""What a run plugs in: query parsers, encoders, text readers, frame decoders; each works on batches in the workers."""
+"""What a run plugs in for its tasks: query parsers and encoders; each works on batches in the workers."""
 
 from __future__ import annotations
 
@@ -25,16 +25,6 @@ class Encoder(Protocol):
         """A vector for each text or image."""
 
 
-class TextReader(Protocol):
-    def read(self, images: list[bytes]) -> list[list[str]]:
-        """The texts seen in each image."""
-
-
-class FrameDecoder(Protocol):
-    def frames(self, path: str) -> Iterator[tuple[int, bytes]]:
-        """(index, image) of a video's frames, until one cannot be read."""
-
-
 def parsed_queries(tasks: DataFrame, parser: QueryParser) -> DataFrame:
     """task_id and the parts of each task (task_id, description). A query that fails, or raises, is its own main shot without parts."""
 
@@ -58,6 +48,20 @@ def quote_parsed(tasks: DataFrame) -> DataFrame:
     return tasks.select("task_id", F.col("description").alias("original_query"), none.alias("context_before"), F.col("description").alias("main_shot"), none.alias("context_after"), quoted(F.col("description")).alias("ocr_texts"))
 
 
+def task_vectors(parsed: DataFrame, encoder: Encoder) -> DataFrame:
+    """task_id, main_vec, before_vecs, after_vecs, ocr_texts of parsed queries. The main vector is of the query as it was asked, else of its main shot."""
+    none = F.array().cast("array<array<float>>")
+    texts = parsed.select(
+        "task_id", "ocr_texts", F.explode(F.flatten(F.array(
+            F.array(F.struct(F.lit(0).alias("part"), F.lit(0).alias("place"), F.coalesce("original_query", "main_shot", F.lit("")).alias("text"))),
+            F.transform("context_before", lambda t, i: F.struct(F.lit(1).alias("part"), i.alias("place"), t.alias("text"))),
+            F.transform("context_after", lambda t, i: F.struct(F.lit(2).alias("part"), i.alias("place"), t.alias("text"))),
+        ))).alias("t")).select("task_id", "ocr_texts", "t.*")
+    made = encoded(texts, "text", "vec", encoder).groupBy("task_id").agg(F.first("ocr_texts").alias("ocr_texts"), F.sort_array(F.collect_list(F.struct("part", "place", "vec"))).alias("all"))
+    of = lambda part: F.transform(F.filter("all", lambda x: x["part"] == part), lambda x: x["vec"])
+    return made.select("task_id", F.get(of(0), F.lit(0)).alias("main_vec"), F.coalesce(of(1), none).alias("before_vecs"), F.coalesce(of(2), none).alias("after_vecs"), "ocr_texts")
+
+
 def encoded(df: DataFrame, column: str, into: str, encoder: Encoder) -> DataFrame:
     """df with the encoder's vector of a column, scaled to unit length."""
 
