@@ -2,9 +2,8 @@
 
 Frames are scored in blocks of the index. A block carries `window` rows of its neighbours on both sides, so its scores need nothing
 else; the product with the task vectors, the neighbours' maxima and the block's best rows are array work in one Arrow call, and only
-candidates leave it: at most `candidates` rows a task and block, and none whose score is 0. Rows of score 0 fill a list that is too
-short, from the end of the index; they come from the last `candidates` frames alone. So what is shuffled does not grow with
-frames times tasks.
+candidates leave it: at most `candidates` rows a task and block, and of score 0 only those of the last `candidates` frames, which
+fill a list that is too short. So what is shuffled does not grow with frames times tasks, and ranking takes one exchange.
 
 The task vectors go to every worker. Their number is counted first: beyond `MOST_TASK_BYTES` the tasks are scored in turn, in slices of
 that size.
@@ -66,8 +65,8 @@ def _task_rows(tasks: DataFrame, most: int) -> Iterator[list[dict]]:
         yield part
 
 
-def scored_blocks(frames: DataFrame, tasks: list[dict], how: Retrieval) -> DataFrame:
-    """task_id, idx, score: each block's best rows above 0 (or NaN) for each task."""
+def scored_blocks(frames: DataFrame, tasks: list[dict], how: Retrieval, tail: int) -> DataFrame:
+    """task_id, idx, score: each block's best rows for each task, of those above 0 (or NaN) and those from index `tail` on."""
     width = len(tasks[0]["main_vec"])
     ids = [t["task_id"] for t in tasks]
     stack = lambda name: np.array([t[name] if t[name] is not None else [0.0] * width for t in tasks], np.float64)
@@ -82,13 +81,14 @@ def scored_blocks(frames: DataFrame, tasks: list[dict], how: Retrieval) -> DataF
         vectors = np.asarray(flat.flatten() if not isinstance(flat, pa.ChunkedArray) else flat.combine_chunks().flatten(), np.float64).reshape(len(idx), -1)
         videos = group.column("video_id").to_pandas().to_numpy() if how.neighbours == "video" else None
         mine = idx // BLOCK == block
+        always = mine & (idx >= tail)
         out_task, out_idx, out_score = [], [], []
         for k, task in enumerate(ids):
             m = vectors @ main[k]
-            if not (np.isnan(m).any() or (m[mine] > how.threshold).any()) and not (np.isnan(before[k]).any() or np.isnan(after[k]).any()):
+            if not always.any() and not (np.isnan(m).any() or (m[mine] > how.threshold).any()) and not (np.isnan(before[k]).any() or np.isnan(after[k]).any()):
                 continue
             s = fused(m, vectors @ before[k] if has_before[k] else None, vectors @ after[k] if has_after[k] else None, videos, how)
-            at = np.flatnonzero(mine & ~(s <= 0))
+            at = np.flatnonzero(always | (mine & ~(s <= 0)))
             if len(at) > how.candidates:
                 order = np.lexsort((-idx[at], -np.where(np.isnan(s[at]), np.inf, s[at])))
                 at = at[order[: how.candidates]]
@@ -110,19 +110,13 @@ def top_frames(frames: DataFrame, tasks: DataFrame, how: Retrieval = Retrieval()
     frames: idx (0, 1, ... in time order), embedding, and video_id if neighbours are by video. tasks: task_id, main_vec, before_vecs,
     after_vecs; only the first vector of either list counts, and a task without main_vec is left out.
     """
-    tail = [r[0] for r in frames.filter(F.col("embedding").isNotNull()).select("idx").orderBy(F.col("idx").desc()).limit(how.candidates).collect()]
-    parts = []
-    for rows in _task_rows(tasks, MOST_TASK_BYTES):
-        found = scored_blocks(frames, rows, how)
-        names = frames.sparkSession.createDataFrame([(r["task_id"],) for r in rows], "task_id string")
-        fill = names.withColumn("idx", F.explode(F.lit(tail).cast("array<bigint>")))
-        parts.append(found.unionByName(fill.withColumn("score", F.lit(0.0)).select("task_id", "idx", "score")))
-    if not parts:
+    last = [r[0] for r in frames.filter(F.col("embedding").isNotNull()).select("idx").orderBy(F.col("idx").desc()).limit(how.candidates).collect()]
+    every = None
+    for rows in _task_rows(tasks, MOST_TASK_BYTES) if last else ():
+        part = scored_blocks(frames, rows, how, last[-1])
+        every = part if every is None else every.unionByName(part)
+    if every is None:
         return frames.sparkSession.createDataFrame([], "task_id string, rank int, idx long, score double")
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    every = every.groupBy("task_id", "idx").agg(F.max("score").alias("score"))
     order = Window.partitionBy("task_id").orderBy(F.col("score").desc(), F.col("idx").desc())
     return every.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= how.candidates).select("task_id", "rank", "idx", "score")
 

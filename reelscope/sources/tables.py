@@ -66,6 +66,15 @@ def write_frames(frames: DataFrame, path: str) -> None:
     frames.repartition("video_id").sortWithinPartitions("video_id", "idx").write.mode("overwrite").partitionBy("video_id").parquet(path)
 
 
+def first_store(spark: SparkSession, places: list[str]) -> str:
+    """The first of the places that exists; an error if none does."""
+    for place in places:
+        path = spark._jvm.org.apache.hadoop.fs.Path(place)
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            return place
+    raise FileNotFoundError(f"no frame store in {places}")
+
+
 def read_frames(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

@@ -50,6 +50,9 @@ def test_store_round_trip(spark, tmp_path):
     files = spark.createDataFrame([("b", "frame_00000040.webp", [1.0]), ("a", "frame_00000080.webp", [2.0]), ("a", "frame_00000000.webp", [3.0])], "video_id string, frame_file string, embedding array<float>")
     frames = tables.indexed(files)
     tables.write_frames(frames, str(tmp_path / "store"))
+    assert tables.first_store(spark, [str(tmp_path / "none"), str(tmp_path / "store")]) == str(tmp_path / "store")
+    with pytest.raises(FileNotFoundError):
+        tables.first_store(spark, [str(tmp_path / "none")])
     got = tables.read_frames(spark, str(tmp_path / "store")).orderBy("idx").collect()
     assert [(r["idx"], r["video_id"], r["frame_ms"]) for r in got] == [(0, "a", 0), (1, "a", 80), (2, "b", 40)]
 
