@@ -1,10 +1 @@
-"""Operators for preparing training corpora. Nothing else in the package imports this subpackage.
-
-Workers get the functions by value, so a job runs wherever its driver can import the package.
-"""
-
-from pyspark import cloudpickle
-
-import reelscope
-
-cloudpickle.register_pickle_by_value(reelscope)
+"""Operators for preparing training corpora. Nothing else in the package imports this subpackage."""

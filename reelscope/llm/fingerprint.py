@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import in_arrow, table
 from .words import mixed
 
 PRIMES = (2147483647, 2147483629)
@@ -229,7 +229,7 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "common_prefix"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64()]
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return neighbours(ids).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, common_prefix long")
+    return in_arrow(neighbours(ids), run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, common_prefix long")
 
 
 def op7_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

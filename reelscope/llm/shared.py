@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import ctypes
+import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,10 +16,16 @@ from pyspark.sql import functions as F
 
 #: The ASCII white space that separates words in every operator: space and U+0009 to U+000D.
 WHITE = " \t\n\x0b\f\r"
+#: Rows that go to a worker at once.
+BATCH = 1000
 #: A word, as Java and Python regular expressions write it.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Paths of the tables of written().
+_written: list[str] = []
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -25,7 +34,9 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names; where it is unset (a local test) a temporary one, kept for the session."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="reelscope-")
+        own = tempfile.mkdtemp(prefix="reelscope-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        found = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
@@ -37,10 +48,37 @@ def written(df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    _written.append(path)
     (df.coalesce(4 * spark.sparkContext.defaultParallelism) if narrow else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_written(spark: SparkSession) -> None:
+    """Deletes the tables that this process wrote to the shared folder. Only for when no result that reads them is still wanted."""
+    for path in _written:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    _written.clear()
+
+
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow(run, schema) in batches of at most BATCH rows, whose texts both sides hold; a worker returns its memory after each task.
+
+    The batch size is a setting of the session, which this lowers.
+    """
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return df.mapInArrow(whole, schema)
+
+
 def crc32_of_id(column: str = "doc_id") -> F.Column:
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
