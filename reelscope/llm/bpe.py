@@ -15,16 +15,19 @@ import hashlib
 import os
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import in_arrow, table
 
-#: Matches kept by a worker, at most; then it starts anew.
-KEPT = 400_000
+#: Matches kept by a worker, at most; the first that it meets, among which the frequent ones are.
+KEPT = 300_000
 #: Matches longer than this many code points are not kept.
 LONG = 64
+#: A worker forgets what it keeps when more than a third of so many matches were not among it.
+WATCHED = 2_000_000
 
 
 def byte_characters() -> dict[str, int]:
@@ -46,29 +49,46 @@ class Coder:
         back = byte_characters()
         special = {token.content for token in self.tokenizer.get_added_tokens_decoder().values()}
         self.bytes_of = {i: bytes(back[c] for c in token) for token, i in self.tokenizer.get_vocab().items() if token not in special}
+        self.spelled = [str(i).encode() for i in range(self.tokenizer.get_vocab_size() + 1)]
+        self.bytes_of_spelled = {self.spelled[i]: b for i, b in self.bytes_of.items()} | {b"": b""}
         self.cut = regex.compile(pattern).findall
-        self.kept: dict[str, list[int]] = {}
+        self.kept: dict[str, bytes] = {}
+        self.met = self.missed = 0
+
+    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
+        ids = (x.ids for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False))
+        found = {p: b" ".join([self.spelled[i] for i in own]) for p, own in zip(pieces, ids, strict=True)}
+        self.missed += len(pieces)
+        if self.met > WATCHED:
+            if self.missed > self.met // 3:
+                self.kept.clear()
+            self.met = self.missed = 0
+        if len(self.kept) + len(found) <= KEPT:
+            self.kept.update((p, x) for p, x in found.items() if len(p) <= LONG)
+        return found
+
+    def spell(self, text: str) -> bytes:
+        """The ids in decimal, joined by one space."""
+        pieces = self.cut(text)
+        parts = list(map(self.kept.get, pieces))
+        self.met += len(parts)
+        if None in parts:
+            new = [k for k, x in enumerate(parts) if x is None]
+            found = self._learn(list({pieces[k] for k in new}))
+            for k in new:
+                parts[k] = found[pieces[k]]
+        return b" ".join(parts)
 
     def encode_one(self, text: str) -> list[int]:
-        pieces, kept = self.cut(text), self.kept
-        new = {p for p in pieces if p not in kept}
-        if new:
-            if len(kept) + len(new) > KEPT:
-                kept.clear()
-                new = set(pieces)
-            new = list(new)
-            kept.update(zip(new, (x.ids for x in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        ids: list[int] = []
-        for p in pieces:
-            ids += kept[p]
-        for p in new:
-            if len(p) > LONG:
-                del kept[p]
-        return ids
+        return [int(x) for x in self.spell(text).split()]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [self.encode_one(t) for t in texts]
 
+    def decode_spelled(self, ids: bytes) -> bytes:
+        of = self.bytes_of_spelled
+        return b"".join([of[x] for x in ids.split(b" ")])
+
     def decode_bytes(self, ids: list[int]) -> bytes:
         return b"".join([self.bytes_of[i] for i in ids])
 
@@ -122,7 +142,7 @@ def encoded(docs: DataFrame, vocabulary: str, pattern: str, offsets: bool = Fals
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, ids array<int>" + ", starts array<int>, ends array<int>" * offsets
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return in_arrow(docs.select("doc_id", "text"), run, schema)
 
 
 def decoded(ids: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
@@ -134,7 +154,7 @@ def decoded(ids: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "text": pa.array([own.decode(i or []) for i in batch.column("ids").to_pylist()], pa.string())})
 
     kind = ids.schema["doc_id"].dataType.simpleString()
-    return ids.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, text string")
+    return in_arrow(ids.select("doc_id", "ids"), run, f"doc_id {kind}, text string")
 
 
 def digests(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
@@ -142,18 +162,17 @@ def digests(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(vocabulary, pattern)
-        written_as = {i: str(i).encode() for i in own.bytes_of}
         for batch in batches:
             counts, of_ids, of_texts = [], [], []
             for text in batch.column("text"):
-                ids = own.encode_one(text.as_py() or "")
-                counts.append(len(ids))
-                of_ids.append(hashlib.sha256(b" ".join([written_as[i] for i in ids])).hexdigest())
-                of_texts.append(hashlib.sha256(own.decode_bytes(ids)).hexdigest())
+                ids = own.spell(text.as_py() or "")
+                counts.append(ids.count(b" ") + bool(ids))
+                of_ids.append(hashlib.sha256(ids).hexdigest())
+                of_texts.append(hashlib.sha256(own.decode_spelled(ids)).hexdigest())
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(of_ids, pa.string()), "decoded_sha256": pa.array(of_texts, pa.string())})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return in_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def tokenized(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
@@ -164,20 +183,21 @@ def tokenized(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
         for big in batches:
             for at in range(0, big.num_rows, 500):
                 batch = big.slice(at, 500)
-                ids = [own.encode_one(text.as_py() or "") for text in batch.column("text")]
+                spelled = [own.spell(text.as_py() or "") for text in batch.column("text")]
+                ids = [np.array(x.split(), np.int32) for x in spelled]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id"),
                         batch.column("source"),
                         pa.array([len(i) for i in ids], pa.int64()),
                         pa.array(ids, pa.list_(pa.int32())),
-                        pa.array([hashlib.sha256(own.decode_bytes(i)).hexdigest() for i in ids], pa.string()),
+                        pa.array([hashlib.sha256(own.decode_spelled(x)).hexdigest() for x in spelled], pa.string()),
                     ],
                     ["doc_id", "source", "n_tokens", "ids", "decoded_sha256"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "source", "text").mapInArrow(run, f"doc_id {kind}, source string, n_tokens long, ids array<int>, decoded_sha256 string")
+    return in_arrow(docs.select("doc_id", "source", "text"), run, f"doc_id {kind}, source string, n_tokens long, ids array<int>, decoded_sha256 string")
 
 
 def rank_file(path: str) -> dict[bytes, int]:
