@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .cuckoo import CuckooFilter, Full
-from .shared import table, written
+from .shared import in_arrow, table, written
 
 STRIPPED = b" \t\n\x0b\f\r"
 #: The query's bound.
@@ -55,6 +55,23 @@ def _halves(keys: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
 
 
+class KeySet:
+    """128-bit keys as two sorted arrays: 16 bytes a key."""
+
+    def __init__(self, hi: np.ndarray, lo: np.ndarray):
+        order = np.lexsort((lo, hi))
+        self.hi, self.lo = hi[order], lo[order]
+
+    def contains(self, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+        first, last = np.searchsorted(self.hi, hi, "left"), np.searchsorted(self.hi, hi, "right")
+        out = np.zeros(len(hi), bool)
+        one = last - first == 1
+        out[one] = self.lo[first[one]] == lo[one]
+        for k in np.flatnonzero(last - first > 1):
+            out[k] = lo[k] in self.lo[first[k] : last[k]]
+        return out
+
+
 def line_counts(docs: DataFrame) -> DataFrame:
     """hi, lo, n: the documents (rows of docs) that have the line key."""
 
@@ -68,7 +85,7 @@ def line_counts(docs: DataFrame) -> DataFrame:
                 part = both[at : at + 50_000]
                 yield pa.RecordBatch.from_arrays([pa.array(part[:, 0].copy()), pa.array(part[:, 1].copy())], ["hi", "lo"])
 
-    return docs.select("text").mapInArrow(run, "hi long, lo long").groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n"))
+    return in_arrow(docs.select("text"), run, "hi long, lo long").groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _shard() -> F.Column:
@@ -147,8 +164,7 @@ class LineIndex:
         exact = None
         if frequent.count() <= most_keys:
             arrow = frequent.toArrow()
-            both = np.stack([arrow.column(c).to_numpy() for c in ("hi", "lo")], axis=1).astype(np.int64)
-            exact = frozenset(row.tobytes() for row in both)
+            exact = KeySet(*(arrow.column(c).to_numpy().astype(np.int64) for c in ("hi", "lo")))
         shared = spark.sparkContext.broadcast((filters if sent else None, exact))
         base = docs.drop("n_lines", "n_dropped", "kept_text")
         columns = base.columns
@@ -188,16 +204,19 @@ class LineIndex:
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 known = shared.value[1]
                 for big in batches:
-                    for at in range(0, big.num_rows, 256):
-                        batch = big.slice(at, 256)
+                    for start in range(0, big.num_rows, 256):
+                        batch = big.slice(start, 256)
                         of_rows = [[line_key(x) for x in (t.as_py() or "").encode().split(b"\n")] for t in batch.column("text")]
                         flat = [k for keys in of_rows for k in keys]
-                        hit = passing(flat)
-                        gone = [bool(p) and k in known for p, k in zip(hit, flat, strict=True)]
+                        gone = passing(flat)
+                        at = np.flatnonzero(gone)
+                        both = _halves([flat[k] for k in at])
+                        gone[at] = known.contains(both[:, 0], both[:, 1])
+                        gone = gone.tolist()
                         ends = np.cumsum([len(keys) for keys in of_rows])
                         yield drop(batch, lambda row, lines, gone=gone, ends=ends: gone[ends[row] - len(lines) : ends[row]])
 
-            return base.mapInArrow(run, out_schema)
+            return in_arrow(base, run, out_schema)
 
         def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -216,12 +235,12 @@ class LineIndex:
                 lists = batch.column("line_gone")
                 yield drop(batch, lambda row, lines, lists=lists: [bool(k) and k in gone for gone in [set(lists[row].as_py() or ())] for k in map(line_key, lines)])
 
-        found = base.select("text").mapInArrow(candidates, "line_text binary, hi long, lo long").distinct()
+        found = in_arrow(base.select("text"), candidates, "line_text binary, hi long, lo long").distinct()
         key = F.udf(lambda hi, lo: np.array([hi, lo], np.int64).tobytes(), "binary")
         gone = found.join(frequent, ["hi", "lo"], "left_semi").groupBy("line_text").agg(F.collect_list(key("hi", "lo")).alias("line_gone"))
         digest = F.udf(lambda t: xxhash.xxh3_128_digest((t or "").encode()), "binary")
         joined = base.withColumn("line_text", digest("text")).join(gone, "line_text", "left").drop("line_text")
-        return joined.mapInArrow(by_list, out_schema)
+        return in_arrow(joined, by_list, out_schema)
 
 
 def dropped_lines(docs: DataFrame, at_least: int = AT_LEAST) -> DataFrame:
