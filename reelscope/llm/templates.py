@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import html as markup
 import re
+from collections import Counter
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table, written
+from .shared import in_arrow, table, written
 
 #: Pages that must share a class, at least, and their least share of a host's pages.
 LEAST_PAGES, LEAST_SHARE = 3, 0.5
@@ -34,6 +35,9 @@ LEAST_FIXED = 10
 #: Share of a host's text that the main slot must hold.
 MOST_TEXT = 0.6
 
+#: Elements nested deeper than this have the path of the last one above; their text is extracted all the same.
+DEEPEST = 100
+
 #: Fixed values of the HTML vocabulary.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -64,12 +68,17 @@ class Node:
         self.tag, self.path, self.skipped, self.main = tag, path, skipped, main
 
 
-def blocks(html: str) -> Iterator[tuple[str | None, list[Node], bool]]:
-    """In page order: (None, open nodes, skipped) for each element that opens, (text, open nodes, skipped) for each block of text."""
+def blocks(html: str) -> Iterator[tuple[str | None, Node]]:
+    """In page order: (None, element) for each element that opens, (text, innermost element) for each block of text."""
     stack = [Node("", "", False, False)]
+    is_open: Counter[str] = Counter()
     pieces: list[str] = []
     at, end = 0, len(html)
 
+    def close(k: int) -> None:
+        is_open.subtract(node.tag for node in stack[k:])
+        del stack[k:]
+
     def flush() -> str:
         text = " ".join(markup.unescape("".join(pieces)).split())
         pieces.clear()
@@ -91,18 +100,19 @@ def blocks(html: str) -> Iterator[tuple[str | None, list[Node], bool]]:
                 pieces.append(" ")
             continue
         if text := flush():
-            yield text, stack, stack[-1].skipped
+            yield text, stack[-1]
         if m["end"] or m["end2"]:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if is_open[tag] > 0 else ():
                 if stack[k].tag == tag:
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k].tag in ("body", "html"):
                     break
             continue
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag == "p" or stack[k].tag in CLOSES.get(tag, ()):
-                del stack[k:]
+        ends = ("p", *CLOSES.get(tag, ()))
+        for k in range(len(stack) - 1, 0, -1) if any(is_open[x] > 0 for x in ends) else ():
+            if stack[k].tag in ends:
+                close(k)
             elif stack[k].tag in LIMITS:
                 break
         top = stack[-1]
@@ -111,15 +121,16 @@ def blocks(html: str) -> Iterator[tuple[str | None, list[Node], bool]]:
         main = top.main or tag in ("article", "main") or names.get("role", "").lower() in ("main", "article")
         skipped = top.skipped or tag in SKIPPED or bool(label and BOILER.search(label)) or (not top.main and (tag == "header" or bool(label and HEADER.search(label))))
         name = tag + "".join(f".{re.sub(r'[0-9]+', '', x)}" for x in names.get("class", "").split()[:2]) + (f"#{re.sub(r'[0-9]+', '', names['id'])}" if names.get("id") else "")
-        node = Node(tag, f"{top.path}>{name}", skipped, main)
-        yield None, [*stack, node], skipped
+        node = Node(tag, f"{top.path}>{name}" if len(stack) <= DEEPEST else top.path, skipped, main)
+        yield None, node
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-            at = close.end() if close else end
+            ended = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
+            at = ended.end() if ended else end
         elif tag not in VOID:
             stack.append(node)
+            is_open[tag] += 1
     if text := flush():
-        yield text, stack, stack[-1].skipped
+        yield text, stack[-1]
 
 
 def host_of(url: str | None) -> str:
@@ -145,8 +156,8 @@ def token_vectors(pages: DataFrame) -> DataFrame:
         for batch in batches:
             for page, url, html in zip(batch.column("page_id").to_pylist(), batch.column("url").to_pylist(), batch.column("html"), strict=True):
                 own: dict[str, list[int]] = {"": [1, 0, -1, 0]}
-                for text, nodes, skipped in blocks(html.as_py() or ""):
-                    found = own.setdefault(nodes[-1].path, [0, 0, -1, int(skipped)])
+                for text, node in blocks(html.as_py() or ""):
+                    found = own.setdefault(node.path, [0, 0, -1, int(node.skipped)])
                     if text is None:
                         found[0] += 1
                     else:
@@ -168,7 +179,7 @@ def token_vectors(pages: DataFrame) -> DataFrame:
         if seen:
             yield emit()
 
-    sums = pages.select("page_id", "url", "html").mapInArrow(run, "host string, path string, pages long, count long, v1 long, v2 long, chars long, low long, high long, skipped long")
+    sums = in_arrow(pages.select("page_id", "url", "html"), run, "host string, path string, pages long, count long, v1 long, v2 long, chars long, low long, high long, skipped long")
     return sums.groupBy("host", "path").agg(*(F.sum(c).alias(c) for c in ("pages", "count", "v1", "v2", "chars")), F.min("low").alias("low"), F.max("high").alias("high"), F.max("skipped").alias("skipped"))
 
 
@@ -210,12 +221,12 @@ def templates(pages: DataFrame) -> DataFrame:
 def main_text(html: str, main: str = "", fixed: frozenset[str] = frozenset()) -> str:
     """The blocks of a page's main slot, joined by newlines; main and fixed come from the host's template, if it has one."""
     own, body, article = [], [], []
-    for text, nodes, skipped in blocks(html):
-        if text is None or skipped:
+    for text, node in blocks(html):
+        if text is None or node.skipped:
             continue
-        path = nodes[-1].path
+        path = node.path
         body.append(text)
-        if nodes[-1].main:
+        if node.main:
             article.append(text)
         if main and (path == main or path.startswith(f"{main}>")) and path not in fixed:
             own.append(text)
@@ -238,7 +249,7 @@ def extracted(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return placed.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    return in_arrow(placed, run, f"page_id {kind}, url string, text string, n_chars long")
 
 
 def op10_template_text(spark: SparkSession, sf_dir: str) -> DataFrame:
