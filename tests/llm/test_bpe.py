@@ -1,0 +1,71 @@
+import hashlib
+
+import public_tokenizers as P
+import pytest
+import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from reelscope.llm import bpe
+
+TEXTS = ["", None, "Hello  world's\n\n end ", "naïve ça 漢字 🙂🙂 ‍", "<|endoftext|>", "a" * 50_000, " " * 3000 + "x", "\x00\x7f\r\n\t", "12345 6,7%$#@!!"]
+
+
+@pytest.fixture(scope="module")
+def pair():
+    ranks = bpe.rank_file(P.path("byte_bpe_50k.tiktoken"))
+    return bpe.Coder(*bpe.public_vocabulary()), tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+@settings(max_examples=300, deadline=None)
+@given(text=st.text(max_size=60))
+def test_ids_and_round_trip(pair, text):
+    own, other = pair
+    ids = own.encode_one(text)
+    assert ids == other.encode_ordinary(text)
+    assert own.decode_bytes(ids) == text.encode() == own.decode_spelled(own.spell(text))
+    spans = own.offsets(text, ids)
+    assert all(a < b for a, b in spans) and (not text or (spans[0][0], spans[-1][1]) == (0, len(text)))
+
+
+def test_whole_table_of_bytes():
+    table = bpe.byte_characters()
+    assert sorted(table.values()) == list(range(256)) and len(table) == 256
+
+
+def test_split_character(pair):
+    own, _ = pair
+    ids = own.encode_one("🙂")
+    assert len(ids) > 1 and own.decode(ids) == "🙂" and "�" in own.decode(ids[:1])
+    assert set(own.offsets("🙂", ids)) == {(0, 1)}
+
+
+def test_forgetting(pair, monkeypatch):
+    own, other = pair
+    monkeypatch.setattr(bpe, "KEPT", 5)
+    monkeypatch.setattr(bpe, "WATCHED", 10)
+    fresh = bpe.Coder(*bpe.public_vocabulary())
+    for k in range(40):
+        text = f"word{k} some text {k * 7919}"
+        assert fresh.encode_one(text) == other.encode_ordinary(text)
+    assert len(fresh.kept) <= 5
+
+
+def test_op2_contract(spark, tmp_path, pair):
+    _, other = pair
+    spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in bpe.op2_byte_bpe(spark, str(tmp_path)).collect()}
+    for k, text in enumerate(TEXTS):
+        ids = other.encode_ordinary(text or "")
+        assert got[k]["n_tokens"] == len(ids)
+        assert got[k]["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert got[k]["decoded_sha256"] == hashlib.sha256((text or "").encode()).hexdigest()
+
+
+def test_encode_decode_frames(spark):
+    docs = spark.createDataFrame([(k, t, "en", 1) for k, t in enumerate(TEXTS)], "doc_id long, text string, ids string, n_tokens int")
+    coded = bpe.encoded(docs, *bpe.public_vocabulary(), offsets=True)
+    back = {r["doc_id"]: r["text"] for r in bpe.decoded(coded, *bpe.public_vocabulary()).collect()}
+    assert back == {k: t or "" for k, t in enumerate(TEXTS)}
+    assert all(len(r["ids"]) == len(r["starts"]) == len(r["ends"]) for r in coded.collect())
+    assert bpe.encoded(docs.limit(0), *bpe.public_vocabulary()).count() == 0
