@@ -147,7 +147,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, band
     alone = alone.groupBy("rep").agg(F.count(F.lit(1)).alias("alone"))
     about = met.join(alone, "rep", "left").select("rep", "met", F.coalesce("alone", F.lit(0)).alias("alone"))
     members = members.join(about, "rep").select("bucket", "rep", "n", (F.col("n") - F.col("alone")).alias("f"), "met")
-    members = written(members.filter(F.col("f") * (100 + percent) * 100 >= F.col("n") * percent * (100 + percent)), "buckets")
+    members = written(members.filter(F.col("f") * 100 >= F.col("n") * percent), "buckets")
     one = F.struct("rep", "n", "f", "met")
     ranked = members.groupBy("bucket").agg(F.min(one).alias("least"), F.min_by(one, F.struct(-F.col("met"), F.col("rep"))).alias("other"))
 
@@ -163,7 +163,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, band
     # what each member shares with its hub, the most central one of those that it was tested against and itself
     own = hubs.select("rep", F.col("rep2").alias("hub"), "met2", *pair).join(tested, ["a", "b"]).select("rep", "hub", "met2", "common")
     own = own.unionByName(members.select("rep", F.col("rep").alias("hub"), F.col("met").alias("met2"), F.col("n").alias("common")).distinct())
-    own = own.groupBy("rep").agg(F.max_by(F.struct("hub", "common"), F.struct("met2", "hub")).alias("own"))
+    own = own.groupBy("rep").agg(F.max_by(F.struct("hub", "common"), F.struct("met2", "hub", "common")).alias("own"))
     info = members.select("rep", "n", "f").distinct().join(own, "rep", "left").join(of_node, F.col("rep") == F.col("node"), "left")
     info = info.select("rep", "n", "f", F.coalesce("own.hub", "rep").alias("hub"), F.coalesce("own.common", "n").alias("c"), F.coalesce("component", "rep").alias("comp"))
     labelled = members.select("bucket", "rep").join(info, "rep")
