@@ -6,9 +6,8 @@ never gathered: two sums of page hashes, weighed by the counts, stand for one, s
 aggregation. Classes that enough pages share are valid; they nest by their tokens' paths, the class of what stands once on each
 page at the root, lists and paragraphs within its slots. What lies under a template token is a slot.
 
-A host's main slot is the deepest token of the root class that holds most of the text outside menus, headers, adverts and the
-like; its slots are extracted, without those that carry the same text on every page. A page of a host with too few pages for a
-template falls back on its own article or main element, then on its body.
+All slots outside menus, headers, adverts and the like are extracted, without those that carry the same text on every page. A page of
+a host with too few pages for a template falls back on its own article or main element, then on its body.
 """
 
 from __future__ import annotations
@@ -19,8 +18,6 @@ from collections import Counter
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -28,12 +25,12 @@ from pyspark.sql import functions as F
 
 from .shared import in_arrow, table, written
 
-#: Pages that must share a class, at least, and their least share of a host's pages.
-LEAST_PAGES, LEAST_SHARE = 3, 0.5
-#: A slot with one text on all of so many pages, at least, belongs to the template.
+#: Pages that a template needs, at least.
+LEAST_PAGES = 3
+#: A slot within an article or main element with one text on all of so many pages, at least, belongs to the template.
 LEAST_FIXED = 10
-#: Share of a host's text that the main slot must hold.
-MOST_TEXT = 0.6
+#: Elements at the end of a path that are part of what their container tells.
+FLOW = r"(>(p|h[1-6]|li|td|pre|blockquote)([.#][^>]*)?)+$"
 
 #: Elements nested deeper than this have the path of the last one above; their text is extracted all the same.
 DEEPEST = 100
@@ -142,7 +139,7 @@ def host_of(url: str | None) -> str:
 
 
 def token_vectors(pages: DataFrame) -> DataFrame:
-    """host, path, pages, count, v1, v2 (the vector's sums), chars, low and high (least and greatest text hash), skipped, by host and path."""
+    """host, path, pages, count, v1, v2 (the vector's sums), chars, low and high (least and greatest text hash), skipped, main, by host and path."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[str, str], list[int]] = {}
@@ -151,13 +148,13 @@ def token_vectors(pages: DataFrame) -> DataFrame:
             rows = list(seen.items())
             seen.clear()
             columns = list(zip(*(v for _, v in rows), strict=True))
-            return pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in rows]), pa.array([k[1] for k, _ in rows]), *(pa.array(c, pa.int64()) for c in columns)], ["host", "path", "pages", "count", "v1", "v2", "chars", "low", "high", "skipped"])
+            return pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in rows]), pa.array([k[1] for k, _ in rows]), *(pa.array(c, pa.int64()) for c in columns)], ["host", "path", "pages", "count", "v1", "v2", "chars", "low", "high", "skipped", "main"])
 
         for batch in batches:
             for page, url, html in zip(batch.column("page_id").to_pylist(), batch.column("url").to_pylist(), batch.column("html"), strict=True):
-                own: dict[str, list[int]] = {"": [1, 0, -1, 0]}
+                own: dict[str, list[int]] = {"": [1, 0, -1, 0, 0]}
                 for text, node in blocks(html.as_py() or ""):
-                    found = own.setdefault(node.path, [0, 0, -1, int(node.skipped)])
+                    found = own.setdefault(node.path, [0, 0, -1, int(node.skipped), int(node.main)])
                     if text is None:
                         found[0] += 1
                     else:
@@ -165,8 +162,8 @@ def token_vectors(pages: DataFrame) -> DataFrame:
                         found[2] = xxhash.xxh3_64_intdigest(text.encode(), found[2] & 0xFFFF) >> 1
                 mark = xxhash.xxh3_64_intdigest(f"{page}/{url}")
                 host = host_of(url)
-                for path, (count, chars, digest, skipped) in own.items():
-                    into = seen.setdefault((host, path), [0, 0, 0, 0, 0, 2**62, -1, skipped])
+                for path, (count, chars, digest, skipped, main) in own.items():
+                    into = seen.setdefault((host, path), [0, 0, 0, 0, 0, 2**63 - 1, -1, skipped, main])
                     into[0] += 1
                     into[1] += count
                     into[2] += (mark >> 33) * count
@@ -179,56 +176,38 @@ def token_vectors(pages: DataFrame) -> DataFrame:
         if seen:
             yield emit()
 
-    sums = in_arrow(pages.select("page_id", "url", "html"), run, "host string, path string, pages long, count long, v1 long, v2 long, chars long, low long, high long, skipped long")
-    return sums.groupBy("host", "path").agg(*(F.sum(c).alias(c) for c in ("pages", "count", "v1", "v2", "chars")), F.min("low").alias("low"), F.max("high").alias("high"), F.max("skipped").alias("skipped"))
-
-
-def main_slot(tokens: pd.DataFrame, total: int) -> tuple[str, list[str]]:
-    """A host's main path and the paths within it that belong to the template, from its valid tokens. No path: no template."""
-    root = tokens[(tokens["count"] == tokens["pages"]) & (tokens["path"] != "")]
-    classes = root.groupby(["v1", "v2"]).size()
-    if classes.empty or total < LEAST_PAGES:
-        return "", []
-    vector = classes.idxmax()
-    root = root[(root["v1"] == vector[0]) & (root["v2"] == vector[1]) & (root["skipped"] == 0) & (root["path"] != "")]
-    told = tokens[tokens["skipped"] == 0]
-    whole = float(told["chars"].sum())
-    held = {p: float(told.loc[[x == p or x.startswith(f"{p}>") for x in told["path"]], "chars"].sum()) for p in root["path"]}
-    held = {p: c for p, c in held.items() if whole and c >= MOST_TEXT * whole and not re.search(r">(?:p|h[1-6])[^>]*$", p)}
-    if not held:
-        return "", []
-    main = max(held, key=lambda p: (p.count(">"), held[p], p))
-    inside = told[[x.startswith(f"{main}>") or x == main for x in told["path"]]]
-    fixed = inside[(inside["low"] == inside["high"]) & (inside["chars"] > 0) & (inside["pages"] == total)]
-    varies = bool((inside["low"] != inside["high"]).any())
-    plain = [p for p in fixed["path"] if not re.search(r">(?:p|h[1-6]|li|td|pre|blockquote)[^>]*$", p) and p != main]
-    return main, sorted(plain) if varies and total >= LEAST_FIXED else []
+    sums = in_arrow(pages.select("page_id", "url", "html"), run, "host string, path string, pages long, count long, v1 long, v2 long, chars long, low long, high long, skipped long, main long")
+    return sums.groupBy("host", "path").agg(*(F.sum(c).alias(c) for c in ("pages", "count", "v1", "v2", "chars")), F.min("low").alias("low"), F.max("high").alias("high"), *(F.max(c).alias(c) for c in ("skipped", "main")))
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, main, fixed for each host with a template. Tokens on too few pages of their host are left out before a host's are gathered."""
-    vectors = written(token_vectors(pages), "tokens")
-    totals = vectors.filter("path = ''").select("host", F.col("pages").alias("total"))
-    valid = vectors.join(totals, "host").filter((F.col("pages") >= LEAST_PAGES) & (F.col("pages") >= F.col("total") * LEAST_SHARE))
-
-    def choose(tokens: pd.DataFrame) -> pd.DataFrame:
-        main, fixed = main_slot(tokens, int(tokens["total"].iloc[0]))
-        return pd.DataFrame({"host": [tokens["host"].iloc[0]], "main": [main], "fixed": [fixed]})
-
-    return valid.groupBy("host").applyInPandas(choose, "host string, main string, fixed array<string>").filter("main <> ''")
+    """host and fixed, the paths of its template's own text, for each host of LEAST_PAGES pages whose texts vary.
 
-
-def main_text(html: str, main: str = "", fixed: frozenset[str] = frozenset()) -> str:
-    """The blocks of a page's main slot, joined by newlines; main and fixed come from the host's template, if it has one."""
+    A slot is fixed if it has one text on all pages, and so has all else that is told in its container.
+    """
+    vectors = written(token_vectors(pages), "tokens")
+    totals = vectors.filter("path = ''").select("host", F.col("pages").alias("total")).filter(F.col("total") >= LEAST_PAGES)
+    same = (F.col("low") == F.col("high")) & (F.col("pages") == F.col("total"))
+    told = vectors.filter("skipped = 0 and chars > 0").join(totals, "host").withColumn("same", same)
+    parts = F.split("path", ">")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), ">"))
+    varied = told.filter(~F.col("same")).select("host", F.explode(above).alias("container")).distinct()
+    few = F.col("pages") < F.when(F.col("main") > 0, LEAST_FIXED).otherwise(LEAST_PAGES)
+    fixed = told.filter(F.col("same") & ~few).select("host", "path", F.regexp_replace("path", FLOW, "").alias("container")).join(varied, ["host", "container"], "left_anti")
+    fixed = fixed.groupBy("host").agg(F.collect_list("path").alias("fixed"))
+    return varied.filter("container = ''").select("host").join(fixed, "host", "left").select("host", F.coalesce("fixed", F.array().cast("array<string>")).alias("fixed"))
+
+
+def main_text(html: str, fixed: frozenset[str] | None = None) -> str:
+    """The blocks of a page's slots, joined by newlines; fixed comes from the host's template, if it has one."""
     own, body, article = [], [], []
     for text, node in blocks(html):
         if text is None or node.skipped:
             continue
-        path = node.path
         body.append(text)
         if node.main:
             article.append(text)
-        if main and (path == main or path.startswith(f"{main}>")) and path not in fixed:
+        if fixed is not None and node.path not in fixed:
             own.append(text)
     return "\n".join(own or article or body)
 
@@ -241,11 +220,11 @@ def extracted(pages: DataFrame) -> DataFrame:
     """
     found = written(templates(pages), "templates")
     host = F.pandas_udf(lambda urls: urls.map(host_of), "string")
-    placed = pages.select("page_id", "url", "html", host(F.coalesce(F.col("url"), F.lit(""))).alias("host")).join(found, "host", "left").select("page_id", "url", "html", "main", "fixed")
+    placed = pages.select("page_id", "url", "html", host(F.coalesce(F.col("url"), F.lit(""))).alias("host")).join(found, "host", "left").select("page_id", "url", "html", "fixed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(h.as_py() or "", m or "", frozenset(f or ())) for h, m, f in zip(batch.column("html"), batch.column("main").to_pylist(), batch.column("fixed").to_pylist(), strict=True)]
+            texts = [main_text(h.as_py() or "", None if f is None else frozenset(f)) for h, f in zip(batch.column("html"), batch.column("fixed").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kind = pages.schema["page_id"].dataType.simpleString()

@@ -115,3 +115,13 @@ def test_vectors_make_classes(spark):
     assert len(once) == 4 and len({(vectors[p]["v1"], vectors[p]["v2"]) for p in once}) == 1
     paragraphs = next(r for p, r in vectors.items() if p.endswith("article>p"))
     assert paragraphs["count"] == sum(3 + k % 3 for k in range(12)) and paragraphs["v1"] != vectors[once[0]]["v1"]
+
+
+def test_no_varying_slot_is_lost(spark):
+    words = lambda k, n: " ".join(f"w{k}x{j}" for j in range(n))
+    aside = lambda k: f"<div class=note>Note {k}</div>" if k % 5 < 2 else ""
+    html = lambda k: f"<html><body><div class=top><p>Our site</p></div><article><h1>Title {k}</h1><div class=lede>Lede {k}</div><div class=body><p>{words(k, 80)}</p></div>{aside(k)}<div class=appendix>End {k}</div></article></body></html>"
+    rows = [(k, f"http://{'big' if k < 20 else 'small'}.example/{k}", html(k)) for k in range(24)]
+    got = {r["page_id"]: r["text"] for r in templates.extracted(frame(spark, rows)).collect()}
+    note = lambda k: [f"Note {k}"] if k % 5 < 2 else []
+    assert all(got[k] == "\n".join([f"Title {k}", f"Lede {k}", words(k, 80), *note(k), f"End {k}"]) for k in range(24))
