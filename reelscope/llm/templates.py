@@ -32,42 +32,103 @@ LEAST_FIXED = 10
 #: Elements at the end of a path that are part of what their container tells.
 FLOW = r"(>(p|h[1-6]|li|td|pre|blockquote)([.#][^>]*)?)+$"
 
+#: Names longer than this mark nothing.
+LONGEST = 60
+
 #: Elements nested deeper than this have the path of the last one above; their text is extracted all the same.
 DEEPEST = 100
 
 #: Fixed values of the HTML vocabulary.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-RAW = frozenset("script style noscript template svg math iframe object canvas textarea select title".split())
-SKIPPED = frozenset("head nav footer aside form button dialog menu".split()) | RAW
+RAW = frozenset("script style noscript iframe textarea title".split())
+#: Elements that hold no text of the page; one without an end tag holds nothing.
+FOREIGN = frozenset("svg math object canvas select template".split())
+HARD = frozenset("head button".split()) | RAW | FOREIGN
+SKIPPED = frozenset("nav footer aside form dialog menu".split())
+#: Elements that are not skipped for their names.
+WHOLE = frozenset("html body article main".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-LIMITS = frozenset("ul ol dl table article section div body main td th blockquote figure".split())
-#: Names in class, id or role that mark what is no article.
-BOILER = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebar|side|widget\w*|related|recommended|comments?|commentlist|disqus\w*|replies|reply|respond"
-    r"|cookies?|consent|gdpr|notice\w*|alert|popup|modal|newsletter|subscribe|subscription|signup|login|search|share|sharing|social|footer|masthead|pagination|pager|skip|toolbar|complementary|contentinfo|navigation)(?:$|[\s_-])",
-    re.I,
+LIMITS = frozenset("ul ol dl table article section div body main td th blockquote figure".split()) | FOREIGN
+#: Names in class, id or role that mark what is no article, whole or joined with each other or with names of places.
+_PLACES = r"site|main|global|page|post|posts|entry|article|articles|top|bottom|left|right|primary|secondary|area|list|box|wrapper|container|section|block|inner|outer|bar|links?|items?|icons?|buttons?|form"
+_MARKS = (
+    r"ads?|advert\w*?|sponsor\w*?|promo\w*?|banner|nav\w*?|menu\w*?|breadcrumbs?|sidebar|side|widget\w*?|related|recommended|comments?|commentlist|disqus\w*?|replies|reply|respond"
+    r"|cookies?|consent|gdpr|notice\w*?|alert|popup|modal|newsletter|subscribe|subscription|signup|login|search|share|sharing|social|footer|masthead|pagination|pager|skip|toolbar|complementary|contentinfo|navigation"
 )
-HEADER = re.compile(r"(?:^|[\s_-])(?:header|banner|masthead|topbar)(?:$|[\s_-])", re.I)
+
+
+def _whole_names(marks: str, places: str) -> re.Pattern[str]:
+    return re.compile(rf"(?:(?:{places})[0-9]*[_-]+)*(?:{marks})[0-9]*(?:[_-]+(?:{marks}|{places}|[0-9]+)[0-9]*)*", re.I)
+
+
+BOILER = _whole_names(_MARKS, _PLACES)
+HEADER = _whole_names("header|banner|masthead|topbar", "site|global|top|primary|secondary|area|wrapper|container|inner|outer|bar")
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>"']++|"[^"]*"|'[^']*')*+)>"""
     r"""|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<rest2>[^>]*)>|<[a-zA-Z/!?][^>]*$|[^<]+|<""",
     re.S,
 )
+#: Comments, and start and end tags whose pairs are looked for.
+_PAIRED = re.compile(rf"""<!--.*?(?:-->|$)|<(?P<end>/?)(?P<tag>{"|".join(sorted(FOREIGN | RAW))})(?=[\s/>])[^<>]*>?""", re.I | re.S)
 _NAMES = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 
 
+#: Why an element is skipped, the strongest reason last.
+KEPT, BY_NAME, BY_TAG, NO_TEXT = range(4)
+
+
+def _plain(name: str) -> str:
+    """A name without digits, and without the sign that parts paths."""
+    return re.sub(r"[0-9>]+", "", name)
+
+
 class Node:
-    __slots__ = ("tag", "path", "skipped", "main")
+    """An element: skipped is the strongest reason to skip it or one around it, form the form around it."""
+
+    __slots__ = ("tag", "path", "skipped", "main", "form")
 
-    def __init__(self, tag: str, path: str, skipped: bool, main: bool):
-        self.tag, self.path, self.skipped, self.main = tag, path, skipped, main
+    def __init__(self, tag: str, path: str, skipped: int, main: bool, form: Node | None):
+        self.tag, self.path, self.skipped, self.main, self.form = tag, path, skipped, main, form
 
 
-def blocks(html: str) -> Iterator[tuple[str | None, Node]]:
-    """In page order: (None, element) for each element that opens, (text, innermost element) for each block of text."""
-    stack = [Node("", "", False, False)]
+def blocks(html: str) -> list[tuple[str | None, Node]]:
+    """In page order: (None, element) for each element that opens, (text, innermost element) for each block of text.
+
+    A form is skipped unless it holds half of the page's text that nothing else skips.
+    """
+    found = list(_parsed(html))
+    held: Counter[Node | None] = Counter()
+    for text, node in found:
+        if text is not None and node.skipped == KEPT:
+            held[node.form] += len(text)
+    whole = held.total()
+    for _, node in found:
+        if node.form is not None and 2 * held[node.form] < max(whole, 1):
+            node.skipped = max(node.skipped, BY_TAG)
+    return found
+
+
+def _closed_elements(html: str) -> set[int]:
+    """Where start tags of FOREIGN and RAW elements stand that an end tag closes: it closes the last one before it that is open."""
+    waiting: dict[str, list[int]] = {}
+    closed = set()
+    for m in _PAIRED.finditer(html):
+        if m["tag"] is None:
+            continue
+        tag = m["tag"].lower()
+        if not m["end"]:
+            if tag not in ("svg", "math") or not m[0].endswith("/>"):
+                waiting.setdefault(tag, []).append(m.start())
+        elif waiting.get(tag):
+            closed.add(waiting[tag].pop())
+    return closed
+
+
+def _parsed(html: str) -> Iterator[tuple[str | None, Node]]:
+    stack = [Node("", "", KEPT, False, None)]
+    closed = _closed_elements(html)
     is_open: Counter[str] = Counter()
     pieces: list[str] = []
     at, end = 0, len(html)
@@ -82,6 +143,7 @@ def blocks(html: str) -> Iterator[tuple[str | None, Node]]:
         return text
 
     while at < end:
+        start = at
         m = _TOKEN.match(html, at)
         at = m.end()
         tag, rest = m["tag"] or m["tag2"], m["rest"] or m["rest2"] or ""
@@ -114,16 +176,25 @@ def blocks(html: str) -> Iterator[tuple[str | None, Node]]:
                 break
         top = stack[-1]
         names = {k.lower(): v.strip("\"'") for k, v in _NAMES.findall(rest)} if "=" in rest else {}
-        label = " ".join(names.values())
+        labels = [] if tag in WHOLE else [x for v in names.values() for x in v.split()]
         main = top.main or tag in ("article", "main") or names.get("role", "").lower() in ("main", "article")
-        skipped = top.skipped or tag in SKIPPED or bool(label and BOILER.search(label)) or (not top.main and (tag == "header" or bool(label and HEADER.search(label))))
-        name = tag + "".join(f".{re.sub(r'[0-9]+', '', x)}" for x in names.get("class", "").split()[:2]) + (f"#{re.sub(r'[0-9]+', '', names['id'])}" if names.get("id") else "")
-        node = Node(tag, f"{top.path}>{name}" if len(stack) <= DEEPEST else top.path, skipped, main)
+        form = top.form
+        if tag in HARD:
+            skipped = NO_TEXT
+        elif tag in SKIPPED and tag != "form" or (tag == "header" and not top.main):
+            skipped = BY_TAG
+        else:
+            skipped = BY_NAME if any(BOILER.fullmatch(x) or (not top.main and HEADER.fullmatch(x)) for x in labels if len(x) <= LONGEST) else KEPT
+        name = tag + "".join(f".{_plain(x)}" for x in names.get("class", "").split()[:2]) + (f"#{_plain(names['id'])}" if names.get("id") else "")
+        node = Node(tag, f"{top.path}>{name}" if len(stack) <= DEEPEST else top.path, max(top.skipped, skipped), main, form)
+        if tag == "form" and form is None:
+            node.form = node
         yield None, node
         if tag in RAW:
-            ended = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-            at = ended.end() if ended else end
-        elif tag not in VOID:
+            if start in closed or (tag in ("script", "style") and not rest.endswith("/")):
+                ended = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(html, at)
+                at = ended.end() if ended else end
+        elif tag not in VOID and (tag not in FOREIGN or start in closed):
             stack.append(node)
             is_open[tag] += 1
     if text := flush():
@@ -154,7 +225,8 @@ def token_vectors(pages: DataFrame) -> DataFrame:
             for page, url, html in zip(batch.column("page_id").to_pylist(), batch.column("url").to_pylist(), batch.column("html"), strict=True):
                 own: dict[str, list[int]] = {"": [1, 0, -1, 0, 0]}
                 for text, node in blocks(html.as_py() or ""):
-                    found = own.setdefault(node.path, [0, 0, -1, int(node.skipped), int(node.main)])
+                    found = own.setdefault(node.path, [0, 0, -1, 0, int(node.main)])
+                    found[3] |= node.skipped != KEPT
                     if text is None:
                         found[0] += 1
                     else:
@@ -171,6 +243,7 @@ def token_vectors(pages: DataFrame) -> DataFrame:
                     into[4] += chars
                     into[5] = min(into[5], digest)
                     into[6] = max(into[6], digest)
+                    into[7] |= skipped
                 if len(seen) > 50_000:
                     yield emit()
         if seen:
@@ -199,17 +272,16 @@ def templates(pages: DataFrame) -> DataFrame:
 
 
 def main_text(html: str, fixed: frozenset[str] | None = None) -> str:
-    """The blocks of a page's slots, joined by newlines; fixed comes from the host's template, if it has one."""
-    own, body, article = [], [], []
-    for text, node in blocks(html):
-        if text is None or node.skipped:
-            continue
-        body.append(text)
-        if node.main:
-            article.append(text)
-        if fixed is not None and node.path not in fixed:
-            own.append(text)
-    return "\n".join(own or article or body)
+    """The blocks of a page's slots, joined by newlines; fixed comes from the host's template, if it has one.
+
+    Where all is skipped, what names skip is told after all, or else what tags skip.
+    """
+    found = [(text, node) for text, node in blocks(html) if text is not None]
+    told = [(text, node) for text, node in found if node.skipped == KEPT]
+    for reason in (BY_NAME, BY_TAG):
+        told = told or [(text, node) for text, node in found if node.skipped <= reason]
+    own = [text for text, node in told if fixed is not None and node.path not in fixed]
+    return "\n".join(own or [text for text, node in told if node.main] or [text for text, _ in told])
 
 
 def extracted(pages: DataFrame) -> DataFrame:

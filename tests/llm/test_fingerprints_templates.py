@@ -125,3 +125,20 @@ def test_no_varying_slot_is_lost(spark):
     got = {r["page_id"]: r["text"] for r in templates.extracted(frame(spark, rows)).collect()}
     note = lambda k: [f"Note {k}"] if k % 5 < 2 else []
     assert all(got[k] == "\n".join([f"Title {k}", f"Lede {k}", words(k, 80), *note(k), f"End {k}"]) for k in range(24))
+
+
+WRAPPED = [
+    "<body class='single no-sidebar'>{}</body>", "<body class=sidebar>{}</body>", "<div id=page class='has-sidebar'>{}</div>", "<body><form id=aspnetForm>{}<form>Mail</form></form></body>", "<div class=sidebar>{}</div>", "<aside>{}</aside>",
+    "<article class='post comments-closed'>{}</article>", "<svg/>{}<svg><text>no</text></svg>", "<object data=x>{}", "<canvas>{}<canvas>no</canvas>", "<select><option>{}<select><option>no</select>", "<script src='a' />{}<script>no()</script>", "<title/>{}", "<svg><svg/><text>no</text></svg>{}",
+]
+
+
+@pytest.mark.parametrize("wrap", WRAPPED)
+def test_wrappers_lose_nothing(wrap):
+    assert templates.main_text(wrap.format("<h1>Head</h1><p>Some text.</p>")).split("\n")[:2] == ["Head", "Some text."]
+    assert "no" not in templates.main_text(wrap.format("<h1>Head</h1><p>Some text.</p>"))
+
+
+def test_names_of_boilerplate_are_skipped():
+    names = ["sidebar", "site-nav", "cookie-notice", "post-comments", "navbar", "related_posts", "ad-box-3", "comment-list"]
+    assert templates.main_text("<p>Text.</p>" + "".join(f"<div class={x}>no</div>" for x in names) + "<form>no</form><select><option>no</select><button>no</button>") == "Text."
