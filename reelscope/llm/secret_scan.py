@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .host_rules import bound
-from .shared import WORD, table
+from .shared import table
 
 KINDS = ("assign", "access", "hex", "random")
 #: Either case of each letter, written out.
@@ -30,8 +30,14 @@ TOKEN = "[A-Za-z0-9+/_=-]{20,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Least sum, and least mean by character pair, of the log-likelihood ratio.
 LEAST_SUM, LEAST_MEAN = 8.0, 0.45
-#: Documents whose words serve as samples of identifiers, at most, and random strings made.
-SAMPLE_DOCS, SAMPLE_RANDOM = 400, 3000
+#: Random strings made.
+SAMPLE_RANDOM = 3000
+#: Words of which identifiers are made, and identifiers as they stand in texts: words and camel case with short numbers, joined.
+PLAIN = "^[A-Za-z]{2,14}$"
+_PART = "(?>[A-Za-z]{2,14}(?![A-Za-z])|[A-Z]?[a-z]{2,14}(?:[A-Z][a-z]{2,14})+(?![A-Za-z]))[0-9]{0,4}"
+IDENTIFIER = f"^{_PART}(?:[_/=+-](?:{_PART}|[0-9]{{1,4}}))*$"
+#: The longest identifier that is looked at.
+LONGEST = 100
 
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
 
@@ -58,37 +64,46 @@ def _matches(text: F.Column, pattern: str, kind: int, least: int = 0) -> F.Colum
 
 
 def samples(docs: DataFrame) -> DataFrame:
-    """Labelled strings (text, label): 1 random ones in three alphabets, 0 words of some documents, alone and joined as identifiers are."""
+    """Labelled strings (text, label, n: how often each counts): 1 random ones in three alphabets, 0 the identifiers of all documents.
+
+    The identifiers of texts count once. Words count as in all runs of three that are joined by _, by /, as camel case, and of two
+    that are joined by _ in capitals; as only pairs of characters are counted, pieces of one word and the pairs between two words
+    stand for the runs, so distinct words are all that is shuffled.
+    """
     spark = docs.sparkSession
     digest = F.sha2(F.concat(F.lit("random/"), F.col("id").cast("string")).cast("binary"), 256)
     plain = F.regexp_replace(F.base64(F.unhex(digest)), "=+$", "")
-    made = spark.range(SAMPLE_RANDOM).select(F.explode(F.array(digest, plain, F.upper(F.regexp_replace(plain, "[+/]", "")))).alias("text"), F.lit(1).alias("label"))
-    turn = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    drawn = docs.select("doc_id", turn.alias("turn")).orderBy("turn").limit(SAMPLE_DOCS)  # ids only; their texts stay where they are
-    some = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(drawn.select("doc_id").distinct()), "doc_id", "left_semi")
-    words = F.filter(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), lambda w: F.regexp_like(w, F.lit("^[A-Za-z]{2,14}$")))
-    runs = F.transform(
-        F.sequence(F.lit(0), F.size("w") - 3),
-        lambda i: F.array(F.concat_ws("_", F.col("w")[i], F.col("w")[i + 1], F.col("w")[i + 2]), F.concat(F.col("w")[i], F.initcap(F.col("w")[i + 1]), F.initcap(F.col("w")[i + 2])), F.concat_ws("/", F.col("w")[i], F.col("w")[i + 1], F.col("w")[i + 2]), F.upper(F.concat_ws("_", F.col("w")[i], F.col("w")[i + 1]))),
-    )
-    words = some.select(words.alias("w")).filter(F.size("w") >= 3).select(F.explode(F.flatten(runs)).alias("text"), F.lit(0).alias("label"))
-    return made.unionByName(words)
+    made = spark.range(SAMPLE_RANDOM).select(F.explode(F.array(digest, plain, F.upper(F.regexp_replace(plain, "[+/]", "")))).alias("text"), F.lit(1).alias("label"), F.lit(1).cast("long").alias("n"))
+    spaces = r"[\x20\x09-\x0D]+"
+    texts = docs.select("text").filter("text is not null")
+    found = texts.select(F.explode(F.split("text", spaces)).alias("w")).filter((F.length("w") <= LONGEST) & F.col("w").rlike(IDENTIFIER)).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    w, n = F.col("w"), F.col("n")
+    piece = lambda text, times: F.struct(text.alias("text"), F.lit(0).alias("label"), (n * times).alias("n"))
+    framed = lambda sign, text: F.concat(F.lit(sign), text, F.lit(sign))
+    joined = F.array(piece(w, 3), piece(F.initcap(w), 2), piece(framed("_", w), 2), piece(framed("/", w), 2), piece(F.upper(w), 1), piece(framed("_", F.upper(w)), 1))
+    words = found.select(F.explode(F.when(w.rlike(PLAIN), joined).otherwise(F.array(piece(w, 1)))).alias("p")).select("p.*")
+    ends = texts.select(F.explode(F.regexp_extract_all("text", F.lit(f"[A-Za-z]{spaces}[A-Za-z]"), F.lit(0))).alias("e"))
+    ends = ends.groupBy(F.substring("e", 1, 1).alias("a"), F.upper(F.substring("e", -1, 1)).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    humps = ends.select(F.explode(F.array(piece(F.concat("a", "b"), 1), piece(F.concat(F.lower("a"), F.col("b")), 1))).alias("p")).select("p.*")
+    return made.unionByName(words).unionByName(humps)
 
 
 def train(labelled: DataFrame) -> list[float]:
     """log P(b | a, random) - log P(b | a, ordinary) for each pair of characters of ALPHABET, by labelled (text, label) strings.
 
-    Counts are smoothed by one half. Characters outside ALPHABET break a string. Without samples all ratios are 0.
+    Where there is a column n, a string counts n times. Counts are smoothed by one half. Characters outside ALPHABET break a string. Without samples all ratios are 0.
     """
     size = len(ALPHABET)
     pair = F.explode(F.transform(F.sequence(F.lit(1), F.length("text") - 1), lambda i: F.substring(F.col("text"), i, F.lit(2))))
-    counts = labelled.filter(F.length("text") >= 2).select("label", pair.alias("pair")).groupBy("label", "pair").count().collect()
+    times = F.col("n") if "n" in labelled.columns else F.lit(1)
+    pairs = labelled.filter(F.length("text") >= 2).select("label", times.alias("n"), pair.alias("pair")).filter(F.col("pair").rlike("^[A-Za-z0-9+/_=-]{2}$"))
+    counts = pairs.groupBy("label", "pair").agg(F.sum("n").alias("n")).collect()
     of = {0: [[0.5] * size for _ in range(size)], 1: [[0.5] * size for _ in range(size)]}
     place = {c: i for i, c in enumerate(ALPHABET)}
     for r in counts:
         a, b = r["pair"]
         if a in place and b in place:
-            of[r["label"]][place[a]][place[b]] += r["count"]
+            of[r["label"]][place[a]][place[b]] += r["n"]
     return [math.log(of[1][a][b] / sum(of[1][a])) - math.log(of[0][a][b] / sum(of[0][a])) for a in range(size) for b in range(size)]
 
 

@@ -117,6 +117,15 @@ def test_character_models(spark):
     assert secret_scan.train(spark.createDataFrame([], "text string, label int")) == [0.0] * len(secret_scan.ALPHABET) ** 2
 
 
+def test_models_learn_from_all_documents(spark):
+    n = 1200
+    docs = rows_of(spark, [(k, "the same few words", "s") for k in range(n)] + [(n, "zqxj_zqxj-77 zqxjwv", "s")])
+    own = secret_scan.samples(docs).filter("label = 0")
+    counts = {r["text"]: r["n"] for r in own.groupBy("text").agg(F.sum("n").alias("n")).collect()}
+    assert counts["same"] == 3 * n and counts["_few_"] == 2 * n and counts["eF"] == 2 * n and counts["zqxj_zqxj-77"] == 1 and counts["zqxjwv"] == 3
+    assert "Limit" not in own._jdf.queryExecution().optimizedPlan().toString()
+
+
 # --- line dedup
 
 
