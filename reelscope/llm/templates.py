@@ -3,10 +3,13 @@
 A page's tokens are its elements, each named by its path of structural elements with class and id. Over the pages of one host a
 token has an occurrence vector, how often it stands on each page; tokens with the same vector form an equivalence class. Vectors are
 never gathered: two sums of page hashes, weighed by the counts, stand for one, so a host of any size is summed by partial
-aggregation. Classes that enough pages share are valid; they nest by their tokens' paths, the class of what stands once on each
-page at the root, lists and paragraphs within its slots. What lies under a template token is a slot.
+aggregation. The class of what stands once on each page is the root's, other valid classes are those of layouts; what stands k times
+on each page of a class, such as the items of a list, is in it. What lies under a template token is a slot.
 
-All slots outside menus, headers, adverts and the like are extracted, without those that carry the same text on every page. A page of
+No tree of classes is built and no optional or repeated part is aligned between pages: containment of paths gives the nesting, and a
+text that only some pages of a layout have is kept, as it cannot be told from an article's.
+
+All slots outside menus, headers, adverts and the like are extracted, without those that carry the same text on every page of their class. A page of
 a host with too few pages for a template falls back on its own article or main element, then on its body.
 """
 
@@ -256,17 +259,26 @@ def token_vectors(pages: DataFrame) -> DataFrame:
 def templates(pages: DataFrame) -> DataFrame:
     """host and fixed, the paths of its template's own text, for each host of LEAST_PAGES pages whose texts vary.
 
-    A slot is fixed if it has one text on all pages, and so has all else that is told in its container.
+    A token that stands equally often, once or more, on each page of a class belongs to it. A class is valid if all pages of the host
+    share it or if texts within one of its tokens vary: the class of a layout. A slot of a valid class is fixed if it has one text on
+    all of its pages, and so has all else that is told in its container.
     """
     vectors = written(token_vectors(pages), "tokens")
     totals = vectors.filter("path = ''").select("host", F.col("pages").alias("total")).filter(F.col("total") >= LEAST_PAGES)
-    same = (F.col("low") == F.col("high")) & (F.col("pages") == F.col("total"))
-    told = vectors.filter("skipped = 0 and chars > 0").join(totals, "host").withColumn("same", same)
+    told = vectors.filter("skipped = 0 and chars > 0").join(totals, "host")
     parts = F.split("path", ">")
     above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), ">"))
-    varied = told.filter(~F.col("same")).select("host", F.explode(above).alias("container")).distinct()
-    few = F.col("pages") < F.when(F.col("main") > 0, LEAST_FIXED).otherwise(LEAST_PAGES)
-    fixed = told.filter(F.col("same") & ~few).select("host", "path", F.regexp_replace("path", FLOW, "").alias("container")).join(varied, ["host", "container"], "left_anti")
+    around = lambda slots: slots.select("host", F.explode(above).alias("container")).distinct()
+    of_class = ["host", "pages", "c1", "c2"]
+    differs = around(told.filter("low <> high")).withColumnRenamed("container", "path")
+    valid = vectors.filter("skipped = 0 and count = pages").join(differs, ["host", "path"]).select("host", "pages", F.col("v1").alias("c1"), F.col("v2").alias("c2")).distinct().withColumn("valid", F.lit(True))
+    even = F.when((F.col("count") > 0) & (F.col("count") % F.col("pages") == 0), F.expr("count div pages"))
+    placed = told.withColumn("c1", F.when(F.col("v1") % even == 0, F.expr("v1 div (count div pages)"))).withColumn("c2", F.when(F.col("v2") % even == 0, F.expr("v2 div (count div pages)"))).join(valid, of_class, "left")
+    least = F.when(F.col("main") > 0, LEAST_FIXED).otherwise(LEAST_PAGES)
+    known = (F.col("pages") == F.col("total")) | (F.coalesce("valid", F.lit(False)) & (F.col("pages") >= least))
+    placed = placed.withColumn("same", (F.col("low") == F.col("high")) & known)
+    varied = around(placed.filter(~F.col("same")))
+    fixed = placed.filter(F.col("same") & (F.col("pages") >= least)).select("host", "path", F.regexp_replace("path", FLOW, "").alias("container")).join(varied, ["host", "container"], "left_anti")
     fixed = fixed.groupBy("host").agg(F.collect_list("path").alias("fixed"))
     return varied.filter("container = ''").select("host").join(fixed, "host", "left").select("host", F.coalesce("fixed", F.array().cast("array<string>")).alias("fixed"))
 

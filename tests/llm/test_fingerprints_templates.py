@@ -142,3 +142,13 @@ def test_wrappers_lose_nothing(wrap):
 def test_names_of_boilerplate_are_skipped():
     names = ["sidebar", "site-nav", "cookie-notice", "post-comments", "navbar", "related_posts", "ad-box-3", "comment-list"]
     assert templates.main_text("<p>Text.</p>" + "".join(f"<div class={x}>no</div>" for x in names) + "<form>no</form><select><option>no</select><button>no</button>") == "Text."
+
+
+def test_fixed_slots_of_layouts(spark):
+    fixed = "<div class=x><ul><li>One</li><li>Two</li></ul><p>Our guide</p></div>"
+    html = lambda k: f"<html><body><div class={'abc'[k % 3]}><h1>Title {k}</h1><div class=t><p>Text {k}</p></div>{fixed}</div></body></html>"
+    copy = "<html><body><div class=copied><h1>Same</h1><p>Words</p></div></body></html>"
+    rows = [(k, f"http://layouts.example/{k}", html(k)) for k in range(36)] + [(100 + k, f"http://layouts.example/c{k}", copy) for k in range(12)]
+    got = {r["page_id"]: r["text"] for r in templates.extracted(frame(spark, rows)).collect()}
+    assert all(got[k] == f"Title {k}\nText {k}" for k in range(36))
+    assert all(got[100 + k] == "Same\nWords" for k in range(12))
