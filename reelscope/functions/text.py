@@ -80,12 +80,14 @@ def partial_ratio(a: str, b: str) -> int:
 def _best_stretch(short: str, long: str) -> float:
     n, best = len(short), 0.0
     known = set(short)
+    last, common = 1 - n, 1
     for start in range(1 - n, len(long)):
         part = long[max(start, 0) : start + n]
-        limit = 2 * min(len(part), n) / (n + len(part))
-        if limit <= best or (part[0] not in known and part[-1] not in known):
+        most = min(len(part), common + start - last)  # a step of the stretch adds one character at most
+        if 2 * most / (n + len(part)) <= best or (part[0] not in known and part[-1] not in known):
             continue
-        best = max(best, 2 * common_subsequence(short, part) / (n + len(part)))
+        last, common = start, common_subsequence(short, part)
+        best = max(best, 2 * common / (n + len(part)))
         if best == 1.0:
             break
     return best

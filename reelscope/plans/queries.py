@@ -60,7 +60,7 @@ def _tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
         "main_vec",
         F.expr("CASE WHEN item_id % 3 = 0 THEN array() WHEN item_id % 5 = 0 THEN array(bv, av) ELSE array(bv) END").cast("array<array<float>>").alias("before_vecs"),
         F.when(F.col("item_id") % 2 == 0, F.array("av")).otherwise(none).alias("after_vecs"),
-        F.when(F.col("item_id") % 4 == 0, F.array(F.substring("text", 1, 12))).otherwise(F.array().cast("array<string>")).alias("ocr_texts"),
+        F.when(F.col("item_id") % 4 == 0, F.array("text")).otherwise(F.array().cast("array<string>")).alias("ocr_texts"),
     )
 
 
@@ -122,7 +122,7 @@ def results_by_task(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def results_with_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole run, with fuzzy text matching; SQL has no such match, tests hold it against a plain one."""
-    seen = _read(spark, sf_dir, "documents").filter("doc_id % 3 <> 0").select((F.col("doc_id") * 40).alias("frame"), F.array(F.substring("text", 1, 40)).alias("texts"))
+    seen = _read(spark, sf_dir, "documents").select((F.col("doc_id") * 40).alias("frame"), F.array("text").alias("texts"))
     placed = _frames(spark, sf_dir).select(F.col("video_id").alias("video"), F.col("frame_ms").alias("frame"))
     return retrieve(_frames(spark, sf_dir), _tasks(spark, sf_dir), placed.join(seen, "frame")).withColumn("results", F.to_json("results"))
 
@@ -150,8 +150,10 @@ def rerank_by_given_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def fuzzy_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents")
-    return docs.select("doc_id", partial_ratio_of(F.lower(F.substring("text", 1, 12)), F.lower(F.substring("text", 5, 40))).alias("ratio"))
+    """How well each document's text matches that of the benchmark item in turn."""
+    items = _read(spark, sf_dir, "benchmark").select(F.col("text").alias("target"), (F.row_number().over(Window.orderBy("item_id")) - 1).alias("turn"))
+    docs = _read(spark, sf_dir, "documents").withColumn("turn", F.pmod("doc_id", F.lit(max(items.count(), 1))))
+    return docs.join(F.broadcast(items), "turn", "left").select("doc_id", partial_ratio_of(F.lower("target"), F.lower("text")).alias("ratio"))
 
 
 @query("SELECT CAST(item_id AS VARCHAR) AS task_id, text AS description, CAST(row_number() OVER (ORDER BY item_id) - 1 AS INT) AS ordinal FROM benchmark")
