@@ -22,14 +22,30 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.select(*docs.columns)
 
 
+def own_nodes(docs: DataFrame) -> DataFrame:
+    """docs with a column node that no two rows share: doc_id, or for rows of a null or repeated id, all but the least text's, one beyond all ids."""
+    odd = written(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1 or doc_id is null").select(F.col("doc_id").alias("odd_id")), "odd-ids")
+    if odd.isEmpty():
+        return docs.withColumn("node", F.col("doc_id"))
+    same = F.col("doc_id").eqNullSafe(F.col("odd_id"))
+    rows = written(docs.join(odd, same, "left_semi").withColumn("row", F.monotonically_increasing_id()), "odd-rows")
+    ends = docs.agg(F.coalesce(F.min("doc_id"), F.lit(0)).alias("low"), F.coalesce(F.max("doc_id"), F.lit(0)).alias("high")).collect()[0]
+    beyond = F.lit(ends["high"] + 1) + F.col("row") if ends["high"] < 2**61 else F.lit(ends["low"] - 1) - F.col("row")
+    first = rows.filter("doc_id is not null").groupBy("doc_id").agg(F.min_by("row", F.struct("text", "row")).alias("row")).select("row", F.lit(True).alias("first"))
+    rows = rows.join(first, "row", "left").withColumn("node", F.when(F.col("first"), F.col("doc_id")).otherwise(beyond))
+    return docs.join(odd, same, "left_anti").withColumn("node", F.col("doc_id")).unionByName(rows.select(*docs.columns, "node"))
+
+
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity 0.8), the one of least id.
+    """One row of each group of near-duplicates (five-word shingles, similarity 0.8), the one of least id.
 
-    Documents without words belong to no group. Rows of a null id stay.
+    Rows that repeat an id and rows of a null id are members like any other and stand behind the ids. Documents without words belong
+    to no group.
     """
-    found = near_dup.near_duplicates(docs)
-    gone = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    nodes = own_nodes(docs)
+    found = near_dup.near_duplicates(nodes.select(F.col("node").alias("doc_id"), "text"))
+    gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("node")).distinct()
+    return nodes.join(gone, "node", "left_anti").select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -70,3 +70,13 @@ def test_registered():
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "line_dedup", "near_dup", "mixing", "tokens"]
     assert set(__spark_entry__.oracle_sql()) <= set(names)
+
+
+def test_one_row_of_each_group_stays(spark, folder):
+    own = lambda k, n: " ".join(f"v{k}x{j}" for j in range(n))
+    rows = [(1, own(1, 60)), (1, own(1, 60)), (None, own(1, 60)), (None, own(1, 60) + " more"), (2, own(2, 60)), (2, own(3, 60)), (None, own(4, 60)), (None, own(4, 60)), (5, own(5, 60)), (6, ""), (6, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_dup_stage(spark, docs, folder)
+    assert got.columns == docs.columns
+    want = [(1, own(1, 60)), (2, own(2, 60)), (2, own(3, 60)), (None, own(4, 60)), (5, own(5, 60)), (6, ""), (6, ""), (None, None)]
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted(want, key=str)
