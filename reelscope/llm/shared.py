@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -16,14 +18,27 @@ from pyspark.sql import functions as F
 
 #: The ASCII white space that separates words in every operator: space and U+0009 to U+000D.
 WHITE = " \t\n\x0b\f\r"
-#: Rows that go to a worker at once.
+#: Rows that a worker looks at together.
 BATCH = 1000
 #: A word, as Java and Python regular expressions write it.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-#: Paths of the tables of written().
-_written: list[str] = []
+@dataclass
+class _Written:
+    """A table of written(), and what deletes it."""
+
+    label: str
+    path: str
+    jvm: object
+    conf: object
+
+    def delete(self) -> None:
+        place = self.jvm.org.apache.hadoop.fs.Path(self.path)
+        place.getFileSystem(self.conf).delete(place, True)
+
+
+_written: list[_Written] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,9 +46,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; where it is unset (a local test) a temporary one, kept for the session."""
+    """The folder that spark.checkpoint.dir names.
+
+    Where it is unset, a local master gets a temporary one, kept for the session; on a cluster, whose executors would each write to
+    a disk of their own, that is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="reelscope-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         found = f"file://{own}"
@@ -45,33 +66,47 @@ def written(df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
     """df as a Parquet table in the shared folder: later reads neither repeat its work nor need the executors that did it.
 
     narrow: rows of a few numbers, of which four tasks a core make enough; spares small tables a file for each shuffle partition.
+    The table is deleted by the scratch() around, by clear_written(), or when the process ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    _written.append(path)
+    if not _written:
+        atexit.unregister(_clear_at_exit)
+        atexit.register(_clear_at_exit)
+    _written.append(_Written(label, path, spark._jvm, spark._jsc.hadoopConfiguration()))
     (df.coalesce(4 * spark.sparkContext.defaultParallelism) if narrow else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear_written(spark: SparkSession) -> None:
-    """Deletes the tables that this process wrote to the shared folder. Only for when no result that reads them is still wanted."""
-    for path in _written:
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-    _written.clear()
+def clear_written(*labels: str) -> None:
+    """Deletes the tables of these labels, or all, that this process wrote. Only for when no result that reads them is still wanted."""
+    gone = [x for x in _written if not labels or x.label in labels]
+    for x in gone:
+        _written.remove(x)
+        x.delete()
 
 
-def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """df.mapInArrow(run, schema) in batches of at most BATCH rows, whose texts both sides hold; a worker returns its memory after each task.
+def _clear_at_exit() -> None:
+    """What the process leaves behind is deleted while its JVM still answers; a JVM that is gone can delete nothing."""
+    with contextlib.suppress(Exception):
+        clear_written()
 
-    The batch size is a setting of the session, which this lowers.
-    """
-    conf = df.sparkSession.conf
-    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
+
+@contextlib.contextmanager
+def scratch(*keep: str) -> Iterator[None]:
+    """On leaving, deletes the tables written inside, but for those of the labels kept, which the results still read."""
+    before = list(_written)
+    yield
+    for x in [x for x in _written if x not in before and x.label not in keep]:
+        _written.remove(x)
+        x.delete()
+
+
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow(run, schema); run gets batches of at most BATCH rows, and a worker returns its memory after each task."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from run(batches)
+        yield from run(big.slice(at, BATCH) for big in batches for at in range(0, max(big.num_rows, 1), BATCH))
         pa.default_memory_pool().release_unused()
         if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
             trim(0)

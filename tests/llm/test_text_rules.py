@@ -49,16 +49,64 @@ def test_measures_against_plain(spark, texts):
     assert [tuple(got[k][c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) for k in range(len(texts))] == [measured(t) for t in texts]
 
 
+GOOD = lambda k: " ".join(f"w{k}x{j}" for j in range(60))
+JUNK = lambda k: " ".join(f"w{k}x{j} ##" for j in range(60))
+
+
+def plain_verdicts(rows):
+    """Hosts condemned and hosts trusted by rule, as the module's docstring has it."""
+    from math import sqrt
+
+    fails = {"short": lambda m: m[0] < 50, "repeated": lambda m: 2 * m[4] > m[0], "symbols": lambda m: 2 * m[2] > m[0], "lines": lambda m: m[3] >= 2 and 10 * m[3] > 3 * m[5]}
+    fails["ruined"] = lambda m, own=tuple(fails.values()): any(f(m) for f in own)
+    by_host = {}
+    for _, text, host in rows:
+        lines = [x for x in (text or "").split("\n") if WORDS.search(x)]
+        by_host.setdefault(host, []).append((*measured(text), len(lines)))
+    condemned, trusted = set(), {"symbols": set(), "lines": set()}
+    total = len(rows)
+    for rule, fail in fails.items():
+        counts = {h: (len(ms), sum(map(fail, ms))) for h, ms in by_host.items()}
+        mean = sum(f for _, f in counts.values()) / total
+        spread = sum(n * (f / n - mean) ** 2 for n, f in counts.values()) / total
+        apart = 1 - sum(n * n for n, _ in counts.values()) / total**2
+        between = (spread - mean * (1 - mean) * (len(counts) - 1) / total) / apart if apart > 1e-12 else 0
+        strength = min(1000, max(2, mean * (1 - mean) / between - 1)) if between > 1e-12 else 1000
+        for h, (n, f) in counts.items():
+            rate = (f + mean * strength) / (n + strength)
+            margin = 3 * sqrt(rate * (1 - rate) / (n + strength + 1))
+            if rate - margin > max(0.5, 4 * mean / (1 + 3 * mean)):
+                condemned.add(h)
+            if rule in trusted and rate + margin < mean / 2:
+                trusted[rule].add(h)
+    return condemned, trusted
+
+
 def test_hosts_are_judged_and_shrunk(spark):
-    good = lambda k: " ".join(f"w{k}x{j}" for j in range(60))
-    rows = [(k, "short", "bad") for k in range(200)] + [(200, good(200), "bad")] + [(300 + k, good(k), "ok") for k in range(200)] + [(600, "short", "tiny"), (601, good(1), None), (602, good(2), None)]
-    got = {r["doc_id"]: r for r in host_rules.judged(rows_of(spark, rows)).collect()}
-    assert len(got) == len(rows)
-    assert not got[200]["kept"] and not got[200]["base_failed"]
-    assert all(got[300 + k]["kept"] for k in range(200)) and got[601]["kept"] and got[602]["kept"]
-    assert got[600]["shrunk_rate"] < 1.0
+    rows = [(k, "short", "bad") for k in range(170)] + [(170 + k, GOOD(k), "bad") for k in range(30)]  # 85 of 100 fail
+    rows += [(300 + k, GOOD(k), "fine") for k in range(2000)] + [(2300, JUNK(1), "fine"), (2301, "x y z\n" * 30, "fine")]
+    rows += [(3000 + k, JUNK(k) if k % 3 == 0 else GOOD(k), "mixed") for k in range(600)]
+    rows += [(4000, "short", "tiny"), (4001, GOOD(1), "tiny"), (4002, GOOD(1), None), (4003, JUNK(2), None), (4003, JUNK(2), None)]
+    condemned, trusted = plain_verdicts(rows)
+    assert condemned == {"bad"} and trusted["symbols"] == {"bad", "fine"}
+    frame = host_rules.judged(rows_of(spark, rows))
+    found = frame.collect()
+    assert len(found) == len(rows)
+    assert {r["host"] for r in found if r["condemned"]} == condemned
+    assert all({r["host"] for r in found if r[f"trusted_{x}"]} == trusted[x] for x in trusted)
+    got = {r["doc_id"]: r for r in found}
+    assert not any(got[170 + k]["kept"] or got[170 + k]["base_failed"] for k in range(30))  # the host's verdict, not the document's
+    assert got[2300]["kept"] and got[2300]["symbols"] and got[300]["kept"]  # a soft failure at a trusted host
+    assert not got[3000]["kept"] and not got[3000]["base_failed"] and got[3001]["kept"] and not got[4003]["kept"]
+    assert not got[4000]["kept"] and got[4001]["kept"] and got[4002]["kept"] and got[4000]["rate_short"] < 1.0
     assert host_rules.judged(rows_of(spark, [])).count() == 0
-    assert "Python" not in host_rules.judged(rows_of(spark, rows))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_equal_hosts_are_left_alone(spark):
+    rows = [(100 * h + k, "short" if k % 4 == h % 2 else GOOD(k), f"h{h}") for h in range(10) for k in range(40)]
+    assert plain_verdicts(rows) == (set(), {"symbols": set(), "lines": set()})
+    assert all(r["kept"] != r["base_failed"] for r in host_rules.judged(rows_of(spark, rows)).collect())
 
 
 # --- secrets
