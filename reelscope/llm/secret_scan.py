@@ -30,7 +30,9 @@ HEX = "[0-9a-f]{16,}"
 TOKEN = "[A-Za-z0-9+/_=-]{20,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Least sum, and least mean by character pair, of the log-likelihood ratio.
-LEAST_SUM, LEAST_MEAN = 15.0, 1.0
+LEAST_SUM, LEAST_MEAN = 40.0, 2.5
+#: Weight of the shares of all followers in those of one character, in pairs.
+SMOOTH = 30.0
 #: Random strings made, for each of three alphabets, by default.
 SAMPLE_RANDOM = 3000
 #: Words of which identifiers are made, and identifiers as they stand in texts: words and camel case with short numbers, joined.
@@ -122,20 +124,27 @@ def samples(docs: DataFrame, random: int = SAMPLE_RANDOM) -> DataFrame:
 def train(labelled: DataFrame) -> list[float]:
     """log P(b | a, random) - log P(b | a, ordinary) for each pair of characters of ALPHABET, by labelled (text, label) strings.
 
-    Where there is a column n, a string counts n times. Counts are smoothed by one half. Characters outside ALPHABET break a string. Without samples all ratios are 0.
+    Where there is a column n, a string counts n times. A character's followers are smoothed by SMOOTH times the shares of all
+    followers, these by one half each. Characters outside ALPHABET break a string. Without samples all ratios are 0.
     """
     size = len(ALPHABET)
     pair = F.explode(F.transform(F.sequence(F.lit(1), F.length("text") - 1), lambda i: F.substring(F.col("text"), i, F.lit(2))))
     times = F.col("n") if "n" in labelled.columns else F.lit(1)
     pairs = labelled.filter(F.length("text") >= 2).select("label", times.alias("n"), pair.alias("pair")).filter(F.col("pair").rlike("^[A-Za-z0-9+/_=-]{2}$"))
     counts = pairs.groupBy("label", "pair").agg(F.sum("n").alias("n")).collect()
-    of = {0: [[0.5] * size for _ in range(size)], 1: [[0.5] * size for _ in range(size)]}
+    of = {label: [[0.0] * size for _ in range(size)] for label in (0, 1)}
     place = {c: i for i, c in enumerate(ALPHABET)}
     for r in counts:
         a, b = r["pair"]
         if a in place and b in place:
             of[r["label"]][place[a]][place[b]] += r["n"]
-    return [math.log(of[1][a][b] / sum(of[1][a])) - math.log(of[0][a][b] / sum(of[0][a])) for a in range(size) for b in range(size)]
+
+    def logs(n: list[list[float]]) -> list[float]:
+        every = [sum(row[b] for row in n) + 0.5 for b in range(size)]
+        share = [x / sum(every) for x in every]
+        return [math.log((row[b] + SMOOTH * share[b]) / (sum(row) + SMOOTH)) for row in n for b in range(size)]
+
+    return [x - y for x, y in zip(logs(of[1]), logs(of[0]), strict=True)]
 
 
 def _ratio(token: F.Column, table_: F.Column) -> F.Column:
