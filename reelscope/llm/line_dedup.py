@@ -1,12 +1,15 @@
 """Reversible line dedup: sharded cuckoo filters in front of exact reference counts.
 
-The exact table counts, for each line key, the documents that have it. A shard's cuckoo filter holds the keys of its part of the
-hash range that reached `at_least` documents. Adding or removing documents changes the counts exactly, inserts the keys that
-cross the bound upwards and deletes those that cross it downwards, so an index after add and remove equals one never touched.
+The exact table counts, for each line key, the documents that have it. A shard has the keys of its part of the hash range that
+reached `at_least` documents: a cuckoo filter of them, and behind it the keys themselves. Adding or removing documents changes the
+counts exactly, inserts the keys that cross the bound upwards and deletes those that cross it downwards, so an index after add and
+remove equals one never touched. A shard is small, as their number grows with the keys and lines.
 
-To drop lines, a worker asks the filters first; only a key that they pass is looked up in the exact table, so no line is lost to
-a filter's false positive. The frequent keys go to the workers while there are at most `most_keys` of them (16 bytes each, counted
-first); beyond that the passing keys join the table by shuffle.
+Lines are looked up where the shards are, in one plan for any size. The heavy keys, those with more than 1 / `heavy` of all (line,
+document) pairs, are fewer than `heavy` whatever the corpus, so they go to every worker and their lines move nowhere. The other
+keys of a document go to their shards, where none of them is more than that share of all; a worker holds one shard, streams the
+keys through its filter and looks up in the exact keys what the filter passes. What is found goes back to the documents by a
+hash of the row.
 
 A key is 128 bits of the line without white space at its ends, A to Z in lower case. Rows are documents: a repeated row counts
 again. A null or empty text is one empty line, which has no key and always stays. Empty tables give empty results.
@@ -32,12 +35,10 @@ from .shared import in_arrow, table, written
 STRIPPED = b" \t\n\x0b\f\r"
 #: The query's bound.
 AT_LEAST = 10
-#: Filters; each holds an equal part of the keys.
-SHARDS = 64
-#: Frequent keys sent to every worker, at most: 32 MB.
-MOST_KEYS = 2_000_000
-#: Bytes of filters sent to every worker, at most. Larger ones are not sent; all keys then count as passing.
-MOST_FILTER = 64_000_000
+#: Shards at least, and frequent keys and (line, document) pairs of one that their number aims at.
+LEAST_SHARDS, SHARD_KEYS, SHARD_PAIRS = 64, 100_000, 20_000_000
+#: Keys that every worker gets are fewer than this: 16 bytes each.
+HEAVY = 20_000
 
 
 def line_key(line: bytes) -> bytes:
@@ -88,31 +89,76 @@ def line_counts(docs: DataFrame) -> DataFrame:
     return in_arrow(docs.select("text"), run, "hi long, lo long").groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _shard() -> F.Column:
-    return F.pmod(F.col("hi"), F.lit(SHARDS)).cast("int").alias("shard")
+def _shard(shards: int) -> F.Column:
+    return F.pmod(F.col("hi"), F.lit(shards)).cast("int").alias("shard")
 
 
-def _filters(keys: DataFrame) -> DataFrame:
-    """shard, filter: built from the exact keys (hi, lo)."""
+def _shards_for(counts: DataFrame, at_least: int) -> int:
+    found = counts.agg(F.count(F.when(F.col("n") >= at_least, 1)).alias("keys"), F.sum("n").alias("pairs")).collect()[0]
+    return max(LEAST_SHARDS, -(-found["keys"] // SHARD_KEYS), -(-(found["pairs"] or 0) // SHARD_PAIRS))
+
+
+_FILTERS = "shard int, filter binary, keys binary"
+
+
+def _filter_row(shard: int, own: CuckooFilter, hi: np.ndarray, lo: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"shard": [shard], "filter": [own.to_bytes()], "keys": [np.concatenate([hi, lo]).astype(np.int64).tobytes()]})
+
+
+def _filters(keys: DataFrame, shards: int) -> DataFrame:
+    """A filter for each shard of the exact keys (hi, lo), and the keys: all hi, then all lo."""
 
     def build(part: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"shard": [int(part["shard"].iloc[0])], "filter": [CuckooFilter.built(part["lo"].to_numpy().view(np.uint64)).to_bytes()]})
+        hi, lo = (part[c].to_numpy(np.int64) for c in ("hi", "lo"))
+        return _filter_row(int(part["shard"].iloc[0]), CuckooFilter.built(lo.view(np.uint64)), hi, lo)
+
+    return keys.select(_shard(shards), "hi", "lo").groupBy("shard").applyInPandas(build, _FILTERS)
+
 
-    return keys.select(_shard(), "lo").groupBy("shard").applyInPandas(build, "shard int, filter binary")
+def _found(filters: DataFrame, keys: DataFrame, shards: int) -> DataFrame:
+    """uid, hi, lo of the keys (uid, hi, lo) that are in the shards' exact keys; each shard's filter is asked first."""
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = keys.select(_shard(shards), F.lit(True).alias("asked"), "uid", "hi", "lo", none("binary").alias("filter"), none("binary").alias("keys"))
+    shard_rows = filters.select("shard", F.lit(False).alias("asked"), none("long").alias("uid"), none("long").alias("hi"), none("long").alias("lo"), "filter", "keys")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own, exact = -1, None, None
+        for batch in batches:
+            shard, asked = batch.column("shard").to_numpy(), batch.column("asked").to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(np.append(True, (shard[1:] != shard[:-1]) | ~asked[1:] | ~asked[:-1])) if len(shard) else []
+            for start, end in zip(starts, [*starts[1:], len(shard)], strict=True):
+                if not asked[start]:
+                    both = np.frombuffer(batch.column("keys")[start].as_py(), np.int64)
+                    at, own, exact = shard[start], CuckooFilter.from_bytes(batch.column("filter")[start].as_py()), KeySet(*np.split(both, 2))
+                elif shard[start] == at:
+                    part = batch.slice(start, end - start)
+                    hi, lo = (part.column(c).to_numpy() for c in ("hi", "lo"))
+                    hit = np.flatnonzero(own.contains(lo.view(np.uint64)))
+                    hit = hit[exact.contains(hi[hit], lo[hit])]
+                    if len(hit):
+                        yield part.select(["uid", "hi", "lo"]).take(pa.array(hit))
+
+    placed = shard_rows.unionByName(rows).repartition("shard").sortWithinPartitions("shard", "asked")
+    return placed.mapInArrow(run, "uid long, hi long, lo long")
 
 
 @dataclass
 class LineIndex:
-    """counts (hi, lo, n) and filters (shard, filter), both tables in the shared folder."""
+    """counts (hi, lo, n) and filters (shard, filter, keys), both tables in the shared folder."""
 
     counts: DataFrame
     filters: DataFrame
     at_least: int
+    shards: int
 
     @classmethod
     def build(cls, docs: DataFrame, at_least: int = AT_LEAST) -> LineIndex:
-        counts = written(line_counts(docs), "line-counts")
-        return cls(counts, written(_filters(counts.filter(F.col("n") >= at_least)), "line-filters"), at_least)
+        return cls._of(written(line_counts(docs), "line-counts"), at_least)
+
+    @classmethod
+    def _of(cls, counts: DataFrame, at_least: int) -> LineIndex:
+        shards = _shards_for(counts, at_least)
+        return cls(counts, written(_filters(counts.filter(F.col("n") >= at_least), shards), "line-filters"), at_least, shards)
 
     def add(self, docs: DataFrame) -> LineIndex:
         return self._changed(line_counts(docs))
@@ -126,121 +172,89 @@ class LineIndex:
         both = self.counts.withColumn("d", F.lit(0).cast("long")).unionByName(delta.withColumnRenamed("n", "d").withColumn("n", F.lit(0).cast("long")))
         both = written(both.groupBy("hi", "lo").agg(F.sum("n").alias("was"), F.sum(F.col("n") + F.col("d")).alias("n")), "line-changes")
         counts = written(both.filter("n > 0").select("hi", "lo", "n"), "line-counts")
-        crossed = both.filter((F.col("was") >= bound) != (F.col("n") >= bound)).select(_shard(), "hi", "lo", (F.col("n") >= bound).alias("up"))
+        if _shards_for(counts, bound) > 2 * self.shards:
+            return self._of(counts, bound)
+        crossed = both.filter((F.col("was") >= bound) != (F.col("n") >= bound)).select(_shard(self.shards), "hi", "lo", (F.col("n") >= bound).alias("up"))
         frequent = counts.filter(F.col("n") >= bound)
 
         def change(old: pd.DataFrame, keys: pd.DataFrame) -> pd.DataFrame:
             shard = int((old if len(old) else keys)["shard"].iloc[0])
             own = CuckooFilter.from_bytes(old["filter"].iloc[0]) if len(old) else CuckooFilter.sized(len(keys))
-            hashes = keys["lo"].to_numpy().view(np.uint64)
+            hi, lo = np.split(np.frombuffer(old["keys"].iloc[0], np.int64), 2) if len(old) else (np.zeros(0, np.int64),) * 2
+            of = lambda c, which: keys[c].to_numpy(np.int64)[which]
             up = keys["up"].to_numpy(bool)
-            for h in hashes[~up]:
-                own.delete(h)
+            own.delete(of("lo", ~up).view(np.uint64))
+            stay = ~KeySet(of("hi", ~up), of("lo", ~up)).contains(hi, lo)
             try:
-                for h in hashes[up]:
-                    own.insert(h)
+                own.insert(of("lo", up).view(np.uint64))
             except Full:
-                return pd.DataFrame({"shard": [shard], "filter": [b""]})
-            return pd.DataFrame({"shard": [shard], "filter": [own.to_bytes()]})
+                return pd.DataFrame({"shard": [shard], "filter": [b""], "keys": [b""]})
+            return _filter_row(shard, own, np.append(hi[stay], of("hi", up)), np.append(lo[stay], of("lo", up)))
 
-        changed = written(self.filters.groupBy("shard").cogroup(crossed.groupBy("shard")).applyInPandas(change, "shard int, filter binary"), "line-filters")
+        changed = written(self.filters.groupBy("shard").cogroup(crossed.groupBy("shard")).applyInPandas(change, _FILTERS), "line-filters")
         full = changed.filter(F.octet_length("filter") == 0).select("shard")
-        rebuilt = _filters(frequent.withColumn("shard", _shard()).join(full, "shard", "left_semi").select("hi", "lo"))
-        return LineIndex(counts, written(changed.filter(F.octet_length("filter") > 0).unionByName(rebuilt), "line-filters"), bound)
+        rebuilt = _filters(frequent.withColumn("shard", _shard(self.shards)).join(full, "shard", "left_semi").select("hi", "lo"), self.shards)
+        return LineIndex(counts, written(changed.filter(F.octet_length("filter") > 0).unionByName(rebuilt), "line-filters"), bound, self.shards)
 
-    def kept_lines(self, docs: DataFrame, most_keys: int = MOST_KEYS) -> DataFrame:
+    def kept_lines(self, docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
         """All columns of docs (with doc_id and text) as they came, and n_lines long, n_dropped long, kept_text string.
 
-        A column of docs that has one of these names is replaced.
+        A column of docs that has one of these names is replaced, _line_uid and _line_gone too. heavy: see the module.
         """
-        spark = docs.sparkSession
-        frequent = self.counts.filter(F.col("n") >= self.at_least).select("hi", "lo")
-        filters: list[CuckooFilter | None] = [None] * SHARDS
-        total = self.filters.agg(F.sum(F.octet_length("filter"))).collect()[0][0] or 0
-        sent = total <= MOST_FILTER
-        if sent:
-            for r in self.filters.collect():
-                filters[r["shard"]] = CuckooFilter.from_bytes(bytes(r["filter"]))
-        exact = None
-        if frequent.count() <= most_keys:
-            arrow = frequent.toArrow()
-            exact = KeySet(*(arrow.column(c).to_numpy().astype(np.int64) for c in ("hi", "lo")))
-        shared = spark.sparkContext.broadcast((filters if sent else None, exact))
-        base = docs.drop("n_lines", "n_dropped", "kept_text")
+        pairs = self.counts.agg(F.sum("n")).collect()[0][0] or 0
+        often = self.counts.filter((F.col("n") >= self.at_least) & (F.col("n") * heavy > pairs)).select("hi", "lo").toArrow()
+        shared = docs.sparkSession.sparkContext.broadcast(tuple(often.column(c).to_numpy().astype(np.int64) for c in ("hi", "lo")))
+        base = docs.drop("n_lines", "n_dropped", "kept_text", "_line_uid", "_line_gone")
         columns = base.columns
         made_fields = [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept_text", T.StringType())]
-        out_schema = T.StructType([*base.schema.fields, *made_fields])
-
-        def passing(keys: list[bytes]) -> np.ndarray:
-            own = shared.value[0]
-            out = np.array([bool(k) for k in keys])
-            if own is None or not out.any():
-                return out
-            at = np.flatnonzero(out)
-            both = _halves([keys[i] for i in at])
-            shard, hashes = both[:, 0] % SHARDS, both[:, 1].copy().view(np.uint64)
-            found = np.zeros(len(at), bool)
-            for s in np.unique(shard):
-                if own[s] is not None:
-                    mine = shard == s
-                    found[mine] = own[s].contains(hashes[mine])
-            out[at] = found
-            return out
-
-        def drop(batch: pa.RecordBatch, of_row) -> pa.RecordBatch:
-            counts, dropped, kept = [], [], []
-            for row, value in enumerate(batch.column("text")):
-                text = value.as_py() or ""
-                lines = text.encode().split(b"\n")
-                gone = of_row(row, lines)
-                counts.append(len(lines))
-                dropped.append(sum(gone))
-                kept.append(b"\n".join([x for x, g in zip(lines, gone, strict=True) if not g]).decode() if any(gone) else text)
-            made = {"n_lines": pa.array(counts, pa.int64()), "n_dropped": pa.array(dropped, pa.int64()), "kept_text": pa.array(kept, pa.string())}
-            return pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *made.values()], [*columns, *made])
-
-        if exact is not None:
-
-            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                known = shared.value[1]
-                for big in batches:
-                    for start in range(0, big.num_rows, 256):
-                        batch = big.slice(start, 256)
-                        of_rows = [[line_key(x) for x in (t.as_py() or "").encode().split(b"\n")] for t in batch.column("text")]
-                        flat = [k for keys in of_rows for k in keys]
-                        gone = passing(flat)
-                        at = np.flatnonzero(gone)
-                        both = _halves([flat[k] for k in at])
-                        gone[at] = known.contains(both[:, 0], both[:, 1])
-                        gone = gone.tolist()
-                        ends = np.cumsum([len(keys) for keys in of_rows])
-                        yield drop(batch, lambda row, lines, gone=gone, ends=ends: gone[ends[row] - len(lines) : ends[row]])
-
-            return in_arrow(base, run, out_schema)
-
-        def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # rows of one uid have equal texts, or else share a list of keys all of which are frequent, so that nothing else is dropped
+        uid = F.xxhash64("doc_id", "text")
+
+        def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = KeySet(*shared.value)
             for batch in batches:
                 uids, keys = [], []
-                for value in batch.column("text"):
-                    text = value.as_py() or ""
-                    own = list({k for k in keys_of(text) if k})
-                    own = [k for k, p in zip(own, passing(own), strict=True) if p]
-                    uids += [xxhash.xxh3_128_digest(text.encode())] * len(own)
+                for u, text in zip(batch.column("uid").to_pylist(), batch.column("text"), strict=True):
+                    own = {k for k in keys_of(text.as_py()) if k}
+                    uids += [u] * len(own)
                     keys += own
                 both = _halves(keys)
-                yield pa.RecordBatch.from_arrays([pa.array(uids, pa.binary()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["line_text", "hi", "lo"])
-
-        def by_list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                lists = batch.column("line_gone")
-                yield drop(batch, lambda row, lines, lists=lists: [bool(k) and k in gone for gone in [set(lists[row].as_py() or ())] for k in map(line_key, lines)])
+                left = np.flatnonzero(~known.contains(both[:, 0], both[:, 1]))
+                out = pa.RecordBatch.from_arrays([pa.array(np.array(uids, np.int64)[left]), pa.array(both[left, 0]), pa.array(both[left, 1])], ["uid", "hi", "lo"])
+                for at in range(0, len(left), 50_000):
+                    yield out.slice(at, 50_000)
+
+        def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = KeySet(*shared.value)
+            for big in batches:
+                for start in range(0, big.num_rows, 256):
+                    yield dropped(big.slice(start, 256), known)
+
+        def dropped(batch: pa.RecordBatch, known: KeySet) -> pa.RecordBatch:
+            texts = [t.as_py() or "" for t in batch.column("text")]
+            of_rows = [t.encode().split(b"\n") for t in texts]
+            keys = [line_key(x) for lines in of_rows for x in lines]
+            gone = np.array([bool(k) for k in keys])
+            at = np.flatnonzero(gone)
+            both = _halves([keys[k] for k in at])
+            gone[at] = known.contains(both[:, 0], both[:, 1])
+            ends = np.cumsum([len(lines) for lines in of_rows])
+            counts, n_dropped, kept = [], [], []
+            for text, lines, end, listed in zip(texts, of_rows, ends, batch.column("_line_gone").to_pylist(), strict=True):
+                flags = gone[end - len(lines) : end].tolist()
+                if listed:
+                    own = {np.array([x["hi"], x["lo"]], np.int64).tobytes() for x in listed}
+                    flags = [g or k in own for g, k in zip(flags, keys[end - len(lines) : end], strict=True)]
+                counts.append(len(lines))
+                n_dropped.append(sum(flags))
+                kept.append(b"\n".join([x for x, g in zip(lines, flags, strict=True) if not g]).decode() if any(flags) else text)
+            made = [pa.array(counts, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.string())]
+            return pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *made], [*columns, "n_lines", "n_dropped", "kept_text"])
 
-        found = in_arrow(base.select("text"), candidates, "line_text binary, hi long, lo long").distinct()
-        key = F.udf(lambda hi, lo: np.array([hi, lo], np.int64).tobytes(), "binary")
-        gone = found.join(frequent, ["hi", "lo"], "left_semi").groupBy("line_text").agg(F.collect_list(key("hi", "lo")).alias("line_gone"))
-        digest = F.udf(lambda t: xxhash.xxh3_128_digest((t or "").encode()), "binary")
-        joined = base.withColumn("line_text", digest("text")).join(gone, "line_text", "left").drop("line_text")
-        return in_arrow(joined, by_list, out_schema)
+        asked = in_arrow(base.select(uid.alias("uid"), "text"), rare, "uid long, hi long, lo long")
+        gone = _found(self.filters, asked, self.shards).distinct().groupBy(F.col("uid").alias("_line_uid")).agg(F.collect_list(F.struct("hi", "lo")).alias("_line_gone"))
+        joined = base.withColumn("_line_uid", uid).join(gone, "_line_uid", "left").select(*columns, "_line_gone")
+        return in_arrow(joined, drop, T.StructType([*base.schema.fields, *made_fields]))
 
 
 def dropped_lines(docs: DataFrame, at_least: int = AT_LEAST) -> DataFrame:
@@ -249,6 +263,10 @@ def dropped_lines(docs: DataFrame, at_least: int = AT_LEAST) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document before and after those that ten documents or more share are dropped.
+
+    A null text is one empty line; rows that repeat are documents of their own; an empty table gives no row.
+    """
     kept = dropped_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
