@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import drop_written, scratch, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -38,8 +38,13 @@ def components(links: DataFrame) -> DataFrame:
 
     Links may repeat, go either way or join a node to itself; rows with a null end are no links.
     """
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("a is not null and b is not null and u <> v")
-    while True:
-        edges = written(_small_star(_large_star(edges)), "links", narrow=True)
-        if not _unsettled(edges):
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    edges, last = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("a is not null and b is not null and u <> v"), None
+    with scratch() as kept:
+        while last is None or _unsettled(edges):
+            edges = written(_small_star(_large_star(edges)), "links", narrow=True)
+            if last is not None:
+                drop_written(last)
+            last = edges
+        found = edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+        kept.append(written(found, "components", narrow=True))
+    return kept[0]

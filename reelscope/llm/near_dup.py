@@ -30,13 +30,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import in_arrow, table, text_chunks, written
+from .shared import in_arrow, scratch, table, text_chunks, written
 from .words import mixed, shingle_hashes, word_hashes
 
 BANDS = 48
 ROWS = 6
 #: Links need this similarity, in hundredths.
 PERCENT = 80
+#: Members of a bucket that one task of a join by bucket aims at.
+SLICE = 256
 
 _SEEDS = mixed(np.arange(1, 4097, dtype=np.uint64))
 
@@ -127,6 +129,18 @@ def measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", F.col("common").cast("long").alias("common"), linked.alias("linked"))
 
 
+def _by_bucket(rows: DataFrame, buckets: DataFrame) -> DataFrame:
+    """rows (bucket, rep, m, ...) joined with the row of their bucket (bucket, m, ...).
+
+    m, the members that a bucket had at first, tells into how many slices its rows are dealt, each of which meets a copy of the
+    bucket's row; so a hot bucket is no task of its own. Rows of two buckets of one hash differ in m; the greater one makes the copies.
+    """
+    slices = F.ceil(F.col("m") / SLICE)
+    dealt = rows.withColumn("slice", F.pmod(F.xxhash64("rep"), slices))
+    copies = buckets.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), slices - 1))).drop("m")
+    return dealt.join(copies, ["bucket", "slice"]).drop("slice")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs (doc_id, text).
 
@@ -136,67 +150,69 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, band
     (null). Other columns are not looked at. An empty table gives an empty result.
     """
     docs = docs.select("doc_id", "text")
-    marked = written(sketched(docs, size, bands, rows), "sketches")
-    classes = written(marked.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")), "classes")
-    members = classes.filter("rep is not null").select("rep", "n", F.posexplode("keys").alias("band", "key"))
-    shared = members.groupBy("band", "key").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count(F.lit(1)).alias("m")).filter("low <> high").select("band", "key", "m")
-    members = written(members.join(shared, ["band", "key"]).select(F.xxhash64("band", "key").alias("bucket"), "rep", "n", "m"), "buckets")
-    met = members.groupBy("rep").agg(F.sum("m").alias("met"))
-    sets = written(shingle_sets(docs.join(met.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), size), "sets")
-    alone = sets.select("doc_id", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min("doc_id").alias("rep")).filter("c = 1")
-    alone = alone.groupBy("rep").agg(F.count(F.lit(1)).alias("alone"))
-    about = met.join(alone, "rep", "left").select("rep", "met", F.coalesce("alone", F.lit(0)).alias("alone"))
-    members = members.join(about, "rep").select("bucket", "rep", "n", (F.col("n") - F.col("alone")).alias("f"), "met")
-    members = written(members.filter(F.col("f") * 100 >= F.col("n") * percent), "buckets")
-    one = F.struct("rep", "n", "f", "met")
-    ranked = members.groupBy("bucket").agg(F.min(one).alias("least"), F.min_by(one, F.struct(-F.col("met"), F.col("rep"))).alias("other"))
-
-    may = lambda most: most * (100 + percent) >= (F.col("n") + F.col("n2")) * percent
-    pair = [F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")]
-    hubs = members.join(ranked, "bucket").select("rep", "n", "f", F.explode(F.array_distinct(F.array("least", "other"))).alias("hub"))
-    hubs = hubs.select("rep", "n", "f", F.col("hub.rep").alias("rep2"), F.col("hub.n").alias("n2"), F.col("hub.f").alias("f2"), F.col("hub.met").alias("met2"))
-    hubs = hubs.filter(F.col("rep") != F.col("rep2")).filter(may(F.least("f", "f2"))).distinct()
-    hubs = written(hubs, "hubs", narrow=True)
-    tested = written(measured(hubs.select(*pair).distinct(), sets, percent), "measured")
-    of_node = components(tested.filter("linked"))
-
-    # what each member shares with its hub, the most central one of those that it was tested against and itself
-    own = hubs.select("rep", F.col("rep2").alias("hub"), "met2", *pair).join(tested, ["a", "b"]).select("rep", "hub", "met2", "common")
-    own = own.unionByName(members.select("rep", F.col("rep").alias("hub"), F.col("met").alias("met2"), F.col("n").alias("common")).distinct())
-    own = own.groupBy("rep").agg(F.max_by(F.struct("hub", "common"), F.struct("met2", "hub", "common")).alias("own"))
-    info = members.select("rep", "n", "f").distinct().join(own, "rep", "left").join(of_node, F.col("rep") == F.col("node"), "left")
-    info = info.select("rep", "n", "f", F.coalesce("own.hub", "rep").alias("hub"), F.coalesce("own.common", "n").alias("c"), F.coalesce("component", "rep").alias("comp"))
-    labelled = members.select("bucket", "rep").join(info, "rep")
-    split = labelled.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("bucket")
-    labelled = written(labelled.join(split, "bucket"), "split-buckets")
-    as_second = lambda df: df.select(*(F.col(c) if c in ("bucket", "shingle") else F.col(c).alias(f"{c}2") for c in df.columns))
-
-    # beyond what both share with the same hub, a pair shares only shingles that the hub has not
-    can = may(F.least("f", "f2")) & ((F.col("hub") != F.col("hub2")) | may(F.least("c", "c2")))
-    edge = labelled.groupBy("bucket").agg(F.min("n").alias("n2"), F.max("f").alias("f2"), F.max("c").alias("c2"), F.min("hub").alias("low"), F.max("hub").alias("high"))
-    viable = labelled.join(edge, "bucket").filter(may(F.least("f", "f2")) & ((F.col("low") != F.col("high")) | may(F.least("c", "c2")))).select(*labelled.columns)
-    parts = viable.groupBy("bucket", "comp", "hub").agg(F.min("n").alias("n"), F.max("f").alias("f"), F.max("c").alias("c"))
-    apart = parts.join(as_second(parts), "bucket").filter((F.col("comp") < F.col("comp2")) & can).select("bucket", "comp", "hub", "comp2", "hub2", "n2", "f2", "c2")
-    half = apart.join(viable, ["bucket", "comp", "hub"]).filter(can).drop("n2", "f2", "c2")
-    by_hub = half.join(as_second(viable), ["bucket", "comp2", "hub2"]).filter(can).select(*pair)
-    inside = labelled.select("rep", "n", "hub", "c", "comp").distinct()
-    least = inside.groupBy("hub").agg(F.min("n").alias("n2"))
-    need = F.ceil((F.col("n") + F.col("n2")) * percent / F.lit(100 + percent)) - F.col("c")
-    inside = inside.join(least, "hub").withColumn("need", need).drop("n2")
-    rest = inside.join(sets.select(F.col("doc_id").alias("rep"), "shingles"), "rep").join(sets.select(F.col("doc_id").alias("hub"), F.col("shingles").alias("of_hub")), "hub")
-    rest = rest.select("rep", "n", "hub", "c", "comp", "need", F.explode(F.array_except("shingles", "of_hub")).alias("shingle"))
-    rest = written(rest, "rests")
-    often = rest.groupBy("hub", "shingle").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
-    # a pair that shares `need` of these has one among the rarest, all but need - 1, of both
-    own = Window.partitionBy("hub", "rep")
-    rest = rest.join(often, ["hub", "shingle"]).withColumn("turn", F.row_number().over(own.orderBy("often", "shingle"))).withColumn("d", F.count(F.lit(1)).over(own))
-    rest = written(rest.filter(F.col("turn") <= F.col("d") - F.greatest(F.col("need"), F.lit(1)) + 1).select("rep", "n", "hub", "c", "comp", "d", "shingle"), "rests")
-    sharing = rest.join(as_second(rest).withColumnRenamed("hub2", "hub"), ["hub", "shingle"])
-    by_rest = sharing.filter((F.col("comp") < F.col("comp2")) & may(F.least("c", "c2") + F.least("d", "d2"))).select(*pair)
-    pairs = by_hub.unionByName(by_rest).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    more = written(measured(pairs, sets, percent).filter("linked"), "confirmed")
-    if not more.isEmpty():
-        of_node = components(more.select("a", "b").unionByName(of_node.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    with scratch() as kept:
+        marked = written(sketched(docs, size, bands, rows), "sketches")
+        classes = written(marked.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")), "classes")
+        members = classes.filter("rep is not null").select("rep", "n", F.posexplode("keys").alias("band", "key"))
+        shared = members.groupBy("band", "key").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count(F.lit(1)).alias("m")).filter("low <> high").select("band", "key", "m")
+        members = written(members.join(shared, ["band", "key"]).select(F.xxhash64("band", "key").alias("bucket"), "rep", "n", "m"), "buckets")
+        met = members.groupBy("rep").agg(F.sum("m").alias("met"))
+        sets = written(shingle_sets(docs.join(met.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), size), "sets")
+        alone = sets.select("doc_id", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min("doc_id").alias("rep")).filter("c = 1")
+        alone = alone.groupBy("rep").agg(F.count(F.lit(1)).alias("alone"))
+        about = met.join(alone, "rep", "left").select("rep", "met", F.coalesce("alone", F.lit(0)).alias("alone"))
+        members = members.join(about, "rep").select("bucket", "rep", "n", (F.col("n") - F.col("alone")).alias("f"), "met", "m")
+        members = written(members.filter(F.col("f") * 100 >= F.col("n") * percent), "buckets")
+        one = F.struct("rep", "n", "f", "met")
+        ranked = members.groupBy("bucket").agg(F.min(one).alias("least"), F.min_by(one, F.struct(-F.col("met"), F.col("rep"))).alias("other"), F.max("m").alias("m"))
+
+        may = lambda most: most * (100 + percent) >= (F.col("n") + F.col("n2")) * percent
+        pair = [F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")]
+        hubs = _by_bucket(members, ranked).select("rep", "n", "f", F.explode(F.array_distinct(F.array("least", "other"))).alias("hub"))
+        hubs = hubs.select("rep", "n", "f", F.col("hub.rep").alias("rep2"), F.col("hub.n").alias("n2"), F.col("hub.f").alias("f2"), F.col("hub.met").alias("met2"))
+        hubs = hubs.filter(F.col("rep") != F.col("rep2")).filter(may(F.least("f", "f2"))).distinct()
+        hubs = written(hubs, "hubs", narrow=True)
+        tested = written(measured(hubs.select(*pair).distinct(), sets, percent), "measured")
+        of_node = components(tested.filter("linked"))
+
+        # what each member shares with its hub, the most central one of those that it was tested against and itself
+        own = hubs.select("rep", F.col("rep2").alias("hub"), "met2", *pair).join(tested, ["a", "b"]).select("rep", "hub", "met2", "common")
+        own = own.unionByName(members.select("rep", F.col("rep").alias("hub"), F.col("met").alias("met2"), F.col("n").alias("common")).distinct())
+        own = own.groupBy("rep").agg(F.max_by(F.struct("hub", "common"), F.struct("met2", "hub", "common")).alias("own"))
+        info = members.select("rep", "n", "f").distinct().join(own, "rep", "left").join(of_node, F.col("rep") == F.col("node"), "left")
+        info = info.select("rep", "n", "f", F.coalesce("own.hub", "rep").alias("hub"), F.coalesce("own.common", "n").alias("c"), F.coalesce("component", "rep").alias("comp"))
+        labelled = members.select("bucket", "rep", "m").join(info, "rep")
+        split = labelled.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("m").alias("m")).filter("low <> high").select("bucket", "m")
+        labelled = written(_by_bucket(labelled, split), "split-buckets")
+        as_second = lambda df: df.select(*(F.col(c) if c in ("bucket", "shingle") else F.col(c).alias(f"{c}2") for c in df.columns))
+
+        # beyond what both share with the same hub, a pair shares only shingles that the hub has not
+        can = may(F.least("f", "f2")) & ((F.col("hub") != F.col("hub2")) | may(F.least("c", "c2")))
+        edge = labelled.groupBy("bucket").agg(F.min("n").alias("n2"), F.max("f").alias("f2"), F.max("c").alias("c2"), F.min("hub").alias("low"), F.max("hub").alias("high"), F.max("m").alias("m"))
+        viable = _by_bucket(labelled, edge).filter(may(F.least("f", "f2")) & ((F.col("low") != F.col("high")) | may(F.least("c", "c2")))).drop("n2", "f2", "c2", "low", "high", "m")
+        parts = viable.groupBy("bucket", "comp", "hub").agg(F.min("n").alias("n"), F.max("f").alias("f"), F.max("c").alias("c"))
+        apart = parts.join(as_second(parts), "bucket").filter((F.col("comp") < F.col("comp2")) & can).select("bucket", "comp", "hub", "comp2", "hub2", "n2", "f2", "c2")
+        half = apart.join(viable, ["bucket", "comp", "hub"]).filter(can).drop("n2", "f2", "c2")
+        by_hub = half.join(as_second(viable), ["bucket", "comp2", "hub2"]).filter(can).select(*pair)
+        inside = labelled.select("rep", "n", "hub", "c", "comp").distinct()
+        least = inside.groupBy("hub").agg(F.min("n").alias("n2"))
+        need = F.ceil((F.col("n") + F.col("n2")) * percent / F.lit(100 + percent)) - F.col("c")
+        inside = inside.join(least, "hub").withColumn("need", need).drop("n2")
+        rest = inside.join(sets.select(F.col("doc_id").alias("rep"), "shingles"), "rep").join(sets.select(F.col("doc_id").alias("hub"), F.col("shingles").alias("of_hub")), "hub")
+        rest = rest.select("rep", "n", "hub", "c", "comp", "need", F.explode(F.array_except("shingles", "of_hub")).alias("shingle"))
+        rest = written(rest, "rests")
+        often = rest.groupBy("hub", "shingle").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
+        # a pair that shares `need` of these has one among the rarest, all but need - 1, of both
+        own = Window.partitionBy("hub", "rep")
+        rest = rest.join(often, ["hub", "shingle"]).withColumn("turn", F.row_number().over(own.orderBy("often", "shingle"))).withColumn("d", F.count(F.lit(1)).over(own))
+        rest = written(rest.filter(F.col("turn") <= F.col("d") - F.greatest(F.col("need"), F.lit(1)) + 1).select("rep", "n", "hub", "c", "comp", "d", "shingle"), "rests")
+        sharing = rest.join(as_second(rest).withColumnRenamed("hub2", "hub"), ["hub", "shingle"])
+        by_rest = sharing.filter((F.col("comp") < F.col("comp2")) & may(F.least("c", "c2") + F.least("d", "d2"))).select(*pair)
+        pairs = by_hub.unionByName(by_rest).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        more = written(measured(pairs, sets, percent).filter("linked"), "confirmed")
+        if not more.isEmpty():
+            of_node = components(more.select("a", "b").unionByName(of_node.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+        kept += [marked, classes, of_node]
 
     reps = classes.select("class", "rep")
     joined = marked.select("doc_id", "n", "class").join(reps, "class", "left").join(of_node, F.col("rep") == F.col("node"), "left")
@@ -205,5 +221,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, band
 
 
 def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document over links of similarity 0.8 or more of four-word shingles; its least id is kept.
+
+    A null text or one without words has no shingle and is its own component; rows that repeat an id are one node, each a row of the
+    result; a null id has the component of its equals, or none; an empty table gives no row.
+    """
     found = near_duplicates(table(spark, sf_dir, "documents"), size=4)
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -24,11 +24,11 @@ BATCH = 1000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-@dataclass
+@dataclass(eq=False)
 class _Written:
     """A table of written(), and what deletes it."""
 
-    label: str
+    frame: DataFrame
     path: str
     jvm: object
     conf: object
@@ -66,40 +66,43 @@ def written(df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
     """df as a Parquet table in the shared folder: later reads neither repeat its work nor need the executors that did it.
 
     narrow: rows of a few numbers, of which four tasks a core make enough; spares small tables a file for each shuffle partition.
-    The table is deleted by the scratch() around, by clear_written(), or when the process ends.
+    The table is deleted by the scratch() around, by drop_written(), or when the process ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     if not _written:
         atexit.unregister(_clear_at_exit)
         atexit.register(_clear_at_exit)
-    _written.append(_Written(label, path, spark._jvm, spark._jsc.hadoopConfiguration()))
+    frame = spark.read.schema(df.schema)
     (df.coalesce(4 * spark.sparkContext.defaultParallelism) if narrow else df).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = frame.parquet(path)
+    _written.append(_Written(found, path, spark._jvm, spark._jsc.hadoopConfiguration()))
+    return found
 
 
-def clear_written(*labels: str) -> None:
-    """Deletes the tables of these labels, or all, that this process wrote. Only for when no result that reads them is still wanted."""
-    gone = [x for x in _written if not labels or x.label in labels]
-    for x in gone:
+def _drop(which: Callable[[_Written], bool]) -> None:
+    for x in [x for x in _written if which(x)]:
         _written.remove(x)
         x.delete()
 
 
+def drop_written(*frames: DataFrame) -> None:
+    """Deletes these tables of written(). Only for when no result that reads them is still wanted."""
+    _drop(lambda x: any(x.frame is f for f in frames))
+
+
 def _clear_at_exit() -> None:
     """What the process leaves behind is deleted while its JVM still answers; a JVM that is gone can delete nothing."""
     with contextlib.suppress(Exception):
-        clear_written()
+        _drop(lambda x: True)
 
 
 @contextlib.contextmanager
-def scratch(*keep: str) -> Iterator[None]:
-    """On leaving, deletes the tables written inside, but for those of the labels kept, which the results still read."""
-    before = list(_written)
-    yield
-    for x in [x for x in _written if x not in before and x.label not in keep]:
-        _written.remove(x)
-        x.delete()
+def scratch() -> Iterator[list[DataFrame]]:
+    """Gives a list. On leaving, the tables written inside are deleted, but for those put on the list, which the results still read."""
+    before, kept = list(_written), []
+    yield kept
+    _drop(lambda x: not any(x is y for y in before) and not any(x.frame is f for f in kept))
 
 
 def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:

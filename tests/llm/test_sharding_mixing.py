@@ -130,3 +130,49 @@ def test_mixed_documents_repeat(spark):
     got = Counter(r["doc_id"] for r in mixing.mixed_documents(rows).collect())
     want = {r["doc_id"]: r["copies"] for r in mixing.mix(rows.select("doc_id", "source", mixing.words().alias("size"))).collect() if r["copies"]}
     assert got == want and mixing.mixed_documents(rows).columns == rows.columns
+
+
+def plain_mix(rows, weights=(3, 1, 2), share=1.5, epochs=2.0):
+    """(doc_id, size) taken, with repetition: whole repetitions, then documents in the order of their hash while they fit."""
+    import hashlib
+
+    sizes = defaultdict(int)
+    for _, source, size in rows:
+        sizes[source] += size
+    order = sorted(k for k in sizes if k is not None) + [None] * (None in sizes)
+    target = filled(sizes, {s: weights[k % 3] for k, s in enumerate(order)}, share * sum(sizes.values()), epochs)
+    out = []
+    for source in order:
+        whole = int(target[source] // sizes[source]) if sizes[source] else 0
+        quota = target[source] - whole * sizes[source]
+        key = lambda r: (int(hashlib.md5(f"mix:{'' if r[0] is None else r[0]}".encode()).hexdigest()[:8], 16), r[0] is None, r[0] or 0, r[2])
+        ahead = 0
+        for doc, _, size in sorted((r for r in rows if r[1] == source), key=key):
+            out += [(doc, size)] * (whole + (size > 0 and 2 * ahead + size <= 2 * quota))
+            ahead += size
+    return Counter(out)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_mix_against_plain(spark, seed):
+    rng = np.random.default_rng(seed)
+    rows = [(int(k), ["a", "b", "c", None][int(rng.integers(0, 4))], int(rng.integers(0, 30))) for k in range(400)]
+    rows += [(None, "a", 10)] * 150 + [(None, "b", 9)] * 40 + [(7, "c", 5)] * 60 + [(900 + k, "zero", 0) for k in range(5)] + [(k, "tiny", 1) for k in range(3000, 3004)]
+    frame = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    got = Counter()
+    for r in mixing.mix(frame).collect():
+        got[r["doc_id"], r["size"]] += r["copies"]
+    want = plain_mix(rows)
+    assert +got == want
+    texts = frame.selectExpr("doc_id", "repeat('w ', CAST(size AS INT)) AS text", "'x' AS lang", "source", "1L AS n_chars", "7 AS last", "8 AS whole", "9 AS copies")
+    mixed = mixing.mixed_documents(texts)
+    assert mixed.columns == texts.columns
+    assert Counter((r["doc_id"], len(r["text"]) // 2) for r in mixed.collect()) == want
+    assert "h" not in mixed.columns and all(r["last"] == 7 and r["whole"] == 8 and r["copies"] == 9 for r in mixed.limit(20).collect())
+
+
+def test_no_document_is_taken_more_than_twice(spark):
+    rows = [(k, "capped", 0) for k in range(6)] + [(10, "capped", 3)] + [(100 + k, "large", 1000) for k in range(50)]
+    assert max(r["copies"] for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, size long")).collect()) <= 2
+    texts = make(spark, [(k, "w " * size, s) for k, s, size in rows])
+    assert max(Counter(r["doc_id"] for r in mixing.mixed_documents(texts).collect()).values()) <= 2
