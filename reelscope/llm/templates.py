@@ -6,11 +6,15 @@ never gathered: two sums of page hashes, weighed by the counts, stand for one, s
 aggregation. The class of what stands once on each page is the root's, other valid classes are those of layouts; what stands k times
 on each page of a class, such as the items of a list, is in it. What lies under a template token is a slot.
 
-No tree of classes is built and no optional or repeated part is aligned between pages: containment of paths gives the nesting, and a
-text that only some pages of a layout have is kept, as it cannot be told from an article's.
-
-All slots outside menus, headers, adverts and the like are extracted, without those that carry the same text on every page of their class. A page of
-a host with too few pages for a template falls back on its own article or main element, then on its body.
+The classes decide what belongs to the template: a slot with one text on all pages of its class, or, outside article and main
+elements, one whose few texts take turns while the host's main slot, the one of most distinct text, varies. The slots of one
+container go or stay together. No tree of classes is built and no optional or repeated part is aligned between pages: containment
+of paths gives the nesting.
+
+Names and tags only break ties, for slots that vary or of which too few pages tell: menus, asides, forms and the like are told by
+their tag, names in class, id or role count as whole words, and within an article or main element only adverts, comments and
+related lists are told by their names, and no paragraph, heading or list item is. A page of a host without a template falls back on
+its own article or main element, then on its body.
 """
 
 from __future__ import annotations
@@ -19,21 +23,21 @@ import html as markup
 import re
 from collections import Counter
 from collections.abc import Iterator
-from urllib.parse import urlsplit
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import in_arrow, table, written
+from .shared import in_arrow, scratch, table, written
 
-#: Pages that a template needs, at least.
-LEAST_PAGES = 3
-#: A slot within an article or main element with one text on all of so many pages, at least, belongs to the template.
-LEAST_FIXED = 10
+#: Pages that a token of the template stands on, at least: the support of the method. Fewer pages tell nothing.
+SUPPORT = 3
+#: A slot whose texts are so many times rarer, by its pages, than those of the main slot takes turns.
+TURNS = 2
 #: Elements at the end of a path that are part of what their container tells.
 FLOW = r"(>(p|h[1-6]|li|td|pre|blockquote)([.#][^>]*)?)+$"
+_FLOWING = frozenset("p h1 h2 h3 h4 h5 h6 li td th pre blockquote".split())
 
 #: Names longer than this mark nothing.
 LONGEST = 60
@@ -66,6 +70,8 @@ def _whole_names(marks: str, places: str) -> re.Pattern[str]:
 
 
 BOILER = _whole_names(_MARKS, _PLACES)
+#: Those that count within an article or main element.
+INNER = _whole_names(r"ads?|advert\w*?|sponsor\w*?|promo\w*?|sidebar|breadcrumbs?|related|recommended|comments?|commentlist|disqus\w*?|replies|respond|newsletter", _PLACES)
 HEADER = _whole_names("header|banner|masthead|topbar", "site|global|top|primary|secondary|area|wrapper|container|inner|outer|bar")
 
 _TOKEN = re.compile(
@@ -187,7 +193,9 @@ def _parsed(html: str) -> Iterator[tuple[str | None, Node]]:
         elif tag in SKIPPED and tag != "form" or (tag == "header" and not top.main):
             skipped = BY_TAG
         else:
-            skipped = BY_NAME if any(BOILER.fullmatch(x) or (not top.main and HEADER.fullmatch(x)) for x in labels if len(x) <= LONGEST) else KEPT
+            marked = top.main and tag not in _FLOWING and any(INNER.fullmatch(x) for x in labels if len(x) <= LONGEST)
+            marked = marked or (not top.main and any(BOILER.fullmatch(x) or HEADER.fullmatch(x) for x in labels if len(x) <= LONGEST))
+            skipped = BY_NAME if marked else KEPT
         name = tag + "".join(f".{_plain(x)}" for x in names.get("class", "").split()[:2]) + (f"#{_plain(names['id'])}" if names.get("id") else "")
         node = Node(tag, f"{top.path}>{name}" if len(stack) <= DEEPEST else top.path, max(top.skipped, skipped), main, form)
         if tag == "form" and form is None:
@@ -204,81 +212,88 @@ def _parsed(html: str) -> Iterator[tuple[str | None, Node]]:
         yield text, stack[-1]
 
 
-def host_of(url: str | None) -> str:
-    """The host of a URL in lower case; what has none is of the host of no name."""
-    try:
-        return (urlsplit(url or "").hostname or "").removeprefix("www.")
-    except ValueError:
-        return ""
+def host_of(url: str = "url") -> F.Column:
+    """The host of a URL in lower case, without www.; what has none is of the host of no name."""
+    found = F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:\[\]\s]*)", 1)
+    return F.regexp_replace(F.lower(found), r"^www\.", "")
+
+
+_SUMS = ("pages", "count", "v1", "v2", "chars")
 
 
 def token_vectors(pages: DataFrame) -> DataFrame:
-    """host, path, pages, count, v1, v2 (the vector's sums), chars, low and high (least and greatest text hash), skipped, main, by host and path."""
+    """host, path, pages, count, v1, v2 (the vector's sums), chars, texts (how many differ), named (skipped by name or tag), main, by host and path.
+
+    What holds no text of the page, as scripts, is left out.
+    """
+    names = ["host", "path", "digest", *_SUMS, "named", "main"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple[str, str], list[int]] = {}
+        seen: dict[tuple[str, str, int], list[int]] = {}
 
         def emit() -> pa.RecordBatch:
             rows = list(seen.items())
             seen.clear()
-            columns = list(zip(*(v for _, v in rows), strict=True))
-            return pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in rows]), pa.array([k[1] for k, _ in rows]), *(pa.array(c, pa.int64()) for c in columns)], ["host", "path", "pages", "count", "v1", "v2", "chars", "low", "high", "skipped", "main"])
+            kinds = [pa.string(), pa.string(), *[pa.int64()] * (len(names) - 2)]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*(k + tuple(v) for k, v in rows), strict=True), kinds, strict=True)], names)
 
         for batch in batches:
-            for page, url, html in zip(batch.column("page_id").to_pylist(), batch.column("url").to_pylist(), batch.column("html"), strict=True):
+            for page, url, host, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "host")), batch.column("html"), strict=True):
                 own: dict[str, list[int]] = {"": [1, 0, -1, 0, 0]}
                 for text, node in blocks(html.as_py() or ""):
+                    if node.skipped == NO_TEXT:
+                        continue
                     found = own.setdefault(node.path, [0, 0, -1, 0, int(node.main)])
                     found[3] |= node.skipped != KEPT
                     if text is None:
                         found[0] += 1
                     else:
                         found[1] += len(text)
-                        found[2] = xxhash.xxh3_64_intdigest(text.encode(), found[2] & 0xFFFF) >> 1
+                        found[2] = xxhash.xxh3_64_intdigest(text.encode(), found[2] & 0xFFFFFFFF) >> 1
                 mark = xxhash.xxh3_64_intdigest(f"{page}/{url}")
-                host = host_of(url)
-                for path, (count, chars, digest, skipped, main) in own.items():
-                    into = seen.setdefault((host, path), [0, 0, 0, 0, 0, 2**63 - 1, -1, skipped, main])
-                    into[0] += 1
-                    into[1] += count
-                    into[2] += (mark >> 33) * count
-                    into[3] += (mark & 0x7FFFFFFF) * count
-                    into[4] += chars
-                    into[5] = min(into[5], digest)
-                    into[6] = max(into[6], digest)
-                    into[7] |= skipped
+                for path, (count, chars, digest, named, main) in own.items():
+                    into = seen.setdefault((host, path, digest), [0, 0, 0, 0, 0, named, main])
+                    for k, more in enumerate((1, count, (mark >> 33) * count, (mark & 0x7FFFFFFF) * count, chars)):
+                        into[k] += more
+                    into[5] |= named
                 if len(seen) > 50_000:
                     yield emit()
         if seen:
             yield emit()
 
-    sums = in_arrow(pages.select("page_id", "url", "html"), run, "host string, path string, pages long, count long, v1 long, v2 long, chars long, low long, high long, skipped long, main long")
-    return sums.groupBy("host", "path").agg(*(F.sum(c).alias(c) for c in ("pages", "count", "v1", "v2", "chars")), F.min("low").alias("low"), F.max("high").alias("high"), *(F.max(c).alias(c) for c in ("skipped", "main")))
+    rows = in_arrow(pages.select("page_id", "url", host_of().alias("host"), "html"), run, ", ".join(f"{c} {'string' if c in ('host', 'path') else 'long'}" for c in names))
+    more = [F.max(c).alias(c) for c in ("named", "main")]
+    by_text = rows.groupBy("host", "path", "digest").agg(*(F.sum(c).alias(c) for c in _SUMS), *more)
+    return by_text.groupBy("host", "path").agg(*(F.sum(c).alias(c) for c in _SUMS), F.count(F.when(F.col("digest") >= 0, 1)).alias("texts"), *more)
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host and fixed, the paths of its template's own text, for each host of LEAST_PAGES pages whose texts vary.
+    """host and fixed, the paths of its template's own text, for each host of SUPPORT pages whose texts vary.
 
     A token that stands equally often, once or more, on each page of a class belongs to it. A class is valid if all pages of the host
-    share it or if texts within one of its tokens vary: the class of a layout. A slot of a valid class is fixed if it has one text on
-    all of its pages, and so has all else that is told in its container.
+    share it or if texts that no name or tag marks vary within one of its tokens: the class of a layout. A slot of a valid class
+    belongs to the template if it has one text on all of its pages or if few texts take turns on them, and if so does all else that
+    is told in its container. The host's main slot, by most distinct text among those that no name or tag marks, never does.
     """
     vectors = written(token_vectors(pages), "tokens")
-    totals = vectors.filter("path = ''").select("host", F.col("pages").alias("total")).filter(F.col("total") >= LEAST_PAGES)
-    told = vectors.filter("skipped = 0 and chars > 0").join(totals, "host")
+    totals = vectors.filter("path = ''").select("host", F.col("pages").alias("total")).filter(F.col("total") >= SUPPORT)
+    told = vectors.filter("chars > 0").join(totals, "host")
+    weight = F.col("chars") * F.col("texts") / F.col("pages")
+    main = told.filter("named = 0").groupBy("host").agg(F.max_by(F.struct("path", "texts", "pages"), F.struct(weight, "path")).alias("of_main"))
     parts = F.split("path", ">")
     above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), ">"))
     around = lambda slots: slots.select("host", F.explode(above).alias("container")).distinct()
     of_class = ["host", "pages", "c1", "c2"]
-    differs = around(told.filter("low <> high")).withColumnRenamed("container", "path")
-    valid = vectors.filter("skipped = 0 and count = pages").join(differs, ["host", "path"]).select("host", "pages", F.col("v1").alias("c1"), F.col("v2").alias("c2")).distinct().withColumn("valid", F.lit(True))
+    varied = around(told.filter("named = 0 and texts > 1"))
+    valid = vectors.filter("named = 0 and count = pages").join(varied.withColumnRenamed("container", "path"), ["host", "path"])
+    valid = valid.select("host", "pages", F.col("v1").alias("c1"), F.col("v2").alias("c2")).distinct().withColumn("valid", F.lit(True))
     even = F.when((F.col("count") > 0) & (F.col("count") % F.col("pages") == 0), F.expr("count div pages"))
     placed = told.withColumn("c1", F.when(F.col("v1") % even == 0, F.expr("v1 div (count div pages)"))).withColumn("c2", F.when(F.col("v2") % even == 0, F.expr("v2 div (count div pages)"))).join(valid, of_class, "left")
-    least = F.when(F.col("main") > 0, LEAST_FIXED).otherwise(LEAST_PAGES)
-    known = (F.col("pages") == F.col("total")) | (F.coalesce("valid", F.lit(False)) & (F.col("pages") >= least))
-    placed = placed.withColumn("same", (F.col("low") == F.col("high")) & known)
-    varied = around(placed.filter(~F.col("same")))
-    fixed = placed.filter(F.col("same") & (F.col("pages") >= least)).select("host", "path", F.regexp_replace("path", FLOW, "").alias("container")).join(varied, ["host", "container"], "left_anti")
+    known = (F.col("pages") >= SUPPORT) & ((F.col("pages") == F.col("total")) | F.coalesce("valid", F.lit(False)))
+    turns = (F.col("main") == 0) & (TURNS * F.col("texts") * F.col("of_main.pages") <= F.col("of_main.texts") * F.col("pages"))
+    placed = placed.join(main, "host").withColumn("poor", known & ((F.col("texts") == 1) | turns) & (F.col("path") != F.col("of_main.path")))
+    rich = around(placed.filter(~F.col("poor")))
+    fixed = placed.filter("poor").select("host", "path", F.regexp_replace("path", FLOW, "").alias("container")).join(rich, ["host", "container"], "left_anti")
     fixed = fixed.groupBy("host").agg(F.collect_list("path").alias("fixed"))
     return varied.filter("container = ''").select("host").join(fixed, "host", "left").select("host", F.coalesce("fixed", F.array().cast("array<string>")).alias("fixed"))
 
@@ -286,13 +301,13 @@ def templates(pages: DataFrame) -> DataFrame:
 def main_text(html: str, fixed: frozenset[str] | None = None) -> str:
     """The blocks of a page's slots, joined by newlines; fixed comes from the host's template, if it has one.
 
-    Where all is skipped, what names skip is told after all, or else what tags skip.
+    Where all is the template's, it is told after all; where all is skipped, what names skip is, or else what tags skip.
     """
-    found = [(text, node) for text, node in blocks(html) if text is not None]
+    found = [(text, node) for text, node in blocks(html) if text is not None and node.skipped < NO_TEXT]
+    own = [text for text, node in found if node.skipped == KEPT and fixed is not None and node.path not in fixed]
     told = [(text, node) for text, node in found if node.skipped == KEPT]
     for reason in (BY_NAME, BY_TAG):
         told = told or [(text, node) for text, node in found if node.skipped <= reason]
-    own = [text for text, node in told if fixed is not None and node.path not in fixed]
     return "\n".join(own or [text for text, node in told if node.main] or [text for text, _ in told])
 
 
@@ -300,11 +315,12 @@ def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for each row of pages (page_id, url, html).
 
     Null or empty html gives an empty text. Rows that repeat are extracted again; a null url is of the host of no name. An empty
-    table gives an empty result.
+    table gives an empty result; other columns are not looked at.
     """
-    found = written(templates(pages), "templates")
-    host = F.pandas_udf(lambda urls: urls.map(host_of), "string")
-    placed = pages.select("page_id", "url", "html", host(F.coalesce(F.col("url"), F.lit(""))).alias("host")).join(found, "host", "left").select("page_id", "url", "html", "fixed")
+    with scratch() as kept:
+        found = written(templates(pages), "templates")
+        kept.append(found)
+    placed = pages.select("page_id", "url", "html", host_of().alias("host")).join(found, "host", "left").select("page_id", "url", "html", "fixed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -316,4 +332,5 @@ def extracted(pages: DataFrame) -> DataFrame:
 
 
 def op10_template_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page. Null or empty html gives an empty text; rows that repeat are rows of their own; an empty table gives no row."""
     return extracted(table(spark, sf_dir, "pages"))

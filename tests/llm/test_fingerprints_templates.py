@@ -152,3 +152,107 @@ def test_fixed_slots_of_layouts(spark):
     got = {r["page_id"]: r["text"] for r in templates.extracted(frame(spark, rows)).collect()}
     assert all(got[k] == f"Title {k}\nText {k}" for k in range(36))
     assert all(got[100 + k] == "Same\nWords" for k in range(12))
+
+
+def plain_fixed(htmls):
+    """The fixed paths of one host's pages, from whole occurrence vectors; None without a template."""
+    import re
+    from math import gcd
+
+    pages = []
+    for html in htmls:
+        own = {}
+        for text, node in templates.blocks(html):
+            if node.skipped < templates.NO_TEXT:
+                found = own.setdefault(node.path, [0, [], False, node.main])
+                found[0] += text is None
+                found[1] += [text] if text is not None else []
+                found[2] |= node.skipped != templates.KEPT
+        pages.append(own)
+    paths = {p for own in pages for p in own}
+    vector = {p: tuple(own[p][0] if p in own else 0 for own in pages) for p in paths}
+    texts = {p: [tuple(own[p][1]) for own in pages if p in own and own[p][1]] for p in paths}
+    stands = {p: sum(p in own for own in pages) for p in paths}
+    named = {p: any(own[p][2] for own in pages if p in own) for p in paths}
+    inner = {p: any(own[p][3] for own in pages if p in own) for p in paths}
+    told = [p for p in paths if texts[p]]
+    differing = lambda p: len(set(texts[p]))
+    varied = [p for p in told if not named[p] and differing(p) > 1]
+    if len(pages) < templates.SUPPORT or not varied:
+        return None
+    weight = lambda p: (sum(len(x) for t in texts[p] for x in t) * differing(p) / stands[p], p)
+    main = max((p for p in told if not named[p]), key=weight)
+    within = lambda p, c: (p + ">").startswith(c + ">")
+    root = tuple([1] * len(pages))
+    classes = {vector[p] for p in paths if p and not named[p] and set(vector[p]) <= {0, 1} and any(within(q, p) for q in varied)} | {root}
+
+    def reduced(v):
+        n = gcd(*v)
+        return tuple(x // n for x in v) if n else v
+
+    def of_template(p):
+        if stands[p] < templates.SUPPORT or p == main or not (stands[p] == len(pages) or (reduced(vector[p]) in classes and set(reduced(vector[p])) <= {0, 1})):
+            return False
+        turns = not inner[p] and templates.TURNS * differing(p) * stands[main] <= differing(main) * stands[p]
+        return differing(p) == 1 or turns
+
+    rich = [p for p in told if not of_template(p)]
+    return {p for p in told if of_template(p) and not any(within(q, re.sub(templates.FLOW, "", p)) for q in rich)}
+
+
+def prose(k, n=30):
+    return " ".join(f"w{k}x{j}" for j in range(n))
+
+
+MENU = "<div class=qa><ul><li>One</li><li>Two</li></ul></div>"
+#: Pages, and the text wanted, of hosts whose furniture has names that say nothing.
+SKELETONS = {
+    "no article element": (lambda k: f"<body>{MENU}<div class=qb><h1>T {k}</h1><p>{prose(k)}</p></div><div class=qc>About us</div></body>", lambda k: f"T {k}\n{prose(k)}"),
+    "furniture within the article": (lambda k: f"<body>{MENU}<article><h1>T {k}</h1><div class=qd>Write to us</div><p>{prose(k)}</p><div class=qe><p>Read on</p></div></article></body>", lambda k: f"T {k}\n{prose(k)}"),
+    "blocks that take turns": (lambda k: f"<body>{MENU}<div class=qf><a>Offer {k % 4}</a></div><div class=qb><h1>T {k}</h1><p>{prose(k)}</p></div><div class=qg><ul><li>More {k % 3}</li><li>Next {k % 3}</li></ul></div></body>", lambda k: f"T {k}\n{prose(k)}"),
+    "copies of one article": (lambda k: f"<body>{MENU}<div class=qb><h1>T {k % 8}</h1><p>{prose(k % 8)}</p></div><div class=qc>About us</div></body>", lambda k: f"T {k % 8}\n{prose(k % 8)}"),
+    "two layouts": (lambda k: f"<body><div class=a{'xy'[k % 2]}>{MENU}<h1>T {k}</h1><div class=qb><p>{prose(k)}</p></div><div class=qc>Of this kind</div></div></body>", lambda k: f"T {k}\n{prose(k)}"),
+    "optional parts": (lambda k: f"<body>{MENU}<article><p>{prose(k)}</p>{f'<div class=qh>Part {k}</div>' if k % 3 else ''}</article></body>", lambda k: prose(k) + (f"\nPart {k}" if k % 3 else "")),
+}
+
+
+@pytest.mark.parametrize("name", SKELETONS)
+@pytest.mark.parametrize("lists", [True, False])
+def test_deduced_classes_remove_furniture(spark, name, lists, monkeypatch):
+    """With word and tag lists emptied, too, and as a plain deduction has it; a host of two pages tells nothing."""
+    import re
+
+    if not lists:
+        for x in ("BOILER", "INNER", "HEADER"):
+            monkeypatch.setattr(templates, x, re.compile("(?!)"))
+        monkeypatch.setattr(templates, "SKIPPED", frozenset())
+    page_of, answer_of = SKELETONS[name]
+    rows = [(k, f"http://big.example/{k}", page_of(k)) for k in range(40)] + [(100 + k, f"http://WWW.Two.example:80/{k}", page_of(k)) for k in range(2)]
+    pages = frame(spark, rows)
+    got = {r["page_id"]: r["text"] for r in templates.extracted(pages).collect()}
+    assert all(got[k] == answer_of(k) for k in range(40))
+    assert all(answer_of(k).split("\n")[-1] in got[100 + k] for k in range(2))
+    found = {r["host"]: set(r["fixed"]) for r in templates.templates(pages).collect()}
+    assert found == {"big.example": plain_fixed([h for _, u, h in rows if "big" in u])} and found["big.example"]
+
+
+def test_names_within_an_article_are_hints_only():
+    assert templates.main_text("<article><p>Body</p><div class=notice>Real text.</div><p class='lead share'>Lead.</p><div class=search-results>Found.</div><div id=side>At the side.</div></article>") == "Body\nReal text.\nLead.\nFound.\nAt the side."
+    assert templates.main_text("<article><p>Body</p><div class=ad>Buy</div><section id=comments><p>Nice</p></section><div class=related-posts><ul><li>Other</li></ul></div></article>") == "Body"
+
+
+def test_shared_pages_lose_furniture_by_classes_alone(spark, monkeypatch):
+    """On the shared table a host with pages enough needs no list."""
+    import os
+    import re
+
+    folder = "/root/testdata/sf0.1/pages.parquet"
+    if not os.path.exists(folder):
+        pytest.skip("the shared test tables are not here")
+    pages = spark.read.parquet(folder).filter("url LIKE '%//blog.tionsh.example.com%'")
+    with_lists = {r["page_id"]: r["text"] for r in templates.extracted(pages).collect()}
+    for x in ("BOILER", "INNER", "HEADER"):
+        monkeypatch.setattr(templates, x, re.compile("(?!)"))
+    monkeypatch.setattr(templates, "SKIPPED", frozenset())
+    without = {r["page_id"]: r["text"] for r in templates.extracted(pages).collect()}
+    assert len(with_lists) == 320 and without == with_lists
