@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -49,18 +50,46 @@ def milliseconds(index: Column, fps: Column) -> Column:
     return (index / fps * 1000).cast("bigint")
 
 
-def common_subsequence(a: str, b: str) -> int:
-    """Length of the longest common subsequence, by bit-parallel rows."""
-    where: dict[str, int] = {}
-    for i, c in enumerate(a):
-        where[c] = where.get(c, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    row = full
-    for c in b:
-        hit = row & where.get(c, 0)
-        row = (row + hit) | (row - hit)
-        row &= full
-    return len(a) - row.bit_count()
+def strands(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each place of b, where the strand that ends there starts in b; negative: in a.
+
+    Strands run through the grid of a (down) and b (across), turn where characters are equal, and cross no other one twice. The
+    longest common subsequence of a and b[i:j] then is j - i less the strands that start at i or later and end before j. One step
+    takes a whole diagonal of the grid.
+    """
+    m, n = len(a), len(b)
+    across, down, turned = np.arange(m), np.arange(m, m + n), a[::-1]
+    for d in range(m + n - 1):
+        first, last = max(0, d - m + 1), min(n, d + 1)
+        rows = slice(first + m - 1 - d, last + m - 1 - d)
+        h, v = across[rows], down[first:last]
+        out = np.where(turned[rows] == b[first:last], v, np.minimum(h, v))
+        down[first:last] = h + v - out
+        across[rows] = out
+    return down - m
+
+
+def best_stretch(a: np.ndarray, b: np.ndarray) -> float:
+    """The best 2 * common subsequence / both lengths of a and a stretch of b of its length, or a shorter one at either end of b; a is no longer than b."""
+    m, n = len(a), len(b)
+    start = strands(a, b)
+    inside = np.flatnonzero(start >= 0)
+    end = np.full(n, n)
+    end[start[inside]] = inside
+    places = np.arange(n - m + 1)
+    # strands within b[i:i + m], from one stretch to the next: less the one that starts at i, more the one that ends at i + m - 1
+    within = np.cumsum(np.concatenate([[(start[:m] >= 0).sum()], (start[m:] > places[:-1]).astype(np.int64) - (end[: n - m] < places[:-1] + m)]))
+    best = 2 * (m - within.min()) / (2 * m)
+    short = np.arange(1, m)
+    head = short - np.cumsum(start[: m - 1] >= 0)
+    tail = short - np.cumsum(end[: n - m : -1] < n)
+    for common in (head, tail) if m > 1 else ():
+        best = max(best, float((2 * common / (m + short)).max()))
+    return float(best)
+
+
+def points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
 
 
 def partial_ratio(a: str, b: str) -> int:
@@ -70,27 +99,59 @@ def partial_ratio(a: str, b: str) -> int:
     """
     if not a or not b:
         return 100 if a == b else 0
-    short, long = (a, b) if len(a) <= len(b) else (b, a)
-    best = _best_stretch(short, long)
-    if len(a) == len(b):
-        best = max(best, _best_stretch(long, short))
-    return round(best * 100)
-
-
-def _best_stretch(short: str, long: str) -> float:
-    n, best = len(short), 0.0
-    known = set(short)
-    last, common = 1 - n, 1
-    for start in range(1 - n, len(long)):
-        part = long[max(start, 0) : start + n]
-        most = min(len(part), common + start - last)  # a step of the stretch adds one character at most
-        if 2 * most / (n + len(part)) <= best or (part[0] not in known and part[-1] not in known):
-            continue
-        last, common = start, common_subsequence(short, part)
-        best = max(best, 2 * common / (n + len(part)))
-        if best == 1.0:
-            break
-    return best
+    if a in b or b in a:
+        return 100
+    short, long = sorted((points(a), points(b)), key=len)
+    best = best_stretch(short, long)
+    return round(max(best, best_stretch(long, short)) * 100) if len(a) == len(b) else round(best * 100)
+
+
+#: Characters of a gram, by the length of the string that is looked for, at least.
+_GRAMS = ((24, 3), (8, 2), (0, 1))
+
+
+def grams(text: np.ndarray, size: int) -> np.ndarray:
+    """A number for each run of so many code points."""
+    out = np.zeros(max(len(text) - size + 1, 0), np.int64)
+    for k in range(size):
+        out = out << 21 | text[k : k + len(out)]
+    return out
+
+
+class Target:
+    """A string that is looked for in many others, where only ratios of `least` (0 to 1) and more count.
+
+    Strings of m characters that differ by d insertions and deletions share m + 1 - q - q * d grams of q characters at least. A
+    stretch with the ratio differs by (1 - ratio) * 2 * m at most, so a text none of whose stretches has grams enough is left out
+    before anything is compared. The ratio is rounded to hundredths, so half of one is allowed for.
+    """
+
+    def __init__(self, text: str, least: float):
+        self.text, self.points = text, points(text)
+        m = len(text)
+        self.size = next(q for n, q in _GRAMS if m >= n)
+        self.wanted = m + 1 - self.size - self.size * (1 - least + 0.0051) * 2 * m if least > 0 else 0.0
+        self.grams = np.unique(grams(self.points, self.size))
+
+    def may_match(self, other: Found) -> bool:
+        if self.wanted <= 0 or len(other.points) < len(self.points):
+            return True
+        held = np.concatenate([[0], np.cumsum(np.isin(other.grams(self.size), self.grams))])
+        width = min(len(self.points) - self.size + 1, len(held) - 1)
+        return bool((held[width:] - held[: len(held) - width]).max() >= self.wanted)
+
+
+class Found:
+    """A text that is looked into by many targets."""
+
+    def __init__(self, text: str):
+        self.text, self.points = text, points(text)
+        self._grams: dict[int, np.ndarray] = {}
+
+    def grams(self, size: int) -> np.ndarray:
+        if size not in self._grams:
+            self._grams[size] = grams(self.points, size)
+        return self._grams[size]
 
 
 @F.pandas_udf(T.IntegerType())
@@ -98,21 +159,34 @@ def partial_ratio_of(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([partial_ratio(x, y) if x is not None and y is not None else 0 for x, y in zip(a, b, strict=True)])
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def best_ratios(targets: pd.Series, found: pd.Series) -> pd.Series:
-    """For each target its best ratio over the found texts, 0 to 1; case does not count; without found texts 0."""
-    known: dict[tuple[str, str], int] = {}
-
-    def ratio(t: str, f: str) -> int:
-        key = (t.lower(), f.lower())
-        if key not in known:
-            if len(known) > 100_000:
-                known.clear()
-            known[key] = partial_ratio(*key)
-        return known[key]
-
-    out = []
-    for ts, fs in zip(targets, found, strict=True):
-        ts, fs = [() if x is None else [y for y in x if y is not None] for x in (ts, fs)]
-        out.append([max((ratio(t, f) for f in fs), default=0) / 100 for t in ts])
-    return pd.Series(out)
+def best_ratios(targets: Column, found: Column, least: float = 0.0) -> Column:
+    """For each target its best ratio over the found texts, 0 to 1; case does not count; without found texts 0.
+
+    least: ratios below it may be given as 0.
+    """
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def ratios(targets: pd.Series, found: pd.Series) -> pd.Series:
+        known: dict[tuple[str, str], int] = {}
+        of_target: dict[str, Target] = {}
+        of_found: dict[str, Found] = {}
+
+        def kept(into: dict, key, make):
+            if key not in into:
+                if len(into) > 2_000:
+                    into.clear()
+                into[key] = make()
+            return into[key]
+
+        def ratio(t: str, f: str) -> int:
+            if t and f and t not in f and least > 0 and not kept(of_target, t, lambda: Target(t, least)).may_match(kept(of_found, f, lambda: Found(f))):
+                return 0
+            return kept(known, (t, f), lambda: partial_ratio(t, f))
+
+        out = []
+        for ts, fs in zip(targets, found, strict=True):
+            ts, fs = [[] if x is None else [y.lower() for y in x if y is not None] for x in (ts, fs)]
+            out.append([max((ratio(t, f) for f in fs), default=0) / 100 for t in ts])
+        return pd.Series(out)
+
+    return ratios(targets, found)

@@ -19,11 +19,11 @@ def reranked(candidates: DataFrame, targets: DataFrame, seen: DataFrame, results
     """task_id, rank, video, frame, score: each task's results.
 
     candidates: task_id, rank, video, frame, score. targets: task_id, ocr_texts. seen: video, frame, texts; a frame that is not in it
-    has no image. A task without targets, or none of whose candidates has an image, keeps its first candidates; any other task
+    has no image, and of a frame that repeats the least texts count. A task without targets, or none of whose candidates has an image, keeps its first candidates; any other task
     ranks those with an image by score * (1 + bonus), ties by rank. Only tasks with targets are matched, each distinct frame's
     texts are read once.
     """
-    texts = seen.groupBy("video", "frame").agg(F.first("texts").alias("texts"))
+    texts = seen.groupBy("video", "frame").agg(F.min("texts").alias("texts"))
     wanted = candidates.join(targets.select("task_id", "ocr_texts"), "task_id", "left").withColumn("ocr_texts", F.coalesce("ocr_texts", F.array().cast("array<string>")))
     found = wanted.join(texts.withColumn("has_image", F.lit(True)), ["video", "frame"], "left")
     task = Window.partitionBy("task_id")
@@ -31,7 +31,7 @@ def reranked(candidates: DataFrame, targets: DataFrame, seen: DataFrame, results
     found = found.withColumn("plain", ~matched | ~F.coalesce(F.max(F.col("has_image")).over(task), F.lit(False)))
     found = found.filter(F.col("plain") | F.col("has_image"))
     fallback = found.filter("plain").withColumn("final", F.col("score"))
-    by_text = found.filter("not plain").withColumn("final", F.col("score") * (1 + text_bonus(best_ratios("ocr_texts", "texts"), how)))
+    by_text = found.filter("not plain").withColumn("final", F.col("score") * (1 + text_bonus(best_ratios(F.col("ocr_texts"), F.col("texts"), how.accept), how)))
     fallback = fallback.filter(F.col("rank") <= results).withColumn("place", F.row_number().over(task.orderBy("rank")))
     by_text = by_text.withColumn("place", F.row_number().over(task.orderBy(F.col("final").desc(), "rank"))).filter(F.col("place") <= results)
     keep = lambda df: df.select("task_id", F.col("place").alias("rank"), "video", "frame", F.col("final").alias("score"))

@@ -1,9 +1,11 @@
 """The core query: score every frame for every task, with a bonus from its neighbours, and keep each task's best.
 
-Frames are scored in blocks of the index. A block carries `window` rows of its neighbours on both sides, so its scores need nothing
-else; the product with the task vectors, the neighbours' maxima and the block's best rows are array work in one Arrow call, and only
-candidates leave it: at most `candidates` rows a task and block, and of score 0 only those of the last `candidates` frames, which
-fill a list that is too short. So what is shuffled does not grow with frames times tasks, and ranking takes one exchange.
+Frames are scored in blocks of the index. A packed block is one row: its frames and `window` rows of its neighbours on both sides, so
+its scores need nothing else. A store that is written as packed blocks (`write_blocks`) is scanned without a shuffle; other frames are
+packed on the way, which moves each vector once. A worker multiplies a block with a tile of task vectors at a time; the neighbours'
+maxima and the block's best rows are array work, and only candidates leave it: at most `candidates` rows a task and block, and of
+score 0 only those of the last `candidates` frames, which fill a list that is too short. So what is shuffled does not grow with
+frames times tasks, and ranking takes one exchange.
 
 The task vectors go to every worker. Their number is counted first: beyond `MOST_TASK_BYTES` the tasks are scored in turn, in slices of
 that size.
@@ -19,10 +21,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelscope.config import Retrieval
-from reelscope.functions.vectors import dot, first_or_null
+from reelscope.functions.vectors import first_or_null
 
 #: Frames of a block.
-BLOCK = 16_384
+BLOCK = 2048
+#: Tasks that one product takes.
+TILE = 64
 #: Bytes of task vectors that one scoring sends to the workers.
 MOST_TASK_BYTES = 64_000_000
 
@@ -30,26 +34,59 @@ MOST_TASK_BYTES = 64_000_000
 def neighbour_max(raw: np.ndarray, window: int, ahead: bool, videos: np.ndarray | None = None) -> np.ndarray:
     """For each row the largest of the `window` rows before it (ahead: after it), 0 where there is none. NaN wins over numbers.
 
-    videos: rows of another video do not count.
+    raw may have a column for each task. videos: rows of another video do not count.
     """
-    out = np.full(len(raw), -np.inf)
+    out = np.full(raw.shape, -np.inf)
     for k in range(1, min(window, len(raw) - 1) + 1):
         here, there = (slice(None, -k), slice(k, None)) if ahead else (slice(k, None), slice(None, -k))
-        near = raw[there] if videos is None else np.where(videos[there] == videos[here], raw[there], -np.inf)
+        near = raw[there]
+        if videos is not None:
+            same = videos[there] == videos[here]
+            near = np.where(same if raw.ndim == 1 else same[:, None], near, -np.inf)
         out[here] = np.maximum(out[here], near)
     out[np.isneginf(out)] = 0.0
     return out
 
 
-def fused(main: np.ndarray, before: np.ndarray | None, after: np.ndarray | None, videos: np.ndarray | None, how: Retrieval) -> np.ndarray:
-    """Scores of frames in index order for one task, from raw similarities."""
-    bonus = np.ones_like(main)
-    for raw, weight, ahead in ((before, how.before, False), (after, how.after, True)):
-        if raw is not None:
-            bonus += weight * np.maximum(neighbour_max(raw, how.window, ahead, videos) - how.threshold, 0.0)
+def combined(main: np.ndarray, before: np.ndarray, after: np.ndarray, how: Retrieval) -> np.ndarray:
+    """Scores from similarities and the neighbours' maxima, which are 0 where a task has no such context."""
+    bonus = 1.0 + how.before * np.maximum(before - how.threshold, 0.0) + how.after * np.maximum(after - how.threshold, 0.0)
     return np.maximum(main - how.threshold, 0.0) ** 2 * bonus
 
 
+def fused(main: np.ndarray, before: np.ndarray | None, after: np.ndarray | None, videos: np.ndarray | None, how: Retrieval) -> np.ndarray:
+    """Scores of frames in index order from raw similarities."""
+    pooled = [np.zeros(main.shape) if raw is None else neighbour_max(raw, how.window, ahead, videos) for raw, ahead in ((before, False), (after, True))]
+    return combined(main, *pooled, how)
+
+
+def packed(frames: DataFrame, window: int = Retrieval.window) -> DataFrame:
+    """A row for each block of frames (idx, embedding, and video_id if there is one): block, idx, vectors (row by row, as float or double), videos.
+
+    Frames without an embedding are left out. A block has at most BLOCK rows and twice `window` more, whatever the table.
+    """
+
+    double = frames.schema["embedding"].dataType.elementType.typeName() == "double"
+    kind = np.float64 if double else np.float32
+
+    def pack(group: pa.Table) -> pa.Table:
+        group = group.sort_by("idx").combine_chunks()
+        flat = group.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(kind)
+        idx, videos = (pa.array([group.column(c).to_pylist()], t) for c, t in (("idx", pa.list_(pa.int64())), ("video_id", pa.list_(pa.string()))))
+        return pa.table({"block": group.column("block")[:1], "idx": idx, "vectors": pa.array([flat.tobytes()], pa.binary()), "videos": videos})
+
+    here = F.floor(F.col("idx") / BLOCK)
+    near = F.array_distinct(F.array(here, F.floor((F.col("idx") - window) / BLOCK), F.floor((F.col("idx") + window) / BLOCK)))
+    video = F.col("video_id").cast("string") if "video_id" in frames.columns else F.lit(None).cast("string").alias("video_id")
+    placed = frames.filter(F.col("embedding").isNotNull()).select(F.explode(near.cast("array<bigint>")).alias("block"), "idx", F.col("embedding").cast("array<double>" if double else "array<float>").alias("embedding"), video)
+    return placed.groupBy("block").applyInArrow(pack, "block long, idx array<long>, vectors binary, videos array<string>")
+
+
+def write_blocks(frames: DataFrame, path: str, window: int = Retrieval.window) -> None:
+    """The frame store as packed blocks, made once when frames come in; it serves windows of up to `window` rows."""
+    packed(frames, window).write.mode("overwrite").parquet(path)
+
+
 def _task_rows(tasks: DataFrame, most: int) -> Iterator[list[dict]]:
     """Slices of the tasks' vectors that fit into `most` bytes."""
     rows = tasks.select("task_id", "main_vec", first_or_null(F.col("before_vecs")).alias("before"), first_or_null(F.col("after_vecs")).alias("after")).filter(F.col("main_vec").isNotNull())
@@ -65,82 +102,88 @@ def _task_rows(tasks: DataFrame, most: int) -> Iterator[list[dict]]:
         yield part
 
 
-def scored_blocks(frames: DataFrame, tasks: list[dict], how: Retrieval, tail: int) -> DataFrame:
-    """task_id, idx, score: each block's best rows for each task, of those above 0 (or NaN) and those from index `tail` on."""
+#: What frames may be ranked by.
+RANKED_BY = ("score", "max_before", "max_after")
+
+
+def scored_blocks(blocks: DataFrame, tasks: list[dict], how: Retrieval, tail: int, by: str = "score", every: bool = False) -> DataFrame:
+    """task_id, idx, main, max_before, max_after, score of each block's best rows for each task.
+
+    Those are the best by `by`, of what is above 0 (or NaN) if that is the score, and what is of index `tail` on; with every, all rows.
+    """
     width = len(tasks[0]["main_vec"])
     ids = [t["task_id"] for t in tasks]
     stack = lambda name: np.array([t[name] if t[name] is not None else [0.0] * width for t in tasks], np.float64)
-    shared = frames.sparkSession.sparkContext.broadcast((stack("main_vec"), stack("before"), stack("after"), [t["before"] is not None for t in tasks], [t["after"] is not None for t in tasks]))
-
-    def score(group: pa.Table) -> pa.Table:
-        main, before, after, has_before, has_after = shared.value
-        group = group.sort_by("idx")
-        block = group.column("block")[0].as_py()
-        idx = group.column("idx").to_numpy()
-        flat = group.column("embedding").combine_chunks()
-        vectors = np.asarray(flat.flatten() if not isinstance(flat, pa.ChunkedArray) else flat.combine_chunks().flatten(), np.float64).reshape(len(idx), -1)
-        videos = group.column("video_id").to_pandas().to_numpy() if how.neighbours == "video" else None
-        mine = idx // BLOCK == block
-        always = mine & (idx >= tail)
-        out_task, out_idx, out_score = [], [], []
-        for k, task in enumerate(ids):
-            m = vectors @ main[k]
-            if not always.any() and not (np.isnan(m).any() or (m[mine] > how.threshold).any()) and not (np.isnan(before[k]).any() or np.isnan(after[k]).any()):
-                continue
-            s = fused(m, vectors @ before[k] if has_before[k] else None, vectors @ after[k] if has_after[k] else None, videos, how)
-            at = np.flatnonzero(always | (mine & ~(s <= 0)))
-            if len(at) > how.candidates:
-                order = np.lexsort((-idx[at], -np.where(np.isnan(s[at]), np.inf, s[at])))
-                at = at[order[: how.candidates]]
-            out_task += [task] * len(at)
-            out_idx.append(idx[at])
-            out_score.append(s[at])
-        return pa.table({"task_id": pa.array(out_task, pa.string()), "idx": pa.array(np.concatenate(out_idx) if out_idx else [], pa.int64()), "score": pa.array(np.concatenate(out_score) if out_score else [], pa.float64())})
-
-    here = F.floor(F.col("idx") / BLOCK)
-    near = F.array_distinct(F.array(here, F.floor((F.col("idx") - how.window) / BLOCK), F.floor((F.col("idx") + how.window) / BLOCK)))
-    columns = ["idx", "embedding"] + ["video_id"] * (how.neighbours == "video")
-    placed = frames.filter(F.col("embedding").isNotNull()).select(F.explode(near.cast("array<bigint>")).alias("block"), *columns)
-    return placed.groupBy("block").applyInArrow(score, "task_id string, idx long, score double")
+    shared = blocks.sparkSession.sparkContext.broadcast((stack("main_vec"), stack("before"), stack("after"), np.array([t["before"] is not None for t in tasks]), np.array([t["after"] is not None for t in tasks])))
 
+    def best(raw: np.ndarray, has: np.ndarray, ahead: bool, videos: np.ndarray | None) -> np.ndarray:
+        out = np.zeros(raw.shape)
+        if has.any():
+            out[:, has] = neighbour_max(raw[:, has], how.window, ahead, videos)
+        return out
 
-def top_frames(frames: DataFrame, tasks: DataFrame, how: Retrieval = Retrieval()) -> DataFrame:
-    """task_id, rank, idx, score: the best `candidates` frames of each task, by score and then by the later index.
-
-    frames: idx (0, 1, ... in time order), embedding, and video_id if neighbours are by video. tasks: task_id, main_vec, before_vecs,
-    after_vecs; only the first vector of either list counts, and a task without main_vec is left out.
-    """
+    def tile(block: int, idx: np.ndarray, vectors: np.ndarray, videos: np.ndarray | None, part: slice) -> pa.RecordBatch | None:
+        main, before, after, has_before, has_after = (x[part] for x in shared.value)
+        m = vectors @ main.T
+        mine = idx // BLOCK == block
+        always = mine & (every | (idx >= tail))
+        pooled = (best(vectors @ before.T, has_before, False, videos), best(vectors @ after.T, has_after, True, videos))
+        s = combined(m, *pooled, how)
+        rank = s if by == "score" else pooled[RANKED_BY.index(by) - 1]
+        rows, columns = [], []
+        for k in range(len(main)):
+            at = np.flatnonzero(always | (mine & ~(rank[:, k] <= 0)) if by == "score" else mine)
+            if len(at) > how.candidates and not every:
+                value = rank[at, k]
+                at = at[np.lexsort((-idx[at], -np.where(np.isnan(value), np.inf, value)))[: how.candidates]]
+            rows.append(at)
+            columns.append(np.full(len(at), k))
+        at, of = np.concatenate(rows), np.concatenate(columns)
+        names = pa.array(ids[part], pa.string()).take(pa.array(of))
+        return pa.RecordBatch.from_arrays([names, pa.array(idx[at]), *(pa.array(x[at, of]) for x in (m, *pooled, s))], ["task_id", "idx", "main", "max_before", "max_after", "score"]) if len(at) else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                idx = batch.column("idx")[k].values.to_numpy()
+                raw = batch.column("vectors")[k].as_py()
+                vectors = np.frombuffer(raw, np.float64 if len(raw) == 8 * width * len(idx) else np.float32).reshape(len(idx), -1).astype(np.float64)
+                videos = np.array(batch.column("videos")[k].as_py(), object) if how.neighbours == "video" else None
+                for start in range(0, len(ids), TILE):
+                    found = tile(batch.column("block")[k].as_py(), idx, vectors, videos, slice(start, start + TILE))
+                    for at in range(0, found.num_rows if found else 0, 50_000):
+                        yield found.slice(at, 50_000)
+
+    columns = ["block", "idx", "vectors"] + ["videos"] * (how.neighbours == "video")
+    return blocks.select(*columns).mapInArrow(run, "task_id string, idx long, main double, max_before double, max_after double, score double")
+
+
+def _scored(frames: DataFrame, tasks: DataFrame, how: Retrieval, by: str, every: bool, blocks: DataFrame | None) -> DataFrame:
+    if by not in RANKED_BY:
+        raise ValueError(f"frames are ranked by one of {RANKED_BY}")
     last = [r[0] for r in frames.filter(F.col("embedding").isNotNull()).select("idx").orderBy(F.col("idx").desc()).limit(how.candidates).collect()]
-    every = None
+    found = None
     for rows in _task_rows(tasks, MOST_TASK_BYTES) if last else ():
-        part = scored_blocks(frames, rows, how, last[-1])
-        every = part if every is None else every.unionByName(part)
-    if every is None:
-        return frames.sparkSession.createDataFrame([], "task_id string, rank int, idx long, score double")
-    order = Window.partitionBy("task_id").orderBy(F.col("score").desc(), F.col("idx").desc())
-    return every.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= how.candidates).select("task_id", "rank", "idx", "score")
+        part = scored_blocks(packed(frames, how.window) if blocks is None else blocks, rows, how, last[-1], by, every)
+        found = part if found is None else found.unionByName(part)
+    empty = "task_id string, idx long, main double, max_before double, max_after double, score double"
+    return frames.sparkSession.createDataFrame([], empty) if found is None else found
 
 
-def fused_by_windows(frames: DataFrame, tasks: DataFrame, how: Retrieval = Retrieval()) -> DataFrame:
-    """task_id, idx, main, max_before, max_after, score for all frames and tasks, in DataFrame functions: the plain form of the same rule.
+def top_frames(frames: DataFrame, tasks: DataFrame, how: Retrieval = Retrieval(), by: str = "score", blocks: DataFrame | None = None) -> DataFrame:
+    """task_id, rank, idx, score: the best `candidates` frames of each task, by score (or another of RANKED_BY) and then by the later index.
 
-    It makes a row for each frame and task, for audits of a few tasks and for tests; top_frames is the form for large stores.
+    frames: idx (0, 1, ... in time order), embedding, and video_id if neighbours are by video. tasks: task_id, main_vec, before_vecs,
+    after_vecs; only the first vector of either list counts, and a task without main_vec is left out. blocks: the same frames,
+    packed; then only the indexes of frames are read.
     """
-    q = tasks.filter(F.col("main_vec").isNotNull()).select("task_id", "main_vec", first_or_null(F.col("before_vecs")).alias("b"), first_or_null(F.col("after_vecs")).alias("a"))
-    raw = frames.join(F.broadcast(q), F.lit(True)).select(
-        "task_id", *[c for c in ("video_id",) if how.neighbours == "video"], "idx", dot(F.col("embedding"), F.col("main_vec")).alias("main"), dot(F.col("embedding"), F.col("b")).alias("rb"), dot(F.col("embedding"), F.col("a")).alias("ra")
-    )
-    w = Window.partitionBy("task_id").orderBy("idx")
-
-    def best(c: str, ahead: bool) -> F.Column:
-        shift = F.lead if ahead else F.lag
-        near = [F.when(shift("video_id", k).over(w) == F.col("video_id"), shift(c, k).over(w)) if how.neighbours == "video" else shift(c, k).over(w) for k in range(1, how.window + 1)]
-        return F.coalesce(F.array_max(F.array(*near)), F.lit(0.0))
-
-    pooled = raw.withColumn("max_before", best("rb", False)).withColumn("max_after", best("ra", True))
-    over = lambda c: F.greatest(F.col(c) - how.threshold, F.lit(0.0))
-    core = over("main") * over("main")
-    return pooled.select("task_id", "idx", "main", "max_before", "max_after", (core * (1 + how.before * over("max_before") + how.after * over("max_after"))).alias("score"))
+    order = Window.partitionBy("task_id").orderBy(F.col(by).desc(), F.col("idx").desc())
+    return _scored(frames, tasks, how, by, False, blocks).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= how.candidates).select("task_id", "rank", "idx", "score")
+
+
+def all_scores(frames: DataFrame, tasks: DataFrame, how: Retrieval = Retrieval(), blocks: DataFrame | None = None) -> DataFrame:
+    """task_id, idx, main, max_before, max_after, score for all frames and tasks, for audits: its result has a row for each frame and task."""
+    return _scored(frames, tasks, how, "score", True, blocks)
 
 
 def described(candidates: DataFrame, frames: DataFrame) -> DataFrame:

@@ -27,9 +27,21 @@ def _subsequence(a, b):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.text("abcd", max_size=12), st.text("abcd", max_size=12))
-def test_common_subsequence(a, b):
-    assert text.common_subsequence(a, b) == _subsequence(a, b)
+@given(st.text("abcd", min_size=1, max_size=12), st.text("abcd", min_size=1, max_size=12))
+def test_strands_give_every_common_subsequence(a, b):
+    start = text.strands(text.points(a), text.points(b))
+    for i in range(len(b)):
+        for j in range(i + 1, len(b) + 1):
+            assert j - i - int((start[i:j] >= i).sum()) == _subsequence(a, b[i:j])
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text("abcde ", min_size=1, max_size=40), st.text("abcde ", max_size=30), st.text("abcde ", max_size=30), st.integers(0, 5), st.sampled_from([0.5, 0.8, 0.9, 1.0]))
+def test_no_target_is_left_out_that_matches(target, before, after, cut, least):
+    body = target[:cut] + target[cut + 1 :] if cut % 2 else target[:cut] + "x" + target[cut:]
+    found = before + body + after
+    if found and text.partial_ratio(target, found) / 100 >= least:
+        assert text.Target(target, least).may_match(text.Found(found))
 
 
 @settings(max_examples=200, deadline=None)

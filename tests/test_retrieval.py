@@ -52,7 +52,7 @@ def test_top_frames_in_blocks(spark, monkeypatch, n, block, neighbours):
     how = Retrieval(candidates=20, neighbours=neighbours)
     vectors, videos, frames, made, tasks = frames_and_tasks(spark, n, n + block)
     got = op.top_frames(frames, tasks, how).collect()
-    audit = {(r["task_id"], r["idx"]): r["score"] for r in op.fused_by_windows(frames, tasks, how).collect()}
+    audit = {(r["task_id"], r["idx"]): r["score"] for r in op.all_scores(frames, tasks, how).collect()}
     for t in made:
         scores = plain(vectors, t, how, videos if neighbours == "video" else None)
         order = sorted(range(n), key=lambda i: (-scores[i], -i))[:20]
@@ -62,6 +62,34 @@ def test_top_frames_in_blocks(spark, monkeypatch, n, block, neighbours):
         assert [audit[t["id"], i] for i in range(n)] == pytest.approx(scores.tolist(), abs=1e-12)
 
 
+@pytest.mark.parametrize("by", ["max_before", "max_after"])
+def test_frames_ranked_by_context(spark, monkeypatch, by):
+    monkeypatch.setattr(op, "BLOCK", 16)
+    _, _, frames, made, tasks = frames_and_tasks(spark, 60, 5)
+    how = Retrieval(candidates=12)
+    every = op.all_scores(frames, tasks, how).collect()
+    got = op.top_frames(frames, tasks, how, by=by).collect()
+    for t in made:
+        want = sorted((r for r in every if r["task_id"] == t["id"]), key=lambda r: (-r[by], -r["idx"]))[:12]
+        assert [r["idx"] for r in sorted(got, key=lambda r: r["rank"]) if r["task_id"] == t["id"]] == [r["idx"] for r in want]
+    with pytest.raises(ValueError, match="ranked by"):
+        op.top_frames(frames, tasks, how, by="idx")
+
+
+def test_written_blocks_need_no_shuffle(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(op, "BLOCK", 16)
+    monkeypatch.setattr(op, "TILE", 2)
+    _, _, frames, _, tasks = frames_and_tasks(spark, 100, 6, tasks=5)
+    op.write_blocks(frames, str(tmp_path / "blocks"))
+    blocks = spark.read.parquet(str(tmp_path / "blocks"))
+    for neighbours in ("global", "video"):
+        how = Retrieval(candidates=30, neighbours=neighbours)
+        rows = lambda found: sorted(map(tuple, found.collect()))
+        assert rows(op.top_frames(frames, tasks, how, blocks=blocks)) == rows(op.top_frames(frames, tasks, how))
+    scored = op.all_scores(frames, tasks, Retrieval(), blocks)
+    assert "Exchange" not in scored._jdf.queryExecution().executedPlan().toString()
+
+
 def test_slices_of_tasks_and_nan(spark, monkeypatch):
     monkeypatch.setattr(op, "MOST_TASK_BYTES", 40)
     _, _, frames, _, tasks = frames_and_tasks(spark, 30, 1)
