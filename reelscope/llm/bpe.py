@@ -37,9 +37,9 @@ def byte_characters() -> dict[str, int]:
 
 
 class Coder:
-    """vocabulary: a byte-level BPE file of the tokenizers library; pattern: cuts texts into what is encoded on its own."""
+    """vocabulary: a byte-level BPE file of the tokenizers library; pattern: cuts texts into what is encoded on its own; ranks: a .tiktoken file that must have the same ids."""
 
-    def __init__(self, vocabulary: str, pattern: str):
+    def __init__(self, vocabulary: str, pattern: str, ranks: str | None = None):
         import regex
         from tokenizers import Tokenizer
 
@@ -50,14 +50,17 @@ class Coder:
         special = {token.content for token in self.tokenizer.get_added_tokens_decoder().values()}
         self.bytes_of = {i: bytes(back[c] for c in token) for token, i in self.tokenizer.get_vocab().items() if token not in special}
         self.spelled = [str(i).encode() for i in range(self.tokenizer.get_vocab_size() + 1)]
+        self.long = {i: len(b) for i, b in self.bytes_of.items()}
+        if ranks is not None and {b: i for i, b in self.bytes_of.items()} != rank_file(ranks):
+            raise ValueError(f"{vocabulary} has other ids than the ranks of {ranks}")
         self.bytes_of_spelled = {self.spelled[i]: b for i, b in self.bytes_of.items()} | {b"": b""}
         self.cut = regex.compile(pattern).findall
-        self.kept: dict[str, bytes] = {}
+        self.kept: dict[str, tuple[bytes, bytes]] = {}
         self.met = self.missed = 0
 
-    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
+    def _learn(self, pieces: list[str]) -> dict[str, tuple[bytes, bytes]]:
         ids = (x.ids for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False))
-        found = {p: b" ".join([self.spelled[i] for i in own]) for p, own in zip(pieces, ids, strict=True)}
+        found = {p: (b" ".join([self.spelled[i] for i in own]), np.array([self.long[i] for i in own], np.uint16).tobytes()) for p, own in zip(pieces, ids, strict=True)}
         self.missed += len(pieces)
         if self.met > WATCHED:
             if self.missed > self.met // 3:
@@ -67,8 +70,8 @@ class Coder:
             self.kept.update((p, x) for p, x in found.items() if len(p) <= LONG)
         return found
 
-    def spell(self, text: str) -> bytes:
-        """The ids in decimal, joined by one space."""
+    def coded(self, text: str) -> tuple[bytes, np.ndarray]:
+        """The ids in decimal, joined by one space, and the bytes that each token has."""
         pieces = self.cut(text)
         parts = list(map(self.kept.get, pieces))
         self.met += len(parts)
@@ -77,7 +80,11 @@ class Coder:
             found = self._learn(list({pieces[k] for k in new}))
             for k in new:
                 parts[k] = found[pieces[k]]
-        return b" ".join(parts)
+        return b" ".join([x for x, _ in parts]), np.frombuffer(b"".join([n for _, n in parts]), np.uint16)
+
+    def spell(self, text: str) -> bytes:
+        """The ids in decimal, joined by one space."""
+        return self.coded(text)[0]
 
     def encode_one(self, text: str) -> list[int]:
         return [int(x) for x in self.spell(text).split()]
@@ -98,39 +105,47 @@ class Coder:
 
     def offsets(self, text: str, ids: list[int]) -> list[tuple[int, int]]:
         """First code point and the one after the last that each token has bytes of."""
-        owner = [k for k, c in enumerate(text) for _ in c.encode("utf-8")]
-        out, at = [], 0
-        for i in ids:
-            n = len(self.bytes_of[i])
-            out.append((owner[at], owner[at + n - 1] + 1))
-            at += n
-        return out
+        starts, ends, _ = code_points(text.encode(), np.array([self.long[i] for i in ids], np.uint16))
+        return list(zip(starts.tolist(), ends.tolist(), strict=True))
+
 
+def code_points(data: bytes, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For tokens of so many bytes that make up data: first code point, the one after the last, and whether a token begins or ends inside a character."""
+    if not len(lengths):
+        return (np.zeros(0, np.int32),) * 2 + (np.zeros(0, bool),)
+    opens = (np.frombuffer(data, np.uint8) & 0xC0) != 0x80
+    point = np.cumsum(opens, dtype=np.int32) - 1
+    ends = np.cumsum(lengths, dtype=np.int64)
+    starts = ends - lengths
+    return point[starts], point[ends - 1] + 1, ~opens[starts] | ~np.append(opens, True)[ends]
 
-_coders: dict[tuple[str, str], Coder] = {}
 
+_coders: dict[tuple[str, str, str | None], Coder] = {}
 
-def coder(vocabulary: str, pattern: str) -> Coder:
+
+def coder(vocabulary: str, pattern: str, ranks: str | None = None) -> Coder:
     """This worker's coder of the file."""
-    if (vocabulary, pattern) not in _coders:
-        _coders[vocabulary, pattern] = Coder(vocabulary, pattern)
-    return _coders[vocabulary, pattern]
+    key = vocabulary, pattern, ranks
+    if key not in _coders:
+        _coders[key] = Coder(*key)
+    return _coders[key]
 
 
-def public_vocabulary() -> tuple[str, str]:
+def public_vocabulary() -> tuple[str, str, str]:
+    """The public 50k vocabulary as the tokenizers library reads it, the pattern, and the same vocabulary as ranks, which every worker holds it against."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def encoded(docs: DataFrame, vocabulary: str, pattern: str, offsets: bool = False) -> DataFrame:
+def encoded(docs: DataFrame, vocabulary: str, pattern: str, ranks: str | None = None, offsets: bool = False) -> DataFrame:
     """doc_id, ids array<int>, and with offsets: starts and ends array<int> in code points, for each row of docs (doc_id, text).
 
     A null text is an empty one and has no tokens. The file must be where executors find it, as the libraries are.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = coder(vocabulary, pattern)
+        own = coder(vocabulary, pattern, ranks)
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             ids = own.encode(texts)
@@ -145,11 +160,11 @@ def encoded(docs: DataFrame, vocabulary: str, pattern: str, offsets: bool = Fals
     return in_arrow(docs.select("doc_id", "text"), run, schema)
 
 
-def decoded(ids: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
+def decoded(ids: DataFrame, vocabulary: str, pattern: str, ranks: str | None = None) -> DataFrame:
     """doc_id and text for each row of ids (doc_id, ids). Null ids give an empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = coder(vocabulary, pattern)
+        own = coder(vocabulary, pattern, ranks)
         for batch in batches:
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "text": pa.array([own.decode(i or []) for i in batch.column("ids").to_pylist()], pa.string())})
 
@@ -157,29 +172,38 @@ def decoded(ids: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     return in_arrow(ids.select("doc_id", "ids"), run, f"doc_id {kind}, text string")
 
 
-def digests(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: encode and decode in one pass, so that ids need not leave the worker."""
+def digests(docs: DataFrame, vocabulary: str, pattern: str, ranks: str | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, offsets_sha256, n_split: encode and decode in one pass, so that ids need not leave the worker.
+
+    offsets_sha256 is of all tokens' first code points, then of those after their last ones, as 32-bit little-endian numbers; n_split
+    counts the tokens that begin or end inside a character.
+    """
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "offsets_sha256", "n_split"]
+    sha = lambda body: hashlib.sha256(body).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = coder(vocabulary, pattern)
+        own = coder(vocabulary, pattern, ranks)
         for batch in batches:
-            counts, of_ids, of_texts = [], [], []
-            for text in batch.column("text"):
-                ids = own.spell(text.as_py() or "")
-                counts.append(ids.count(b" ") + bool(ids))
-                of_ids.append(hashlib.sha256(ids).hexdigest())
-                of_texts.append(hashlib.sha256(own.decode_spelled(ids)).hexdigest())
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(of_ids, pa.string()), "decoded_sha256": pa.array(of_texts, pa.string())})
+            rows = []
+            for value in batch.column("text"):
+                text = value.as_py() or ""
+                ids, lengths = own.coded(text)
+                back = own.decode_spelled(ids)
+                starts, ends, split = code_points(back, lengths)
+                rows.append((len(lengths), sha(ids), sha(back), sha(starts.astype("<i4").tobytes() + ends.astype("<i4").tobytes()), int(split.sum())))
+            kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64()]
+            columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return in_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return in_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, offsets_sha256 string, n_split long")
 
 
-def tokenized(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
+def tokenized(docs: DataFrame, vocabulary: str, pattern: str, ranks: str | None = None) -> DataFrame:
     """doc_id, source, n_tokens, ids and decoded_sha256 for each row of docs (doc_id, source, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = coder(vocabulary, pattern)
+        own = coder(vocabulary, pattern, ranks)
         for big in batches:
             for at in range(0, big.num_rows, 500):
                 batch = big.slice(at, 500)
@@ -207,4 +231,8 @@ def rank_file(path: str) -> dict[bytes, int]:
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids, of the bytes that they decode to, and of the tokens' offsets.
+
+    A null text is an empty one, without tokens; rows that repeat are rows of their own; an empty table gives no row.
+    """
     return digests(table(spark, sf_dir, "documents"), *public_vocabulary())

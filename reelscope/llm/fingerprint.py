@@ -27,8 +27,9 @@ PRIMES = (2147483647, 2147483629)
 BASES = (911382323, 972663749)
 WIDTH = 24
 KEEP = 64
-#: Documents that a block of neighbours aims at, and blocks at most.
-BLOCK, MOST_BLOCKS = 500, 10_000
+#: Documents that a block of neighbours aims at, and bounds of blocks that the driver holds (8 bytes each): beyond
+#: BLOCK * CUTS documents blocks grow, to 20,000 documents at 2e10.
+BLOCK, CUTS = 500, 1_000_000
 
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -135,13 +136,15 @@ def likeness(a: str, b: str) -> float:
 def neighbours(docs: DataFrame) -> DataFrame:
     """Rows of docs (doc_id, text) in blocks of adjacent ids, with the first row of the next block at the end of each (tail).
 
-    Block bounds are ids of the table, taken from approximate quantiles; the last block ends with the first document of all. So
-    each text moves once, and few move twice. Null ids stand last. Rows of one id stay in one block, by text.
+    Block bounds are the ids of the table whose hash is divisible by the documents of a block, so they are spread evenly whatever
+    the ids; the last block ends with the first document of all. So each text moves once, and few move twice. A block is sorted
+    with spills and streamed. Null ids stand last. Rows of one id stay in one block, by text.
     """
-    n = docs.count()
-    blocks = max(1, min(MOST_BLOCKS, n // BLOCK))
-    cuts = docs.agg(F.min("doc_id").alias("low"), F.percentile_approx("doc_id", [k / blocks for k in range(1, blocks)] or [0.5], max(10_000, 20 * blocks)).alias("cuts")).collect()[0]
-    bounds = np.array(sorted({cuts["low"], *(cuts["cuts"] if blocks > 1 else [])} - {None}), np.int64)
+    ids = docs.filter("doc_id is not null")
+    aim = max(BLOCK, -(-ids.count() // CUTS))
+    low = ids.agg(F.min("doc_id")).collect()[0][0]
+    cuts = ids.filter(F.pmod(F.xxhash64("doc_id"), F.lit(aim)) == 0).select("doc_id").distinct().toArrow().column(0).to_numpy()
+    bounds = np.union1d(cuts.astype(np.int64), np.array([] if low is None else [low], np.int64))
 
     @F.pandas_udf("block int, first boolean")
     def place(ids: pd.Series) -> pd.DataFrame:
@@ -233,4 +236,9 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
 
 
 def op7_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likeness.
+
+    A null text is an empty one; null ids stand behind all others, rows of one id by text; a single document is its own next; an
+    empty table gives no row.
+    """
     return fingerprinted(table(spark, sf_dir, "documents"))

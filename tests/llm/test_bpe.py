@@ -69,3 +69,38 @@ def test_encode_decode_frames(spark):
     assert back == {k: t or "" for k, t in enumerate(TEXTS)}
     assert all(len(r["ids"]) == len(r["starts"]) == len(r["ends"]) for r in coded.collect())
     assert bpe.encoded(docs.limit(0), *bpe.public_vocabulary()).count() == 0
+
+
+def plain_offsets(text, pieces):
+    """Offsets of tokens, given as bytes: code point by code point."""
+    owner = [k for k, c in enumerate(text) for _ in c.encode()]
+    first = {k: owner.index(k) for k in set(owner)}
+    out, split, at = [], 0, 0
+    for piece in pieces:
+        end = at + len(piece)
+        out.append((owner[at], owner[end - 1] + 1))
+        split += first[owner[at]] != at or (end < len(owner) and owner[end] == owner[end - 1])
+        at = end
+    return out, split
+
+
+def test_offsets_of_the_query(spark, tmp_path, pair):
+    _, other = pair
+    texts = ["", None, "naïve ça 漢字 🙂🙂 ‍ end", "plain words, 12 of them", "🙂" * 20, "x"]
+    rows = [(k, t, 5, "s") for k, t in enumerate(texts)] + [(2, texts[2], 5, "s")] * 2
+    spark.createDataFrame(rows, "doc_id long, text string, n_split int, offsets_sha256 string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = bpe.op2_byte_bpe(spark, str(tmp_path)).collect()
+    assert len(found) == len(rows) and len({tuple(r) for r in found if r["doc_id"] == 2}) == 1
+    for r in found:
+        text = texts[r["doc_id"]] or ""
+        spans, split = plain_offsets(text, [other.decode_single_token_bytes(i) for i in other.encode_ordinary(text)])
+        body = b"".join(x.to_bytes(4, "little") for x in [a for a, _ in spans] + [b for _, b in spans])
+        assert r["offsets_sha256"] == hashlib.sha256(body).hexdigest() and r["n_split"] == split
+
+
+def test_ranks_must_agree(tmp_path):
+    vocabulary, pattern, ranks = bpe.public_vocabulary()
+    lines = open(ranks, "rb").read().splitlines()
+    (tmp_path / "other.tiktoken").write_bytes(b"\n".join(lines[:-1]))
+    with pytest.raises(ValueError, match="other ids"):
+        bpe.Coder(vocabulary, pattern, str(tmp_path / "other.tiktoken"))

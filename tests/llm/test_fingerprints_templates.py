@@ -256,3 +256,42 @@ def test_shared_pages_lose_furniture_by_classes_alone(spark, monkeypatch):
     monkeypatch.setattr(templates, "SKIPPED", frozenset())
     without = {r["page_id"]: r["text"] for r in templates.extracted(pages).collect()}
     assert len(with_lists) == 320 and without == with_lists
+
+
+def plain_least(text):
+    """The least span hashes by the definition: polynomial hashes of every span, summed anew."""
+    width, prime_of = min(fp.WIDTH, len(text)), list(zip(fp.PRIMES, fp.BASES, strict=True))
+    found = set()
+    for k in range(len(text) - width + 1):
+        value = 0
+        for prime, base in prime_of:
+            value = value << 31 | sum((ord(c) + 1) * pow(base, j, prime) for j, c in enumerate(text[k : k + width])) % prime
+        found.add(int(fp.mixed(np.array([value], np.uint64))[0]) >> 24)
+    return sorted(found)[: fp.KEEP] if text else []
+
+
+def plain_likeness(a, b):
+    if a == b:
+        return 1.0
+    a, b = plain_least(a), plain_least(b)
+    if not a or not b:
+        return float(len(a) == len(b))
+    union = sorted(set(a) | set(b))
+    if max(len(a), len(b)) == fp.KEEP:
+        union = union[: fp.KEEP]
+    share = sum(x in set(a) and x in set(b) for x in union) / len(union)
+    return 2 * share / (1 + share)
+
+
+def test_likeness_against_plain(spark):
+    rng = np.random.default_rng(5)
+    text = lambda n: "".join("abcde é"[x] for x in rng.integers(0, 7, n))
+    base = text(400)
+    rows = [(1, base), (2, base[:300] + text(100)), (3, text(10)), (4, None), (5, base), (6, base), (7, text(130)), (8, "x")]
+    got = {r["doc_id"]: r for r in fp.fingerprinted(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts = [t or "" for _, t in rows]
+    for k, own in enumerate(texts):
+        following = texts[(k + 1) % len(texts)]
+        assert got[k + 1]["near_next"] == pytest.approx(plain_likeness(own, following))
+        assert got[k + 1]["near_edited"] == pytest.approx(plain_likeness(own, fp.edited(own, following)))
+        assert fp.likeness(got[k + 1]["fingerprint"], got[(k + 1) % len(rows) + 1]["fingerprint"]) == pytest.approx(got[k + 1]["near_next"])

@@ -176,3 +176,44 @@ def test_no_document_is_taken_more_than_twice(spark):
     assert max(r["copies"] for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, size long")).collect()) <= 2
     texts = make(spark, [(k, "w " * size, s) for k, s, size in rows])
     assert max(Counter(r["doc_id"] for r in mixing.mixed_documents(texts).collect()).values()) <= 2
+
+
+@pytest.mark.parametrize("slack", [0.0, 0.2])
+def test_shards_row_by_row(spark, slack):
+    """Every row against placing one after the other: home while it has room, else clockwise to the next point with room."""
+    rows = [(k * 7, f"t{k}") for k in range(500)] + [(None, f"n{k}") for k in range(300)] + [(5, f"r{k % 9}") for k in range(100)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sharding.shard_rows(frame, "doc_id", 6, vnodes=16, slack=slack, order_by=("text",)).collect()
+    ring = sharding.Ring.of(6, 16, "ring")
+    part = F.pmod(F.xxhash64(F.lit("ring/part"), "doc_id", "text"), F.lit(sharding.PARTS))
+    keyed = frame.select("doc_id", "text", F.xxhash64(F.lit("ring"), "doc_id").alias("h"), part.alias("part")).collect()
+    keyed = sorted(keyed, key=lambda r: (int(ring.arcs(np.array([r["h"]]))[0]), r["part"], r["h"], r["doc_id"] is not None, r["doc_id"] or 0, r["text"]))
+    bound = sharding.bounds(len(rows), 6, slack)
+    load, want, over = Counter(), [], []
+    for r in keyed:
+        arc = int(ring.arcs(np.array([r["h"]]))[0])
+        s = int(ring.owners[arc])
+        if load[s] < bound[s]:
+            load[s] += 1
+            want.append((str(r["doc_id"]), r["text"], s))
+        else:
+            over.append((arc, r))
+    for arc, r in over:
+        while load[int(ring.owners[arc])] >= bound[int(ring.owners[arc])]:
+            arc = (arc + 1) % len(ring.owners)
+        load[int(ring.owners[arc])] += 1
+        want.append((str(r["doc_id"]), r["text"], int(ring.owners[arc])))
+    assert sorted((str(r["doc_id"]), r["text"], r["shard"]) for r in got) == sorted(want)
+    slots = defaultdict(list)
+    for r in got:
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(v) == list(range(load[s])) for s, v in slots.items())
+
+
+def test_a_further_shard_moves_its_share(spark):
+    rows = spark.range(20_000).withColumnRenamed("id", "doc_id")
+    place = lambda n: {r["doc_id"]: r["shard"] for r in sharding.shard_rows(rows, "doc_id", n, slack=0.25).collect()}
+    a, b = place(40), place(41)
+    moved = sum(a[k] != b[k] for k in a) / len(a)
+    between = sum(a[k] != b[k] and b[k] != 40 for k in a) / len(a)
+    assert 0.5 / 41 < moved < 1.6 / 41 and between < 0.5 / 41

@@ -399,3 +399,51 @@ def test_op5_contract(spark, tmp_path):
     labels.withColumnRenamed("label", "quality").withColumn("toxic", F.lit(0)).write.parquet(str(tmp_path / "labels.parquet"))
     got = quality.op5_quality(spark, str(tmp_path)).collect()
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and r["predicted"] == int(r["score"] >= 0.3) for r in got) and len(got) == 120
+
+
+def plain_ftrl(rows, labels, passes, seed, alpha=1.0, beta=1.0, l1=0.02, l2=0.02):
+    """Follow the regularised leader, coordinate by coordinate, as published; the bias is the labels' log-odds."""
+    from math import exp, log, sqrt
+
+    z, n = Counter(), Counter()
+    good = sum(labels)
+    bias = max(-3.0, min(3.0, log(good / (len(labels) - good))))
+    rarity = {v: sqrt(len(labels) / (2 * sum(x == v for x in labels))) for v in (0, 1)}
+
+    def weight(i):
+        if abs(z[i]) <= l1:
+            return 0.0
+        return -(z[i] - (1 if z[i] > 0 else -1) * l1) / ((beta + sqrt(n[i])) / alpha + l2)
+
+    rng = np.random.default_rng(seed)
+    for _ in range(passes):
+        for k in rng.permutation(len(rows)):
+            x = dict(zip(*rows[k], strict=True))
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + exp(-(bias + sum(w[i] * v for i, v in x.items()))))
+            for i, v in x.items():
+                g = (p - labels[k]) * v * rarity[labels[k]]
+                z[i] += g - (sqrt(n[i] + g * g) - sqrt(n[i])) / alpha * w[i]
+                n[i] += g * g
+    return {i: weight(i) for i in z}, bias
+
+
+def test_ftrl_against_plain(monkeypatch):
+    monkeypatch.setattr(quality, "UPDATES", 0)
+    rng = np.random.default_rng(9)
+    rows = [(np.sort(rng.choice(60, 8, replace=False)).astype(np.int64), rng.random(8)) for _ in range(50)]
+    labels = [int(r[0][0] < 5) for r in rows]
+    got = quality.Ftrl().fit(rows, np.array(labels, float), 4, 3)
+    want, bias = plain_ftrl([(a.tolist(), v.tolist()) for a, v in rows], labels, 4, 3)
+    assert got[-1] == pytest.approx(bias) and any(want.values())
+    assert all(got[i] == pytest.approx(w, abs=1e-9) for i, w in want.items())
+    assert np.count_nonzero(got[:-1]) == sum(w != 0 for w in want.values())
+
+
+def test_features_are_hashed_words_and_pairs():
+    """Equal words in another order share their words' columns and not their pairs'; case does not count."""
+    import pyarrow as pa
+
+    of = {row: set(columns.tolist()) for row, columns, _ in quality.text_features(pa.array(["alpha beta gamma", "GAMMA Alpha  beta", "delta", "  ", None]))}
+    assert set(of) == {0, 1, 2} and len(of[0] & of[1]) >= 4 and of[0] != of[1]
+    assert len(of[2] & of[0]) <= 2  # the shape of a word
