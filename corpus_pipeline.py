@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelscope.llm import bpe, line_dedup, mixing, near_dup, quality
-from reelscope.llm.shared import table, written
+from reelscope.llm.shared import drop_written, scratch, table, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,12 +60,18 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality_stage), ("line_dedup", line_stage), ("near_dup", near_dup_stage), ("mixing", mixing_stage), ("tokens", token_stage)]
 
-#: The classifier and the tokenizer have no SQL; the tests hold the stages against brute force.
+#: The classifier and the tokenizer have no SQL; the tests hold every stage against plain code.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages one after the other. What a stage wrote for itself goes when it is done, and what it read goes with it."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch() as kept:
+            docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            kept.append(docs)
+        if before is not None:
+            drop_written(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
