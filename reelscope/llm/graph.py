@@ -1,7 +1,8 @@
 """Connected components of an edge table, by alternating large-star and small-star steps.
 
-Every step joins on a node id; a hub with very many links is a skewed join key, which adaptive execution splits. Each round is
-written to the shared folder, so a lost executor costs that round only. The driver sees one count a round.
+Every step joins edges with the least neighbour of a node. A hub may have a third of all edges, so edges are dealt by node and by a
+slice of the other end, and a node's row is copied to the slices that it has edges in. Each round is written to the shared folder, so
+a lost executor costs that round only. The driver sees one count a round.
 """
 
 from __future__ import annotations
@@ -12,17 +13,27 @@ from pyspark.sql import functions as F
 from .shared import drop_written, scratch, written
 
 
+#: Slices that a node's edges are dealt into.
+SLICES = 64
+
+
+def _with_least(edges: DataFrame) -> DataFrame:
+    """edges (u, v) with m, the least v of their u."""
+    dealt = edges.withColumn("slice", F.pmod(F.xxhash64("v"), F.lit(SLICES)))
+    least = dealt.groupBy("u", "slice").agg(F.min("v").alias("m")).groupBy("u").agg(F.min("m").alias("m"), F.collect_list("slice").alias("slices"))
+    return dealt.join(least.select("u", "m", F.explode("slices").alias("slice")), ["u", "slice"]).drop("slice")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """edges (u, v) with v < u: each node's larger neighbours go to the least of the node and its neighbours."""
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+    both = _with_least(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+    return both.filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).filter("u <> v")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours go to the least of these."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+    moved = _with_least(edges)
+    moved = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(moved.select("u", F.col("m").alias("v")))
     return moved.filter("u <> v").distinct()
 
 
