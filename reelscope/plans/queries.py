@@ -16,7 +16,7 @@ from reelscope.functions.providers import quote_parsed
 from reelscope.functions.text import chunk_name, frame_file, frame_ms, milliseconds, partial_ratio_of, quoted, stripped
 from reelscope.functions.vectors import dot, first_or_null, norm, unit, weighted_sum
 from reelscope.operators.rerank import reranked, submission_rows, text_bonus
-from reelscope.operators.retrieve import described, fused_by_windows, top_frames
+from reelscope.operators.retrieve import all_scores, described, top_frames
 from reelscope.operators.thinning import one_minus_dot, sampled, thinned, until_failure
 from reelscope.plans.retrieval import fused_ranks, retrieve
 from reelscope.sources.tables import catalogue_of, first_of_each, indexed, normalised_metadata, numbered, submission, with_defaults
@@ -47,10 +47,11 @@ def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item with vectors of three frames that its number picks; some items have no context, some two before."""
     items = _read(spark, sf_dir, "benchmark")
-    vectors = _read(spark, sf_dir, "embeddings").filter("vec_id < 500").select("vec_id", "embedding")
+    vectors = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    n = max(vectors.count(), 1)
     pick = lambda name, at: vectors.select(F.col("vec_id").alias(at), F.col("embedding").alias(name))
     joined = (
-        items.withColumn("m", F.expr("item_id * 7 % 500")).withColumn("b", F.expr("(item_id * 11 + 3) % 500")).withColumn("a", F.expr("(item_id * 13 + 5) % 500"))
+        items.withColumn("m", F.expr(f"item_id * 7 % {n}")).withColumn("b", F.expr(f"(item_id * 11 + 3) % {n}")).withColumn("a", F.expr(f"(item_id * 13 + 5) % {n}"))
         .join(pick("main_vec", "m"), "m").join(pick("bv", "b"), "b").join(pick("av", "a"), "a")
     )
     none = F.array().cast("array<array<float>>")
@@ -67,8 +68,8 @@ def _tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TASK_CTE = """
 t AS (SELECT CAST(item_id AS VARCHAR) AS task_id, CAST(item_id AS INT) AS ordinal, m.embedding::DOUBLE[] AS mv,
              CASE WHEN item_id % 3 <> 0 THEN b.embedding::DOUBLE[] END AS bv, CASE WHEN item_id % 2 = 0 THEN a.embedding::DOUBLE[] END AS av
-      FROM benchmark JOIN embeddings m ON m.vec_id = item_id * 7 % 500 JOIN embeddings b ON b.vec_id = (item_id * 11 + 3) % 500
-      JOIN embeddings a ON a.vec_id = (item_id * 13 + 5) % 500),
+      FROM (SELECT *, (SELECT count(*) FROM embeddings) AS n FROM benchmark) JOIN embeddings m ON m.vec_id = item_id * 7 % n
+      JOIN embeddings b ON b.vec_id = (item_id * 11 + 3) % n JOIN embeddings a ON a.vec_id = (item_id * 13 + 5) % n),
 r AS (SELECT task_id, ordinal, vec_id AS idx, label, list_dot_product(embedding::DOUBLE[], mv) AS main,
              list_dot_product(embedding::DOUBLE[], bv) AS rb, list_dot_product(embedding::DOUBLE[], av) AS ra FROM t, embeddings),
 p AS (SELECT *, coalesce(max(rb) OVER (PARTITION BY task_id ORDER BY idx ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING), 0) AS mb,
@@ -95,7 +96,7 @@ def top_frames_by_task(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_GLOBAL} SELECT task_id, idx, round(main, 9) AS main, round(mb, 9) AS max_before, round(ma, 9) AS max_after, round(score, 9) AS score FROM s")
 def fusion_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = fused_by_windows(_frames(spark, sf_dir), _tasks(spark, sf_dir))
+    found = all_scores(_frames(spark, sf_dir), _tasks(spark, sf_dir))
     return found.select("task_id", "idx", *(F.round(c, 9).alias(c) for c in ("main", "max_before", "max_after", "score")))
 
 
@@ -270,13 +271,15 @@ def unit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "embeddings").select("vec_id", F.round(norm(v), 9).alias("length"), F.round(unit(v, 1e-12)[0], 9).alias("first"))
 
 
-@query("""SELECT a.vec_id, round(list_dot_product(list_transform(range(1, 65), lambda i: a.embedding[i]::DOUBLE * 10 + b.embedding[i]::DOUBLE * 4), a.embedding::DOUBLE[]), 9) AS likeness
-FROM embeddings a JOIN embeddings b ON b.vec_id = (a.vec_id + 1) % 500 WHERE a.vec_id < 500""")
+@query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, coalesce(lead(embedding::DOUBLE[]) OVER (ORDER BY vec_id), first_value(embedding::DOUBLE[]) OVER (ORDER BY vec_id)) AS x FROM embeddings)
+SELECT vec_id, round(list_dot_product(list_transform(e, lambda y, i: y * 10 + x[i] * 4), e), 9) AS likeness FROM v""")
 def weighted_vector_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = _read(spark, sf_dir, "embeddings").filter("vec_id < 500").select("vec_id", "embedding")
-    other = v.select(F.expr("(vec_id + 499) % 500").alias("vec_id"), F.col("embedding").alias("next"))
-    both = v.join(other, "vec_id")
-    return both.select("vec_id", F.round(dot(weighted_sum(F.array("embedding", "next"), F.array(F.lit(10.0), F.lit(4.0))), F.col("embedding")), 9).alias("likeness"))
+    """Each vector and that of the next id, after the last the first; the places are those of the frame index."""
+    files = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.lit("v").alias("video_id"), F.format_string("frame_%020d.webp", "vec_id").alias("frame_file"))
+    v = indexed(files).select("idx", "vec_id", "embedding")
+    n = max(v.count(), 1)
+    other = v.select(F.pmod(F.col("idx") - 1, F.lit(n)).alias("idx"), F.col("embedding").alias("next"))
+    return v.join(other, "idx").select("vec_id", F.round(dot(weighted_sum(F.array("embedding", "next"), F.array(F.lit(10.0), F.lit(4.0))), F.col("embedding")), 9).alias("likeness"))
 
 
 @query(f"""WITH {_TOP_CTE}, a AS (SELECT task_id, idx, rank, 2.0::DOUBLE AS w FROM k WHERE rank <= 50 UNION ALL
@@ -285,10 +288,8 @@ u AS (SELECT task_id, idx, sum(w / (rank + 60.0::DOUBLE)) AS score FROM a GROUP
 SELECT task_id, idx, round(score, 9) AS score FROM u""")
 def reciprocal_rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames, tasks = _frames(spark, sf_dir), _tasks(spark, sf_dir)
-    first = top_frames(frames, tasks, Retrieval(candidates=50)).select("task_id", "idx", "rank", F.lit(2.0).alias("weight"))
-    order = Window.partitionBy("task_id").orderBy(F.col("max_before").desc(), F.col("idx").desc())
-    second = fused_by_windows(frames, tasks).withColumn("rank", F.row_number().over(order)).filter("rank <= 50").select("task_id", "idx", "rank", F.lit(1.0).alias("weight"))
-    return fused_ranks(first.unionByName(second)).select("task_id", "idx", F.round("score", 9).alias("score"))
+    lists = [top_frames(frames, tasks, Retrieval(candidates=50), by=by).select("task_id", "idx", "rank", F.lit(weight).alias("weight")) for by, weight in (("score", 2.0), ("max_before", 1.0))]
+    return fused_ranks(lists[0].unionByName(lists[1])).select("task_id", "idx", F.round("score", 9).alias("score"))
 
 
 _PIXELS = "px AS (SELECT l_suppkey AS frame, l_partkey * 7 % 256 AS v, l_orderkey * 5 % 180 AS h, l_linenumber * 37 % 256 AS s FROM lineitem)"
@@ -395,10 +396,9 @@ def map_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maps.select("user_id", absent.alias("absent"), F.explode(F.map_filter("m", lambda k, v: v > 1)).alias("event_type", "n"))
 
 
-@query("""SELECT doc_id, trim(regexp_replace(regexp_replace(chr(9) || substr(text, 1, 30) || chr(10), '^\\s+', ''), '\\s+$', '')) AS bare, lower(source) || '_x' AS name FROM documents""")
+@query("""SELECT doc_id, regexp_replace(regexp_replace(chr(9) || text || chr(10), '^\\s+', ''), '\\s+$', '') AS bare, lower(source) || '_x' AS name FROM documents""")
 def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = F.concat(F.lit("\t"), F.substring("text", 1, 30), F.lit("\n"))
-    return _read(spark, sf_dir, "documents").select("doc_id", F.trim(stripped(cut)).alias("bare"), F.concat_ws("_", F.lower("source"), F.lit("x")).alias("name"))
+    return _read(spark, sf_dir, "documents").select("doc_id", stripped(F.concat(F.lit("\t"), "text", F.lit("\n"))).alias("bare"), F.concat_ws("_", F.lower("source"), F.lit("x")).alias("name"))
 
 
 @query("""SELECT item_id, v AS variant, text || ' #' || v AS query, CASE WHEN v = 0 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM benchmark, (SELECT unnest([0, 1, 2, 3]) AS v)""")
