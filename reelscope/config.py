@@ -41,3 +41,15 @@ class Sampling:
 
 #: Tasks in a chunk of the reference schedule.
 CHUNK = 25
+
+#: Image and text models by name of the set-up (fixed values: name, weights, length of a vector).
+MODELS = {"1280D": ("ViT-bigG-14", "laion2b_s39b_b160k", 1280)}
+
+
+def model_of(name: str, other: tuple[str, str, int] | None = None) -> tuple[str, str, int]:
+    """The model of a set-up, or `other` where the name is none of MODELS; both stages take it from here."""
+    if name in MODELS:
+        return MODELS[name]
+    if other is None:
+        raise ValueError(f"{name!r} is no set-up of {sorted(MODELS)}, and no other model is given")
+    return other

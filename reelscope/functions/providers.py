@@ -18,6 +18,11 @@ class QueryParser(Protocol):
         """For each query its parts (context_before, main_shot, context_after, ocr_texts), or None where it failed."""
 
 
+class Judge(Protocol):
+    def judge(self, queries: list[str], images: list[bytes]) -> list[float]:
+        """How well each image shows what the query in its place asks for."""
+
+
 class Encoder(Protocol):
     dimension: int
 
@@ -62,15 +67,27 @@ def task_vectors(parsed: DataFrame, encoder: Encoder) -> DataFrame:
     return made.select("task_id", F.get(of(0), F.lit(0)).alias("main_vec"), F.coalesce(of(1), none).alias("before_vecs"), F.coalesce(of(2), none).alias("after_vecs"), "ocr_texts")
 
 
-def encoded(df: DataFrame, column: str, into: str, encoder: Encoder) -> DataFrame:
-    """df with the encoder's vector of a column, scaled to unit length."""
+def encoder_for(frames: DataFrame, encoders: list[Encoder]) -> Encoder:
+    """The first of the encoders whose vectors have the length of the store's, so that queries and frames cannot be of two models."""
+    found = frames.select(F.size("embedding").alias("n")).filter("n > 0").limit(1).collect()
+    for encoder in encoders:
+        if not found or encoder.dimension == found[0]["n"]:
+            return encoder
+    raise ValueError(f"no encoder makes vectors of length {found[0]['n'] if found else 'any'}")
+
+
+def encoded(df: DataFrame, column: str, into: str, encoder: Encoder, batch_size: int = 64) -> DataFrame:
+    """df with the encoder's vector of a column, scaled to unit length; the encoder gets up to batch_size items at once."""
 
     @F.pandas_udf("array<float>")
     def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import numpy as np
 
         for batch in batches:
-            made = np.asarray(encoder.encode(list(batch)), np.float64)
-            yield pd.Series(list((made / np.maximum(np.linalg.norm(made, axis=1, keepdims=True), 1e-12)).astype(np.float32)))
+            items, out = list(batch), []
+            for at in range(0, len(items), batch_size):
+                made = np.asarray(encoder.encode(items[at : at + batch_size]), np.float64)
+                out += list((made / np.maximum(np.linalg.norm(made, axis=1, keepdims=True), 1e-12)).astype(np.float32))
+            yield pd.Series(out)
 
     return df.withColumn(into, vectors(column))

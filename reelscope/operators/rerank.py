@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelscope.config import Retrieval, TextRerank
+from reelscope.functions.providers import Judge
 from reelscope.functions.text import best_ratios
 
 
@@ -38,6 +42,27 @@ def reranked(candidates: DataFrame, targets: DataFrame, seen: DataFrame, results
     return keep(fallback).unionByName(keep(by_text))
 
 
+def judged(results: DataFrame, tasks: DataFrame, images: DataFrame, judge: Judge, batch_size: int = 16) -> DataFrame:
+    """results (task_id, rank, video, frame, score) in the order of a second look at their images, by the judge's score and then by rank.
+
+    tasks: task_id, description. images: video_id, frame_ms, content. Results without an image stand behind all others in their
+    order; score stays what it was. Each pair of task and image is judged once.
+    """
+    shown = images.select(F.col("video_id").alias("video"), F.col("frame_ms").alias("frame"), "content").filter(F.col("content").isNotNull())
+    pairs = results.select("task_id", "video", "frame").distinct().join(tasks.select("task_id", "description"), "task_id").join(shown.dropDuplicates(["video", "frame"]), ["video", "frame"])
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), batch_size):
+                part = batch.iloc[at : at + batch_size]
+                yield part[["task_id", "video", "frame"]].assign(judged=[float(x) for x in judge.judge(list(part["description"]), [bytes(x) for x in part["content"]])])
+
+    kind = results.select("task_id", "video", "frame").schema
+    found = pairs.mapInPandas(look, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kind) + ", judged double")
+    order = Window.partitionBy("task_id").orderBy(F.col("judged").desc_nulls_last(), "rank")
+    return results.join(found, ["task_id", "video", "frame"], "left").withColumn("rank", F.row_number().over(order)).select("task_id", "rank", "video", "frame", "score")
+
+
 def submission_rows(results: DataFrame, tasks: DataFrame) -> DataFrame:
     """task_id, ordinal and results (array of rank, video_id, frame_ms) for each task of results' candidates.
 

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelscope.functions.histograms import BINS
@@ -48,12 +48,21 @@ def one_minus_dot(a: np.ndarray, b: np.ndarray) -> float:
     return 1.0 - float(np.dot(a, b))
 
 
+#: Where the overlapping tiles of a 128-by-128 image start, on either axis, and their side.
+TILES, TILE_SIDE = (0, 32, 64), 64
+
+
+def tiles_over(place: Column) -> Column:
+    """The starts of the tiles that cover a place of one axis, as an array."""
+    return F.filter(F.array(*map(F.lit, TILES)), lambda o: (place >= o) & (place < o + TILE_SIDE))
+
+
 def tile_histograms(h: np.ndarray, s: np.ndarray, v: np.ndarray, dark: float = 40.0, grey: float = 20.0) -> list[tuple[np.ndarray, np.ndarray, bool]]:
     """For the nine overlapping 64-by-64 tiles of a 128-by-128 image: brightness histogram, hue-saturation histogram, night."""
     out = []
-    for y in (0, 32, 64):
-        for x in (0, 32, 64):
-            cut = slice(y, y + 64), slice(x, x + 64)
+    for y in TILES:
+        for x in TILES:
+            cut = slice(y, y + TILE_SIDE), slice(x, x + TILE_SIDE)
             of_v = np.bincount((v[cut].ravel().astype(np.int64) * BINS) // 256, minlength=BINS).astype(np.float64)
             place = (h[cut].ravel().astype(np.int64) * BINS) // 180 * BINS + (s[cut].ravel().astype(np.int64) * BINS) // 256
             out.append((of_v, np.bincount(place, minlength=BINS * BINS).astype(np.float64), bool(v[cut].mean() < dark or s[cut].mean() < grey)))

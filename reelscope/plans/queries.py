@@ -12,14 +12,17 @@ from pyspark.sql import functions as F
 
 from reelscope.config import CHUNK, Retrieval
 from reelscope.functions.histograms import BINS, bhattacharyya, hue_saturation_bin, is_night, min_max, value_bin
+from reelscope.functions.pixels import hsv
 from reelscope.functions.providers import quote_parsed
-from reelscope.functions.text import chunk_name, frame_file, frame_ms, milliseconds, partial_ratio_of, quoted, stripped
+from reelscope.functions.services import prompt, prompt_of
+from reelscope.functions.text import best_ratios, chunk_name, frame_file, frame_ms, milliseconds, partial_ratio_of, stripped
 from reelscope.functions.vectors import dot, first_or_null, norm, unit, weighted_sum
 from reelscope.operators.rerank import reranked, submission_rows, text_bonus
 from reelscope.operators.retrieve import all_scores, described, top_frames
-from reelscope.operators.thinning import one_minus_dot, sampled, thinned, until_failure
-from reelscope.plans.retrieval import fused_ranks, retrieve
-from reelscope.sources.tables import catalogue_of, first_of_each, indexed, normalised_metadata, numbered, submission, with_defaults
+from reelscope.operators.thinning import one_minus_dot, sampled, thinned, tiles_over, until_failure
+from reelscope.plans.retrieval import fused_ranks, retrieve, with_variants
+from reelscope.sources.images import totals
+from reelscope.sources.tables import catalogue_of, first_of_each, indexed, merged, normalised_metadata, numbered, parsed_of, parts_of, query_list_of, submission, tasks_of
 from reelscope.streaming.resume import resumed, still_open, still_wanted
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -159,8 +162,11 @@ def fuzzy_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT CAST(item_id AS VARCHAR) AS task_id, text AS description, CAST(row_number() OVER (ORDER BY item_id) - 1 AS INT) AS ordinal FROM benchmark")
 def task_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = _read(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("task_id"), F.col("text").alias("description"), "item_id")
-    return numbered(items, F.col("item_id")).select("task_id", "description", F.col("ordinal").cast("int").alias("ordinal"))
+    """A file of JSON lines, with blank ones between and tasks that come again, read."""
+    items = _read(spark, sf_dir, "benchmark").select("item_id", F.to_json(F.struct(F.col("item_id").cast("string").alias("task_id"), F.col("text").alias("description"))).alias("line"))
+    again = F.to_json(F.struct(F.col("item_id").cast("string").alias("task_id"), F.lit("again").alias("description")))
+    lines = items.select("item_id", F.posexplode(F.array("line", F.lit("  "))).alias("k", "value")).unionByName(items.select((F.col("item_id") + 10**9).alias("item_id"), F.lit(0).alias("k"), again.alias("value")))
+    return tasks_of(lines, F.struct("item_id", "k")).select("task_id", "description", F.col("ordinal").cast("int").alias("ordinal"))
 
 
 @query("SELECT CAST(conv_id AS VARCHAR) AS task_id, text AS description FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) WHERE n = 1")
@@ -174,8 +180,7 @@ def query_list_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A JSON array of {id, query}, written and taken apart again."""
     one = F.struct(F.col("item_id").cast("string").alias("id"), F.col("text").alias("query"))
     text = _read(spark, sf_dir, "benchmark").agg(F.to_json(F.sort_array(F.collect_list(F.struct("item_id", one.alias("q"))))["q"]).alias("value"))
-    rows = text.select(F.posexplode(F.from_json("value", "array<struct<id:string,query:string>>")).alias("ordinal", "q"))
-    return rows.select(F.col("q.id").alias("task_id"), F.col("q.query").alias("query"), "ordinal")
+    return query_list_of(text)
 
 
 @query("""SELECT CAST(item_id AS VARCHAR) AS task_id, text AS original_query, CAST(len([] :: VARCHAR[]) AS INT) AS n_before, text AS main_shot,
@@ -193,8 +198,7 @@ def parsed_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A JSON object of parsed queries by id, with keys missing or null, exploded and completed."""
     ids = _read(spark, sf_dir, "conversations").select("conv_id").distinct()
     text = ids.select(F.concat(F.lit('{"'), F.col("conv_id").cast("string"), F.lit('":{"original_query":"q'), F.col("conv_id").cast("string"), F.lit('"'), F.when(F.col("conv_id") % 2 == 0, ',"main_shot":"m"').otherwise(',"main_shot":null'), F.when(F.col("conv_id") % 3 == 0, ',"context_before":["b"]').otherwise(""), F.lit("}}")).alias("value"))
-    kind = "map<string,struct<original_query:string,context_before:array<string>,main_shot:string,context_after:array<string>,ocr_texts:array<string>>>"
-    rows = with_defaults(text.select(F.explode(F.from_json("value", kind)).alias("task_id", "p")).select("task_id", "p.*"))
+    rows = parsed_of(text)
     return rows.select("task_id", "original_query", "main_shot", F.size("context_before").alias("n_before"), F.size("ocr_texts").alias("n_ocr"))
 
 
@@ -333,8 +337,7 @@ SELECT frame, a.o AS tile_x, b.o AS tile_y, count(*) AS n, round(avg(v), 6) AS m
 def overlapping_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each pixel goes to the tiles of side 64 and step 32 that cover it."""
     px = _read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("frame"), (F.col("l_partkey") % 128).alias("x"), (F.col("l_orderkey") % 128).alias("y"), F.col("l_linenumber").alias("v"))
-    covering = lambda c: F.explode(F.filter(F.array(*map(F.lit, (0, 32, 64))), lambda o: (F.col(c) >= o) & (F.col(c) < o + 64)))
-    placed = px.withColumn("tile_x", covering("x")).withColumn("tile_y", covering("y"))
+    placed = px.withColumn("tile_x", F.explode(tiles_over(F.col("x")))).withColumn("tile_y", F.explode(tiles_over(F.col("y"))))
     return placed.groupBy("frame", "tile_x", "tile_y").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("v"), 6).alias("mean"))
 
 
@@ -352,7 +355,7 @@ SELECT o.label, o.n, CASE WHEN 1 - list_dot_product(w.last, o.e) > 0.9 THEN o.e
 SELECT count(*) FILTER (WHERE kept) AS saved, count(*) FILTER (WHERE NOT kept) AS skipped, count(DISTINCT label) AS videos FROM w""")
 def saved_and_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = thinned(_frames(spark, sf_dir).select("video_id", "idx", "embedding"), "idx", "embedding", 0.9, one_minus_dot)
-    return kept.agg(F.count(F.when(F.col("kept"), 1)).alias("saved"), F.count(F.when(~F.col("kept"), 1)).alias("skipped"), F.countDistinct("video_id").alias("videos"))
+    return totals(kept.groupBy("video_id").agg(F.count(F.when(F.col("kept"), 1)).alias("saved"), F.count(F.when(~F.col("kept"), 1)).alias("skipped")))
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -376,10 +379,19 @@ def task_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered(_read(spark, sf_dir, "benchmark").select("item_id"), F.col("item_id")).select("item_id", chunk_name(F.col("ordinal"), CHUNK).alias("chunk"))
 
 
-@query("SELECT item_id, CAST(1 AS INT) AS part FROM benchmark WHERE item_id < 20 UNION ALL SELECT item_id, 2 FROM benchmark WHERE item_id >= 10")
+@query("""WITH p AS (SELECT CAST(item_id AS VARCHAR) AS task_id, part, row_number() OVER (PARTITION BY part ORDER BY item_id) AS place,
+CAST(to_json([struct_pack(rank := 1, video_id := 'p' || part, frame_ms := item_id)]) AS VARCHAR) AS results
+FROM benchmark, (SELECT unnest([1, 2, 3]) AS part) WHERE (item_id + part) % 3 <> 0),
+o AS (SELECT *, row_number() OVER (ORDER BY part, place) - 1 AS ordinal FROM p)
+SELECT CAST(ordinal AS INT) AS ordinal, task_id, results FROM o QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY ordinal) = 1""")
 def united_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = _read(spark, sf_dir, "benchmark").select("item_id")
-    return items.filter("item_id < 20").withColumn("part", F.lit(1)).unionByName(items.filter("item_id >= 10").withColumn("part", F.lit(2)))
+    """Submission parts, written as arrays and as documents, that share tasks, and one file that is none, merged."""
+    items = _read(spark, sf_dir, "benchmark").withColumn("part", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).filter("(item_id + part) % 3 <> 0")
+    result = F.struct(F.lit(1).alias("rank"), F.concat(F.lit("p"), F.col("part").cast("string")).alias("video_id"), F.col("item_id").cast("long").alias("frame_ms"))
+    one = F.struct("item_id", F.struct(F.col("item_id").cast("string").alias("task_id"), F.array(result).alias("results")).alias("p"))
+    told = items.groupBy("part").agg(F.sort_array(F.collect_list(one))["p"].alias("predictions"))
+    texts = told.select(F.when(F.col("part") == 2, F.to_json(F.struct("predictions"))).otherwise(F.to_json("predictions")).alias("value"), F.concat(F.lit("part_"), F.col("part").cast("string")).alias("part"))
+    return merged(parts_of(texts.unionByName(spark.createDataFrame([("no submission", "part_0")], "value string, part string")))).withColumn("results", F.to_json("results"))
 
 
 @query("""SELECT conv_id, CAST(len(list_slice(l, 1, 3)) AS INT) AS head, array_to_string(list_slice(l, 1, 2), '|') AS first_two, l[len(l)] AS last FROM (SELECT conv_id, list(role ORDER BY turn) AS l FROM conversations GROUP BY conv_id)""")
@@ -388,12 +400,17 @@ def list_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("conv_id", F.size(F.slice("l", 1, 3)).alias("head"), F.array_join(F.slice("l", 1, 2), "|").alias("first_two"), F.reverse("l")[0].alias("last"))
 
 
-@query("""WITH m AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) SELECT user_id, event_type, n, (SELECT coalesce(max(n), 0) FROM m x WHERE x.user_id = m.user_id AND x.event_type = 'absent') AS absent FROM m WHERE n > 1""")
+@query("""WITH m AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL), f AS (SELECT min(event_type) AS first FROM events),
+x AS (SELECT user_id, max(n) FILTER (WHERE event_type = first) AS n FROM m, f GROUP BY user_id)
+SELECT m.user_id, event_type, m.n, coalesce(x.n, 0) AS found, -1::BIGINT AS absent FROM m JOIN x USING (user_id) WHERE m.n > 1""")
 def map_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = _read(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    """Entries of a map by a condition, and look-ups with a default, of a key that most maps have and of one that none has."""
+    events = _read(spark, sf_dir, "events")
+    counts = events.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
     maps = counts.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias("m"))
-    absent = F.coalesce(F.try_element_at("m", F.lit("absent")), F.lit(0).cast("long"))
-    return maps.select("user_id", absent.alias("absent"), F.explode(F.map_filter("m", lambda k, v: v > 1)).alias("event_type", "n"))
+    first = events.agg(F.min("event_type")).collect()[0][0] or ""
+    look = lambda key, other: F.coalesce(F.try_element_at("m", F.lit(key)), F.lit(other).cast("long"))
+    return maps.select("user_id", look(first, 0).alias("found"), look("no such type", -1).alias("absent"), F.explode(F.map_filter("m", lambda k, v: v > 1)).alias("event_type", "n"))
 
 
 @query("""SELECT doc_id, regexp_replace(regexp_replace(chr(9) || text || chr(10), '^\\s+', ''), '\\s+$', '') AS bare, lower(source) || '_x' AS name FROM documents""")
@@ -401,7 +418,51 @@ def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "documents").select("doc_id", stripped(F.concat(F.lit("\t"), "text", F.lit("\n"))).alias("bare"), F.concat_ws("_", F.lower("source"), F.lit("x")).alias("name"))
 
 
-@query("""SELECT item_id, v AS variant, text || ' #' || v AS query, CASE WHEN v = 0 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM benchmark, (SELECT unnest([0, 1, 2, 3]) AS v)""")
+@query("""SELECT CAST(item_id AS VARCHAR) AS task_id, CAST(v AS INT) AS variant, CASE WHEN v = 0 THEN text ELSE text || ' #' || v END AS query, CASE WHEN v = 0 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight
+FROM benchmark, (SELECT unnest([0, 1, 2, 3]) AS v) WHERE v <= item_id % 4""")
 def query_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _read(spark, sf_dir, "benchmark").withColumn("variant", F.explode(F.sequence(F.lit(0), F.lit(3))))
-    return rows.select("item_id", "variant", F.concat("text", F.lit(" #"), F.col("variant").cast("string")).alias("query"), F.when(F.col("variant") == 0, 2.0).otherwise(1.0).alias("weight"))
+    items = _read(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("task_id"), F.col("text").alias("description"), "item_id")
+    made = F.transform(F.slice(F.array(F.lit(1), F.lit(2), F.lit(3)), F.lit(1), (F.col("item_id") % 4).cast("int")), lambda v: F.concat("description", F.lit(" #"), v.cast("string")))
+    return with_variants(items, items.select("task_id", made.alias("variants")))
+
+
+@query("SELECT CAST(item_id AS VARCHAR) AS task_id, '" + prompt("\0").replace("'", "''").replace("\0", "' || text || '") + "' AS prompt FROM benchmark")
+def parser_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("task_id"), prompt_of(F.col("text")).alias("prompt"))
+
+
+@query("""WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey * 7 % 256 AS b, l_orderkey * 5 % 256 AS g, l_suppkey * 37 % 256 AS r FROM lineitem),
+x AS (SELECT *, greatest(b, g, r) AS t, greatest(b, g, r) - least(b, g, r) AS d FROM p),
+k AS (SELECT *, CASE WHEN d = 0 THEN 0 WHEN t = r THEN 30.0::DOUBLE * (g - b) / d WHEN t = g THEN 60 + 30.0::DOUBLE * (b - r) / d ELSE 120 + 30.0::DOUBLE * (r - g) / d END AS hue FROM x)
+SELECT l_orderkey, l_linenumber, CAST((floor(hue + 0.5) + 180) % 180 AS INT) AS h, CAST(CASE WHEN t = 0 THEN 0 ELSE floor(255.0::DOUBLE * d / t + 0.5) END AS INT) AS s, CAST(t AS INT) AS v FROM k""")
+def pixel_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    px = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.expr("l_partkey * 7 % 256").alias("b"), F.expr("l_orderkey * 5 % 256").alias("g"), F.expr("l_suppkey * 37 % 256").alias("r"))
+    return px.select("l_orderkey", "l_linenumber", hsv(F.col("b"), F.col("g"), F.col("r")).alias("c")).select("l_orderkey", "l_linenumber", "c.*")
+
+
+@query("""WITH p AS (SELECT p_partkey, 5 + p_partkey % 40 AS p, 1 + p_partkey % 5 AS q FROM part)
+SELECT p_partkey, CAST(round_even(2.0::DOUBLE * q / (p + q) * 100, 0) AS INT) AS ratio, [round_even(2.0::DOUBLE * q / (p + q) * 100, 0) / 100, 1.0::DOUBLE, 0.0::DOUBLE] AS best FROM p""")
+def known_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches whose ratio has a closed form: p times a, looked for in fewer (q) times a and p times b, is best at the stretch of q characters."""
+    part = _read(spark, sf_dir, "part").select("p_partkey", F.expr("repeat('a', CAST(5 + p_partkey % 40 AS INT))").alias("target"), F.expr("repeat('a', CAST(1 + p_partkey % 5 AS INT)) || repeat('b', CAST(5 + p_partkey % 40 AS INT))").alias("found"))
+    targets, found = F.array(F.upper("target"), F.lit("zz top"), F.lit("999")), F.array("found", F.lit("see ZZ Top here"), F.lit("bbb"))
+    return part.select("p_partkey", partial_ratio_of(F.col("target"), F.col("found")).alias("ratio"), best_ratios(targets, found).alias("best"))
+
+
+@query(f"""WITH {_TOP_CTE}, c AS (SELECT task_id, rank, idx, label, score, CAST(task_id AS INT) AS i FROM k WHERE rank <= 100),
+f AS (SELECT *, i % 4 = 0 AS asks, idx % 3 <> 0 AND i % 5 <> 0 AS img, CASE WHEN idx % 4 = 0 THEN CASE WHEN i % 8 = 0 THEN 0.2::DOUBLE ELSE 0.1::DOUBLE END ELSE 0 END AS bonus FROM c),
+g AS (SELECT *, CASE WHEN asks AND i % 5 <> 0 THEN score * (1 + bonus) ELSE score END AS final FROM f WHERE NOT asks OR i % 5 = 0 OR img)
+SELECT task_id, CAST(place AS INT) AS rank, 'v' || label AS video, idx * 40 AS frame, round(final, 9) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY CASE WHEN asks AND i % 5 <> 0 THEN final ELSE 0 END DESC, rank) AS place FROM g) WHERE place <= 10""")
+def reranked_by_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole text rerank, with texts that either hold a target or share no letter with it; tasks of every fifth number see no image at all."""
+    frames = _frames(spark, sf_dir)
+    tasks = _tasks(spark, sf_dir).withColumn("i", F.col("task_id").cast("int"))
+    wanted = F.when(F.col("i") % 8 == 0, F.array(F.lit("Exit"), F.lit("sign"), F.lit("exit sign"))).when(F.col("i") % 4 == 0, F.array(F.lit("exit"))).otherwise(F.array().cast("array<string>"))
+    tasks = tasks.withColumn("ocr_texts", wanted)
+    best = described(top_frames(frames, tasks, Retrieval(candidates=100)), frames).select("task_id", "rank", "video", "frame", "score")
+    texts = F.when(F.col("idx") % 4 == 0, F.array(F.lit("qqqq"), F.lit("an EXIT SIGN here"))).otherwise(F.array(F.lit("qqqq")))
+    seen = frames.filter("idx % 3 <> 0").select(F.col("video_id").alias("video"), F.col("frame_ms").alias("frame"), texts.alias("texts"))
+    blind = F.col("task_id").cast("int") % 5 == 0
+    apart = best.withColumn("video", F.when(blind, F.concat(F.lit("blind "), "video")).otherwise(F.col("video")))
+    return reranked(apart, tasks, seen).select("task_id", "rank", F.regexp_replace("video", "^blind ", "").alias("video"), "frame", F.round("score", 9).alias("score"))

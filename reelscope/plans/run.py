@@ -1,7 +1,8 @@
-"""A run from files: python -m reelscope.plans.run --frames STORE --tasks TASKS.jsonl --vectors TABLE --output OUT.json [--seen TABLE].
+"""A run from files: python -m reelscope.plans.run --frames STORE... --tasks TASKS.jsonl --vectors TABLE --output OUT.json [--seen TABLE] [--blocks TABLE].
 
-STORE is the frame store, TABLE of --vectors has task_id, main_vec, before_vecs, after_vecs, ocr_texts (made by an encoder), that
-of --seen has video, frame, texts. Missing inputs are an error.
+STORE is the frame store; the first of those given that exists is read. TABLE of --blocks has the same frames as packed blocks, that of
+--vectors task_id, main_vec, before_vecs, after_vecs, ocr_texts (made by an encoder), that of --seen video, frame, texts. Missing
+inputs are an error.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelscope.plans.retrieval import retrieve
-from reelscope.sources.tables import read_frames, read_tasks, write_submission
+from reelscope.sources.tables import first_store, read_frames, read_tasks, write_submission
 
 
 def same_dimension(frames: DataFrame, tasks: DataFrame) -> None:
@@ -25,16 +26,19 @@ def same_dimension(frames: DataFrame, tasks: DataFrame) -> None:
 
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> None:
     says = argparse.ArgumentParser(description=__doc__)
-    for name in ("frames", "tasks", "vectors", "output"):
+    says.add_argument("--frames", required=True, nargs="+")
+    for name in ("tasks", "vectors", "output"):
         says.add_argument(f"--{name}", required=True)
     says.add_argument("--seen")
+    says.add_argument("--blocks")
     given = says.parse_args(args)
     spark = spark or SparkSession.builder.appName("reelscope").getOrCreate()
-    frames = read_frames(spark, given.frames)
+    frames = read_frames(spark, first_store(spark, given.frames))
     tasks = read_tasks(spark, given.tasks).join(spark.read.parquet(given.vectors), "task_id")
     same_dimension(frames, tasks)
     seen = spark.read.parquet(given.seen) if given.seen else spark.createDataFrame([], "video string, frame long, texts array<string>")
-    write_submission(retrieve(frames, tasks, seen), given.output)
+    blocks = spark.read.parquet(given.blocks) if given.blocks else None
+    write_submission(retrieve(frames, tasks, seen, blocks=blocks), given.output)
 
 
 if __name__ == "__main__":

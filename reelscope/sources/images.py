@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from time import perf_counter
 from typing import Protocol
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelscope.config import Sampling
+from reelscope.functions.pixels import prepared
 from reelscope.functions.text import frame_ms
 from reelscope.operators.thinning import image_distance
 
@@ -19,8 +21,8 @@ class FrameDecoder(Protocol):
     def open(self, path: str) -> tuple[float, int] | None:
         """Frames a second and number of frames, or None for a video that cannot be opened."""
 
-    def frame(self, path: str, index: int) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray] | None:
-        """An encoded image and its hue, saturation and value at 128 by 128; None where it cannot be read."""
+    def frame(self, path: str, index: int) -> tuple[bytes, np.ndarray] | tuple[bytes, np.ndarray, np.ndarray, np.ndarray] | None:
+        """An encoded image and its pixels (height by width by blue, green, red, 8 bits), or its hue, saturation and value at 128 by 128; None where it cannot be read."""
 
 
 class TextReader(Protocol):
@@ -35,12 +37,17 @@ def read_images(spark: SparkSession, root: str, pattern: str = "*.webp") -> Data
     return files.select(name(1).alias("video_id"), name(2).alias("frame_file"), frame_ms(name(2)).alias("frame_ms"), "content")
 
 
-def extracted_frames(videos: DataFrame, decoder: FrameDecoder, how: Sampling = Sampling()) -> DataFrame:
-    """video_id, frame_ms, frame_file, content of the frames that stay, for each video (video_id, path).
+_EXTRACTED = "video_id string, frame_ms long, frame_file string, content binary, saved long, skipped long"
+
 
-    A video is sampled every `interval` seconds, up to its first frame that cannot be read; a sampled frame stays if it differs
-    by more than `change` from the last one that stayed. Videos that cannot be opened, or have no frame rate, give no row.
+def extraction(videos: DataFrame, decoder: FrameDecoder, how: Sampling = Sampling()) -> DataFrame:
+    """The frames that stay (video_id, frame_ms, frame_file, content), and for each video a last row with its counts saved and skipped.
+
+    videos: video_id, path. A video is sampled every `interval` seconds, up to its first frame that cannot be read; a sampled frame
+    stays if it differs by more than `change` from the last one that stayed. Videos that cannot be opened, or have no frame rate,
+    give no row, so they are tried again by the next run.
     """
+    names = ["video_id", "frame_ms", "frame_file", "content", "saved", "skipped"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -49,22 +56,58 @@ def extracted_frames(videos: DataFrame, decoder: FrameDecoder, how: Sampling = S
                 hop = round(opened[0] * how.interval) if opened else 0
                 if hop < 1:
                     continue
-                last, rows = None, []
+                last, rows, saved, skipped = None, [], 0, 0
                 for index in range(0, opened[1], hop):
                     found = decoder.frame(path, index)
                     if found is None:
                         break
-                    if last is None or image_distance(last, found[1:]) > how.change:
-                        last = found[1:]
-                        ms = int(index / opened[0] * 1000)
-                        rows.append((video, ms, f"frame_{ms:08d}.webp", found[0]))
+                    planes = found[1:] if len(found) == 4 else prepared(found[1])
+                    if last is not None and image_distance(last, planes) <= how.change:
+                        skipped += 1
+                        continue
+                    last = planes
+                    ms = int(index / opened[0] * 1000)
+                    rows.append((video, ms, f"frame_{ms:08d}.webp", found[0], None, None))
+                    saved += 1
                     if len(rows) == 64:
-                        yield pd.DataFrame(rows, columns=["video_id", "frame_ms", "frame_file", "content"])
+                        yield pd.DataFrame(rows, columns=names)
                         rows = []
-                if rows:
-                    yield pd.DataFrame(rows, columns=["video_id", "frame_ms", "frame_file", "content"])
+                yield pd.DataFrame([*rows, (video, None, None, None, saved, skipped)], columns=names)
+
+    return videos.select("video_id", "path").mapInPandas(run, _EXTRACTED)
+
+
+def extracted_frames(videos: DataFrame, decoder: FrameDecoder, how: Sampling = Sampling()) -> DataFrame:
+    """The frames alone: video_id, frame_ms, frame_file, content."""
+    return extraction(videos, decoder, how).filter("frame_file IS NOT NULL").select("video_id", "frame_ms", "frame_file", "content")
+
+
+def write_extraction(rows: DataFrame, path: str) -> None:
+    """Adds the rows of extraction() to the store at path, frames and completed videos by one committed job, in folders of their own."""
+    kind = F.when(F.col("frame_file").isNull(), "completed").otherwise("frames")
+    rows.withColumn("kind", kind).write.mode("append").partitionBy("kind").parquet(path)
+
+
+def read_extracted(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The frames (video_id, frame_ms, frame_file, content) and the completed videos (video_id, saved, skipped) of such a store."""
+    both = spark.read.schema(f"{_EXTRACTED}, kind string").parquet(path)
+    frames = both.filter("kind = 'frames'").select("video_id", "frame_ms", "frame_file", "content")
+    return frames, both.filter("kind = 'completed'").select("video_id", "saved", "skipped")
+
+
+def totals(completed: DataFrame) -> DataFrame:
+    """One row: videos, saved, skipped."""
+    return completed.agg(F.count(F.lit(1)).alias("videos"), F.coalesce(F.sum("saved"), F.lit(0)).alias("saved"), F.coalesce(F.sum("skipped"), F.lit(0)).alias("skipped"))
+
+
+def timed(rows: DataFrame, write: Callable[[DataFrame], None], name: str = "rate") -> dict[str, float]:
+    """rows, seconds and rows a second of write(rows), counted while they are written."""
+    from pyspark.sql import Observation
 
-    return videos.select("video_id", "path").mapInPandas(run, "video_id string, frame_ms long, frame_file string, content binary")
+    seen, start = Observation(name), perf_counter()
+    write(rows.observe(seen, F.count(F.lit(1)).alias("rows")))
+    seconds = perf_counter() - start
+    return {"rows": seen.get["rows"], "seconds": seconds, "rate": seen.get["rows"] / seconds if seconds > 0 else 0.0}
 
 
 def counted(frames: DataFrame, name: str = "frames") -> tuple[DataFrame, object]:

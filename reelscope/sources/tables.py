@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reelscope.functions.text import frame_ms, legacy_frame, video_name
+from reelscope.functions.text import chunk_name, frame_ms, legacy_frame, video_name
 
 PARSED = "struct<original_query:string,context_before:array<string>,main_shot:string,context_after:array<string>,ocr_texts:array<string>>"
 
@@ -28,26 +28,38 @@ def first_of_each(tasks: DataFrame) -> DataFrame:
     return tasks.withColumn("turn", F.row_number().over(at)).filter("turn = 1").drop("turn")
 
 
+def tasks_of(lines: DataFrame, order: F.Column | None = None) -> DataFrame:
+    """task_id, description, ordinal of JSON lines (value). Blank lines are skipped; a bad line or a missing key is an error."""
+    told = F.from_json("value", "task_id string, description string", {"mode": "FAILFAST"})
+    raw = numbered(lines.filter(F.trim("value") != ""), order).select(told.alias("t"), "ordinal").select("t.*", "ordinal")
+    return first_of_each(raw.select(_required("task_id"), _required("description"), "ordinal"))
+
+
 def read_tasks(spark: SparkSession, path: str) -> DataFrame:
-    """task_id, description, ordinal of a JSON-lines file. Blank lines are skipped; a bad line or a missing key is an error."""
-    raw = spark.read.schema("task_id string, description string").option("mode", "FAILFAST").json(path)
-    return first_of_each(numbered(raw).select(_required("task_id"), _required("description"), "ordinal"))
+    """The tasks of a JSON-lines file, see tasks_of."""
+    return tasks_of(spark.read.text(path))
 
 
-def read_query_list(spark: SparkSession, path: str) -> DataFrame:
-    """task_id, query, ordinal of one JSON array of {id, query} objects or bare strings; a bare string's id is its position."""
-    text = spark.read.text(path, wholetext=True)
+def query_list_of(text: DataFrame) -> DataFrame:
+    """task_id, query, ordinal of one JSON array (value) of {id, query} objects or bare strings; a bare string's id is its position."""
     rows = text.select(F.posexplode(F.from_json("value", "array<string>")).alias("ordinal", "item"))
     item = F.when(F.col("item").startswith("{"), F.from_json("item", "struct<id:string,query:string>"))
     return rows.select(F.coalesce(item["id"], F.col("ordinal").cast("string")).alias("task_id"), F.coalesce(item["query"], F.col("item")).alias("query"), "ordinal")
 
 
-def read_parsed(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each entry of a JSON object of parsed queries by id."""
-    text = spark.read.text(path, wholetext=True)
+def read_query_list(spark: SparkSession, path: str) -> DataFrame:
+    return query_list_of(spark.read.text(path, wholetext=True))
+
+
+def parsed_of(text: DataFrame) -> DataFrame:
+    """One row for each entry of JSON objects (value) of parsed queries by id."""
     return with_defaults(text.select(F.explode(F.from_json("value", f"map<string,{PARSED}>")).alias("task_id", "p")).select("task_id", "p.*"))
 
 
+def read_parsed(spark: SparkSession, path: str) -> DataFrame:
+    return parsed_of(spark.read.text(path, wholetext=True))
+
+
 def with_defaults(parsed: DataFrame) -> DataFrame:
     """Missing lists are empty, a missing main shot is the query itself."""
     none = F.array().cast("array<string>")
@@ -116,11 +128,41 @@ def catalogue_of(paths: DataFrame, datasets: tuple[str, ...] = ("V3C1", "V3C2"))
     return found.filter(F.col("dataset").isin(*datasets) & (F.col("folder") == F.col("stem"))).select("path", "dataset", "folder", video_name(F.col("dataset"), F.col("folder")).alias("video_id"))
 
 
+_PREDICTIONS = "array<struct<task_id:string,results:array<struct<rank:int,video_id:string,frame_ms:bigint>>>>"
+
+
+def parts_of(texts: DataFrame) -> DataFrame:
+    """task_id, results, part, place of submission parts (value, part): an array of predictions, or an object that has them. Others are skipped."""
+    whole = F.from_json("value", f"struct<predictions:{_PREDICTIONS}>")["predictions"]
+    found = F.when(F.ltrim("value").startswith("["), F.from_json("value", _PREDICTIONS)).otherwise(whole)
+    rows = texts.select(found.alias("all"), "part").filter("all IS NOT NULL").select("part", F.posexplode("all").alias("place", "p"))
+    return rows.select("p.task_id", "p.results", "part", "place").filter("task_id IS NOT NULL")
+
+
 def read_parts(spark: SparkSession, pattern: str) -> DataFrame:
     """task_id and results of all submission files that match; unreadable ones are skipped."""
-    kind = "struct<predictions:array<struct<task_id:string,results:array<struct<rank:int,video_id:string,frame_ms:bigint>>>>>"
+    return _part_files(spark, pattern).select("task_id", "results")
+
+
+def _part_files(spark: SparkSession, pattern: str) -> DataFrame:
     text = spark.read.option("ignoreCorruptFiles", True).text(pattern, wholetext=True)
-    return text.select(F.from_json("value", kind).alias("doc")).filter("doc.predictions is not null").select(F.explode("doc.predictions").alias("p")).select("p.*")
+    return parts_of(text.select("value", F.input_file_name().alias("part")))
+
+
+def merged(parts: DataFrame) -> DataFrame:
+    """ordinal, task_id, results of parts (task_id, results, part, place): by name of the part and place in it. Of a task that repeats, the first counts."""
+    order = Window.orderBy("part", "place")
+    return first_of_each(parts.withColumn("ordinal", (F.row_number().over(order) - 1).cast("int"))).select("ordinal", "task_id", "results")
+
+
+def merge_parts(spark: SparkSession, pattern: str, path: str) -> None:
+    """One submission of all parts that match."""
+    write_submission(merged(_part_files(spark, pattern)), path)
+
+
+def write_candidates(candidates: DataFrame, path: str, size: int) -> None:
+    """candidates (task_id, ordinal, ...) as JSON lines, a folder for each chunk of so many tasks, to look at."""
+    candidates.withColumn("chunk", chunk_name(F.col("ordinal"), size)).write.mode("overwrite").partitionBy("chunk").json(path)
 
 
 def submission(rows: DataFrame) -> DataFrame:

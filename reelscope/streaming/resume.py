@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -51,3 +51,22 @@ def thinned_stream(frames: DataFrame, feature: str, bound: float, by: str = "vid
 def run_available(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Handles what has arrived, each input once over all runs, and stops. Stopping early keeps what is committed."""
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
+def stop_on(running: StreamingQuery, wanted: Callable[[], bool], every: float = 1.0) -> bool:
+    """Waits for a run to end, and stops it between micro-batches once `wanted` says so; says whether it was stopped. What is committed stays."""
+    while not running.awaitTermination(every):
+        if wanted():
+            running.stop()
+            return True
+    return False
+
+
+def signalled(spark: SparkSession, path: str) -> Callable[[], bool]:
+    """Whether a file of that name exists, on any file system that Spark knows."""
+
+    def there() -> bool:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+    return there
