@@ -4,11 +4,21 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def slots(df: DataFrame) -> int:
+    """Partitions for rows that are few bytes and much work: the session's shuffle partitions, or two a core if that is more."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * df.sparkSession.sparkContext.defaultParallelism)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt to that many partitions if it is read from fewer files."""
+    return df if len(df.inputFiles()) >= slots(df) else df.repartition(slots(df))
+
+
 def frame_file(ms: Column) -> Column:
     return F.format_string("frame_%08d.webp", ms)
 
@@ -50,34 +60,39 @@ def milliseconds(index: Column, fps: Column) -> Column:
     return (index / fps * 1000).cast("bigint")
 
 
-def strands(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For each place of b, where the strand that ends there starts in b; negative: in a.
+def strands(a: np.ndarray, others: list[np.ndarray]) -> list[np.ndarray]:
+    """For each place of each other string b, where the strand that ends there starts in b; negative: in a.
 
     Strands run through the grid of a (down) and b (across), turn where characters are equal, and cross no other one twice. The
     longest common subsequence of a and b[i:j] then is j - i less the strands that start at i or later and end before j. One step
-    takes a whole diagonal of the grid.
+    takes a whole diagonal of all grids; shorter strings are filled up with what equals nothing, which changes nothing to its left.
     """
-    m, n = len(a), len(b)
-    across, down, turned = np.arange(m), np.arange(m, m + n), a[::-1]
+    m, n = len(a), max(map(len, others))
+    grid = np.full((n, len(others)), -1, np.int32)
+    for k, b in enumerate(others):
+        grid[: len(b), k] = b
+    across = np.repeat(np.arange(m, dtype=np.int32)[:, None], len(others), axis=1)
+    down = np.repeat(np.arange(m, m + n, dtype=np.int32)[:, None], len(others), axis=1)
+    turned = a[::-1].astype(np.int32)[:, None]
     for d in range(m + n - 1):
         first, last = max(0, d - m + 1), min(n, d + 1)
         rows = slice(first + m - 1 - d, last + m - 1 - d)
         h, v = across[rows], down[first:last]
-        out = np.where(turned[rows] == b[first:last], v, np.minimum(h, v))
-        down[first:last] = h + v - out
+        out = np.where(turned[rows] == grid[first:last], v, np.minimum(h, v))
+        h += v
+        np.subtract(h, out, out=v)
         across[rows] = out
-    return down - m
+    return [down[: len(b), k] - m for k, b in enumerate(others)]
 
 
-def best_stretch(a: np.ndarray, b: np.ndarray) -> float:
-    """The best 2 * common subsequence / both lengths of a and a stretch of b of its length, or a shorter one at either end of b; a is no longer than b."""
-    m, n = len(a), len(b)
-    start = strands(a, b)
+def best_stretch(m: int, start: np.ndarray) -> float:
+    """The best 2 * common subsequence / both lengths of a string of m characters and a stretch of its length of another one, or a shorter one at either end, by the strands of the two; the other is no shorter."""
+    n = len(start)
     inside = np.flatnonzero(start >= 0)
     end = np.full(n, n)
     end[start[inside]] = inside
     places = np.arange(n - m + 1)
-    # strands within b[i:i + m], from one stretch to the next: less the one that starts at i, more the one that ends at i + m - 1
+    # strands within b[i:i + m], from one stretch to the next: less the one that starts at i, more the one that ends at i + m
     within = np.cumsum(np.concatenate([[(start[:m] >= 0).sum()], (start[m:] > places[:-1]).astype(np.int64) - (end[: n - m] < places[:-1] + m)]))
     best = 2 * (m - within.min()) / (2 * m)
     short = np.arange(1, m)
@@ -88,6 +103,10 @@ def best_stretch(a: np.ndarray, b: np.ndarray) -> float:
     return float(best)
 
 
+#: Strings that are matched at once, and characters of them at most.
+_AT_ONCE, _CHARACTERS = 32, 1_000_000
+
+
 def points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
 
@@ -97,13 +116,31 @@ def partial_ratio(a: str, b: str) -> int:
 
     A stretch scores 2 * common subsequence / both lengths. Two empty strings give 100, one empty string 0.
     """
-    if not a or not b:
-        return 100 if a == b else 0
-    if a in b or b in a:
-        return 100
-    short, long = sorted((points(a), points(b)), key=len)
-    best = best_stretch(short, long)
-    return round(max(best, best_stretch(long, short)) * 100) if len(a) == len(b) else round(best * 100)
+    return partial_ratios(a, [b])[0]
+
+
+def partial_ratios(a: str, others: list[str]) -> list[int]:
+    """partial_ratio(a, b) for each b of others."""
+    out, longer = [0] * len(others), []
+    own = points(a)
+    for k, b in enumerate(others):
+        if not a or not b:
+            out[k] = 100 if a == b else 0
+        elif a in b or b in a:
+            out[k] = 100
+        elif len(b) > len(a):
+            longer.append((k, points(b)))
+        else:
+            other = points(b)
+            best = best_stretch(len(other), strands(other, [own])[0])
+            out[k] = round(max(best, best_stretch(len(own), strands(own, [other])[0]) if len(a) == len(b) else 0.0) * 100)
+    longer.sort(key=lambda x: len(x[1]))
+    while longer:
+        size = max(1, min(_AT_ONCE, _CHARACTERS // len(longer[-1][1])))
+        part, longer = longer[-size:], longer[:-size]
+        for (k, _), start in zip(part, strands(own, [b for _, b in part]), strict=True):
+            out[k] = round(best_stretch(len(own), start) * 100)
+    return out
 
 
 #: Characters of a gram, by the length of the string that is looked for, at least.
@@ -154,9 +191,19 @@ class Found:
         return self._grams[size]
 
 
+def _all_ratios(pairs: set[tuple[str, str]]) -> dict[tuple[str, str], int]:
+    """The ratio of every pair, those of one first string at once."""
+    of: dict[str, list[str]] = {}
+    for a, b in pairs:
+        of.setdefault(a, []).append(b)
+    return {(a, b): r for a, others in of.items() for b, r in zip(others, partial_ratios(a, others), strict=True)}
+
+
 @F.pandas_udf(T.IntegerType())
 def partial_ratio_of(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([partial_ratio(x, y) if x is not None and y is not None else 0 for x, y in zip(a, b, strict=True)])
+    pairs = [None if x is None or y is None else (x, y) for x, y in zip(a, b, strict=True)]
+    found = _all_ratios({p for p in pairs if p})
+    return pd.Series([found[p] if p else 0 for p in pairs])
 
 
 def best_ratios(targets: Column, found: Column, least: float = 0.0) -> Column:
@@ -167,26 +214,12 @@ def best_ratios(targets: Column, found: Column, least: float = 0.0) -> Column:
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def ratios(targets: pd.Series, found: pd.Series) -> pd.Series:
-        known: dict[tuple[str, str], int] = {}
-        of_target: dict[str, Target] = {}
-        of_found: dict[str, Found] = {}
-
-        def kept(into: dict, key, make):
-            if key not in into:
-                if len(into) > 2_000:
-                    into.clear()
-                into[key] = make()
-            return into[key]
-
-        def ratio(t: str, f: str) -> int:
-            if t and f and t not in f and least > 0 and not kept(of_target, t, lambda: Target(t, least)).may_match(kept(of_found, f, lambda: Found(f))):
-                return 0
-            return kept(known, (t, f), lambda: partial_ratio(t, f))
-
-        out = []
-        for ts, fs in zip(targets, found, strict=True):
-            ts, fs = [[] if x is None else [y.lower() for y in x if y is not None] for x in (ts, fs)]
-            out.append([max((ratio(t, f) for f in fs), default=0) / 100 for t in ts])
-        return pd.Series(out)
+        rows = [tuple([] if x is None else [y.lower() for y in x if y is not None] for x in r) for r in zip(targets, found, strict=True)]
+        pairs = {(t, f) for ts, fs in rows for t in ts for f in fs}
+        if least > 0:
+            of_target, of_found = ({x: make(x) for x in {p[k] for p in pairs}} for k, make in ((0, lambda t: Target(t, least)), (1, Found)))
+            pairs = {(t, f) for t, f in pairs if not t or not f or t in f or of_target[t].may_match(of_found[f])}
+        known = _all_ratios(pairs)
+        return pd.Series([[max((known.get((t, f), 0) for f in fs), default=0) / 100 for t in ts] for ts, fs in rows])
 
     return ratios(targets, found)

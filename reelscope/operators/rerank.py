@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from reelscope.config import Retrieval, TextRerank
 from reelscope.functions.providers import Judge
-from reelscope.functions.text import best_ratios
+from reelscope.functions.text import best_ratios, slots
 
 
 def text_bonus(ratios: Column, how: TextRerank = TextRerank()) -> Column:
@@ -27,19 +27,18 @@ def reranked(candidates: DataFrame, targets: DataFrame, seen: DataFrame, results
     ranks those with an image by score * (1 + bonus), ties by rank. Only tasks with targets are matched, each distinct frame's
     texts are read once.
     """
-    texts = seen.groupBy("video", "frame").agg(F.min("texts").alias("texts"))
+    place = ["video", "frame"]
+    texts = seen.groupBy(*place).agg(F.min("texts").alias("texts"))
     wanted = candidates.join(targets.select("task_id", "ocr_texts"), "task_id", "left").withColumn("ocr_texts", F.coalesce("ocr_texts", F.array().cast("array<string>")))
-    found = wanted.join(texts.withColumn("has_image", F.lit(True)), ["video", "frame"], "left")
+    # matching is dear for its few bytes, so it is spread over all cores; its texts move no further
+    found = wanted.repartition(slots(candidates), *place).join(texts.withColumn("has_image", F.lit(True)), place, "left")
+    found = found.withColumn("matched", F.size("ocr_texts") > 0).withColumn("bonus", text_bonus(best_ratios(F.col("ocr_texts"), F.col("texts"), how.accept), how)).drop("texts", "ocr_texts")
     task = Window.partitionBy("task_id")
-    matched = F.size("ocr_texts") > 0
-    found = found.withColumn("plain", ~matched | ~F.coalesce(F.max(F.col("has_image")).over(task), F.lit(False)))
-    found = found.filter(F.col("plain") | F.col("has_image"))
-    fallback = found.filter("plain").withColumn("final", F.col("score"))
-    by_text = found.filter("not plain").withColumn("final", F.col("score") * (1 + text_bonus(best_ratios(F.col("ocr_texts"), F.col("texts"), how.accept), how)))
-    fallback = fallback.filter(F.col("rank") <= results).withColumn("place", F.row_number().over(task.orderBy("rank")))
-    by_text = by_text.withColumn("place", F.row_number().over(task.orderBy(F.col("final").desc(), "rank"))).filter(F.col("place") <= results)
-    keep = lambda df: df.select("task_id", F.col("place").alias("rank"), "video", "frame", F.col("final").alias("score"))
-    return keep(fallback).unionByName(keep(by_text))
+    found = found.withColumn("plain", ~F.col("matched") | ~F.coalesce(F.max(F.col("has_image")).over(task), F.lit(False)))
+    found = found.filter(F.col("plain") | F.col("has_image")).withColumn("final", F.when(F.col("plain"), F.col("score")).otherwise(F.col("score") * (1 + F.col("bonus"))))
+    order = task.orderBy(F.when(F.col("plain"), 0.0).otherwise(F.col("final")).desc(), "rank")
+    placed = found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= results)
+    return placed.select("task_id", F.col("place").alias("rank"), "video", "frame", F.col("final").alias("score"))
 
 
 def judged(results: DataFrame, tasks: DataFrame, images: DataFrame, judge: Judge, batch_size: int = 16) -> DataFrame:

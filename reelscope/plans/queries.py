@@ -15,7 +15,7 @@ from reelscope.functions.histograms import BINS, bhattacharyya, hue_saturation_b
 from reelscope.functions.pixels import hsv
 from reelscope.functions.providers import quote_parsed
 from reelscope.functions.services import prompt, prompt_of
-from reelscope.functions.text import best_ratios, chunk_name, frame_file, frame_ms, milliseconds, partial_ratio_of, stripped
+from reelscope.functions.text import best_ratios, chunk_name, frame_file, frame_ms, milliseconds, partial_ratio_of, spread, stripped
 from reelscope.functions.vectors import dot, first_or_null, norm, unit, weighted_sum
 from reelscope.operators.rerank import reranked, submission_rows, text_bonus
 from reelscope.operators.retrieve import all_scores, described, top_frames
@@ -157,7 +157,7 @@ def fuzzy_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How well each document's text matches that of the benchmark item in turn."""
     items = _read(spark, sf_dir, "benchmark").select(F.col("text").alias("target"), (F.row_number().over(Window.orderBy("item_id")) - 1).alias("turn"))
     docs = _read(spark, sf_dir, "documents").withColumn("turn", F.pmod("doc_id", F.lit(max(items.count(), 1))))
-    return docs.join(F.broadcast(items), "turn", "left").select("doc_id", partial_ratio_of(F.lower("target"), F.lower("text")).alias("ratio"))
+    return spread(docs).join(F.broadcast(items), "turn", "left").select("doc_id", partial_ratio_of(F.lower("target"), F.lower("text")).alias("ratio"))
 
 
 @query("SELECT CAST(item_id AS VARCHAR) AS task_id, text AS description, CAST(row_number() OVER (ORDER BY item_id) - 1 AS INT) AS ordinal FROM benchmark")

@@ -29,12 +29,19 @@ def _subsequence(a, b):
 @settings(max_examples=200, deadline=None)
 @given(st.text("abcd", min_size=1, max_size=12), st.text("abcd", min_size=1, max_size=12))
 def test_strands_give_every_common_subsequence(a, b):
-    start = text.strands(text.points(a), text.points(b))
+    start, again = text.strands(text.points(a), [text.points(b), text.points(b[:3] + "xyz" * 5)])
+    assert again[: min(3, len(b))].tolist() == start[:3].tolist()
     for i in range(len(b)):
         for j in range(i + 1, len(b) + 1):
             assert j - i - int((start[i:j] >= i).sum()) == _subsequence(a, b[i:j])
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.text("abc", max_size=6), st.lists(st.text("abc", max_size=12), max_size=8))
+def test_many_at_once(a, others):
+    assert text.partial_ratios(a, others) == [text.partial_ratio(a, b) for b in others]
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text("abcde ", min_size=1, max_size=40), st.text("abcde ", max_size=30), st.text("abcde ", max_size=30), st.integers(0, 5), st.sampled_from([0.5, 0.8, 0.9, 1.0]))
 def test_no_target_is_left_out_that_matches(target, before, after, cut, least):
