@@ -27,15 +27,20 @@ def reranked(candidates: DataFrame, targets: DataFrame, seen: DataFrame, results
     ranks those with an image by score * (1 + bonus), ties by rank. Only tasks with targets are matched, each distinct frame's
     texts are read once.
     """
-    place = ["video", "frame"]
+    place, task = ["video", "frame"], Window.partitionBy("task_id")
     texts = seen.groupBy(*place).agg(F.min("texts").alias("texts"))
-    wanted = candidates.join(targets.select("task_id", "ocr_texts"), "task_id", "left").withColumn("ocr_texts", F.coalesce("ocr_texts", F.array().cast("array<string>")))
-    # matching is dear for its few bytes, so it is spread over all cores; its texts move no further
-    found = wanted.repartition(slots(candidates), *place).join(texts.withColumn("has_image", F.lit(True)), place, "left")
-    found = found.withColumn("matched", F.size("ocr_texts") > 0).withColumn("bonus", text_bonus(best_ratios(F.col("ocr_texts"), F.col("texts"), how.accept), how)).drop("texts", "ocr_texts")
-    task = Window.partitionBy("task_id")
-    found = found.withColumn("plain", ~F.col("matched") | ~F.coalesce(F.max(F.col("has_image")).over(task), F.lit(False)))
-    found = found.filter(F.col("plain") | F.col("has_image")).withColumn("final", F.when(F.col("plain"), F.col("score")).otherwise(F.col("score") * (1 + F.col("bonus"))))
+    found = candidates.join(targets.select("task_id", "ocr_texts"), "task_id", "left").withColumn("ocr_texts", F.coalesce("ocr_texts", F.array().cast("array<string>")))
+    found = found.join(texts.select(*place, F.lit(True).alias("has_image")), place, "left")
+    found = found.withColumn("plain", (F.size("ocr_texts") == 0) | ~F.coalesce(F.max("has_image").over(task), F.lit(False)))
+    found = found.filter(F.col("plain") | F.col("has_image"))
+    # `results` candidates reach this score without a bonus; what cannot with the greatest one need not be matched
+    whole = task.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    found = found.withColumn("least", F.nth_value("score", results).over(whole))
+    found = found.filter(F.col("plain") | F.col("least").isNull() | (F.col("score") * (1 + how.most) >= F.col("least")))
+    # matching is dear for its few bytes, so it is spread over all cores; texts move once
+    asked = F.when(~F.col("plain"), F.col("ocr_texts"))
+    found = found.repartition(slots(candidates), *place).join(texts, place, "left").withColumn("bonus", text_bonus(best_ratios(asked, F.col("texts"), how.accept), how))
+    found = found.withColumn("final", F.when(F.col("plain"), F.col("score")).otherwise(F.col("score") * (1 + F.col("bonus"))))
     order = task.orderBy(F.when(F.col("plain"), 0.0).otherwise(F.col("final")).desc(), "rank")
     placed = found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= results)
     return placed.select("task_id", F.col("place").alias("rank"), "video", "frame", F.col("final").alias("score"))

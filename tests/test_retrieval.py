@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from reelscope.config import Retrieval
 from reelscope.operators import retrieve as op
-from reelscope.operators.rerank import reranked, submission_rows, text_bonus
-from reelscope.plans.retrieval import fused_ranks
+from reelscope.operators.rerank import judged, reranked, submission_rows, text_bonus
+from reelscope.plans.retrieval import fused_ranks, with_variants
 from reelscope.sources import tables
 
 MAIN = [0.30, 0.10, 0.50, 0.24, 0.44, 0.64, 0.20, 0.34]
@@ -127,6 +127,54 @@ def test_rerank_paths(spark):
     assert got[5]["score"] == pytest.approx(0.7 * 1.1)
 
 
+def test_rerank_against_plain(spark):
+    """Scores so close that a bonus decides, and candidates that no bonus can lift; frames that repeat have the least of their texts."""
+    from reelscope.config import TextRerank
+    from reelscope.functions.text import partial_ratio
+
+    how, rng = TextRerank(), np.random.default_rng(8)
+    words = ["exit", "only", "stop", "line nine", "st0p here", "exit sign", "open"]
+    shown = {k: [words[j] for j in rng.integers(0, 7, 2)] for k in range(60) if k % 5}
+    score = {(t, k): float(np.round(rng.random() ** 3, 3)) for t in "abc" for k in range(60)}
+    wanted = {"a": ["exit sign", "Stop"], "b": ["LINE NINE"], "c": []}
+    rows, want = [], []
+    for t in "abc":
+        ranked = sorted(range(60), key=lambda k: (-score[t, k], k))
+        rows += [(t, place + 1, "v", k, score[t, k]) for place, k in enumerate(ranked)]
+        final = {}
+        for place, k in enumerate(ranked):
+            if wanted[t] and k not in shown:
+                continue
+            ratios = [max(partial_ratio(x.lower(), y) for y in shown[k]) / 100 for x in wanted[t]] if wanted[t] else []
+            bonus = min(sum(r * how.weight for r in ratios if r >= how.accept), how.most)
+            final[k] = (-(score[t, k] * (1 + bonus)) if wanted[t] else 0, place)
+        want += [(t, place + 1, k) for place, k in enumerate(sorted(final, key=final.get)[:10])]
+    candidates = spark.createDataFrame(rows, "task_id string, rank int, video string, frame long, score double")
+    targets = spark.createDataFrame(list(wanted.items()), "task_id string, ocr_texts array<string>")
+    seen = spark.createDataFrame([("v", k, x) for k, x in shown.items()] + [("v", 1, ["zzz"])], "video string, frame long, texts array<string>")
+    assert sorted((r["task_id"], r["rank"], r["frame"]) for r in reranked(candidates, targets, seen).collect()) == sorted(want)
+
+
+def test_second_look(spark):
+    class Judge:
+        def judge(self, queries, images):
+            return [float(len(set(q) & set(i.decode()))) for q, i in zip(queries, images, strict=True)]
+
+    results = spark.createDataFrame([("t", r, "v", r, 1.0 / r) for r in (1, 2, 3, 4)], "task_id string, rank int, video string, frame long, score double")
+    tasks = spark.createDataFrame([("t", "abc")], "task_id string, description string")
+    images = spark.createDataFrame([("v", 2, b"ax"), ("v", 3, b"abc"), ("v", 4, b"bx"), ("v", 4, b"bx")], "video_id string, frame_ms long, content binary")
+    got = judged(results, tasks, images, Judge(), batch_size=2).orderBy("rank").collect()
+    assert [(r["rank"], r["frame"]) for r in got] == [(1, 3), (2, 2), (3, 4), (4, 1)] and got[3]["score"] == 1.0
+    assert judged(results.limit(0), tasks, images, Judge()).count() == 0
+
+
+def test_variants(spark):
+    tasks = spark.createDataFrame([("1", "a"), ("2", "b")], "task_id string, description string")
+    more = spark.createDataFrame([("1", ["x", "y"]), ("3", ["z"])], "task_id string, variants array<string>")
+    got = sorted(map(tuple, with_variants(tasks, more).collect()))
+    assert got == [("1", 0, "a", 2.0), ("1", 1, "x", 1.0), ("1", 2, "y", 1.0), ("2", 0, "b", 2.0)]
+
+
 def test_submission(spark, tmp_path):
     results = spark.createDataFrame([("b", 1, "v", 40), ("b", 2, "w", 80)], "task_id string, rank int, video string, frame long")
     rows = submission_rows(results, spark.createDataFrame([("a", 1), ("b", 0)], "task_id string, ordinal int"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from reelscope.functions.providers import encoded, parsed_queries, quote_parsed
 from reelscope.operators.thinning import one_minus_dot, sampled, thinned, until_failure
 from reelscope.sources import tables
-from reelscope.streaming.resume import resumed, run_available, thinned_stream
+from reelscope.streaming.resume import resumed, run_available, signalled, stop_on, thinned_stream
 
 
 def test_tasks(spark, tmp_path):
@@ -115,3 +115,70 @@ def test_stream_goes_on(spark, tmp_path):
     assert run() == [0, 2]
     arrive("b", [("v", 4, 26.0), ("v", 5, 38.0), ("v", 6, 51.0)])
     assert run() == [0, 2, 4, 6]
+
+
+def test_parser_over_http(spark):
+    """Against a server that answers well, in prose, with other types, with an error and not at all."""
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from reelscope.functions.services import HttpParser, prompt, prompt_of
+
+    asked = []
+
+    class Answers(BaseHTTPRequestHandler):
+        def do_POST(self):  # noqa: N802
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            asked.append(body)
+            query = body["prompt"].rsplit("For the description: ", 1)[1].strip()
+            found = {"good": {"context_before": ["b"], "main_shot": "m", "context_after": [], "ocr_texts": "one"}, "odd": {"main_shot": 3, "context_before": None, "extra": 1}}.get(query)
+            self.send_response(500 if query == "error" else 200)
+            self.end_headers()
+            self.wfile.write(json.dumps({"response": json.dumps(found) if found else "no json"}).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Answers)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    tasks = spark.createDataFrame([("1", "good"), ("2", "odd"), ("3", "prose"), ("4", "error")], "task_id string, description string")
+    try:
+        got = {r["task_id"]: r for r in parsed_queries(tasks, HttpParser(f"http://127.0.0.1:{server.server_port}/api/generate", "some-model", 10.0)).collect()}
+    finally:
+        server.shutdown()
+    assert tuple(got["1"])[1:] == ("good", ["b"], "m", [], ["one"])
+    assert all(tuple(got[k])[1:] == (q, [], q, [], []) for k, q in (("2", "odd"), ("3", "prose"), ("4", "error")))
+    assert {b["model"] for b in asked} == {"some-model"} and all(b["stream"] is False and b["format"] == "json" and b["options"] == {"temperature": 0.0} for b in asked)
+    away = parsed_queries(tasks, HttpParser("http://127.0.0.1:9/none", "m", 0.5)).collect()
+    assert all(r["main_shot"] == r["original_query"] for r in away)
+    assert sorted(r[0] for r in tasks.select(prompt_of(F.col("description"))).collect()) == sorted(prompt(q) for q in ("good", "odd", "prose", "error"))
+
+
+def test_parts_are_merged(spark, tmp_path):
+    import json
+
+    one = lambda t, v: {"task_id": t, "results": [{"rank": 1, "video_id": v, "frame_ms": 40}]}
+    (tmp_path / "part_01.json").write_text(json.dumps([one("a", "v1"), one("b", "v1")]))
+    (tmp_path / "part_02.json").write_text(json.dumps({"predictions": [one("b", "v2"), one("c", "v2")]}))
+    (tmp_path / "part_03.json").write_text("{broken")
+    tables.merge_parts(spark, str(tmp_path / "part_*.json"), str(tmp_path / "all.json"))
+    found = json.loads((tmp_path / "all.json").read_text())["predictions"]
+    assert [(p["task_id"], p["results"][0]["video_id"]) for p in found] == [("a", "v1"), ("b", "v1"), ("c", "v2")]
+    rows = spark.createDataFrame([("a", 0, 1), ("b", 30, 1)], "task_id string, ordinal int, rank int")
+    tables.write_candidates(rows, str(tmp_path / "candidates"), 25)
+    assert {r["task_id"]: int(r["chunk"]) for r in spark.read.json(str(tmp_path / "candidates")).collect()} == {"a": 1, "b": 2}
+
+
+def test_a_run_is_stopped_by_a_signal(spark, tmp_path):
+    spark.createDataFrame([("v", 0, 0.0)], "video_id string, idx long, x double").write.parquet(str(tmp_path / "in" / "a"))
+    stream = spark.readStream.schema("video_id string, idx long, x double").option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    start = lambda name: stream.writeStream.format("parquet").option("path", str(tmp_path / name)).option("checkpointLocation", str(tmp_path / f"{name}-state"))
+    assert stop_on(start("ends").trigger(availableNow=True).start(), lambda: False, 0.2) is False
+    signal = tmp_path / "stop.signal"
+    running = start("runs").trigger(processingTime="1 second").start()
+    wanted = signalled(spark, str(signal))
+    assert not wanted()
+    running.processAllAvailable()
+    signal.write_text("")
+    assert stop_on(running, wanted, 0.2) is True and spark.read.parquet(str(tmp_path / "runs")).count() == 1
