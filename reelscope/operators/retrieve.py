@@ -161,7 +161,11 @@ def scored_blocks(blocks: DataFrame, tasks: list[dict], how: Retrieval, tail: in
 def _scored(frames: DataFrame, tasks: DataFrame, how: Retrieval, by: str, every: bool, blocks: DataFrame | None) -> DataFrame:
     if by not in RANKED_BY:
         raise ValueError(f"frames are ranked by one of {RANKED_BY}")
-    last = [r[0] for r in frames.filter(F.col("embedding").isNotNull()).select("idx").orderBy(F.col("idx").desc()).limit(how.candidates).collect()]
+    if blocks is None:
+        places = frames.filter(F.col("embedding").isNotNull()).select("idx")
+    else:
+        places = blocks.select("block", F.explode("idx").alias("idx")).filter(F.floor(F.col("idx") / BLOCK) == F.col("block")).select("idx")
+    last = [r[0] for r in places.orderBy(F.col("idx").desc()).limit(how.candidates).collect()]
     found = None
     for rows in _task_rows(tasks, MOST_TASK_BYTES) if last else ():
         part = scored_blocks(packed(frames, how.window) if blocks is None else blocks, rows, how, last[-1], by, every)
@@ -175,7 +179,7 @@ def top_frames(frames: DataFrame, tasks: DataFrame, how: Retrieval = Retrieval()
 
     frames: idx (0, 1, ... in time order), embedding, and video_id if neighbours are by video. tasks: task_id, main_vec, before_vecs,
     after_vecs; only the first vector of either list counts, and a task without main_vec is left out. blocks: the same frames,
-    packed; then only the indexes of frames are read.
+    packed, which are read instead.
     """
     order = Window.partitionBy("task_id").orderBy(F.col(by).desc(), F.col("idx").desc())
     return _scored(frames, tasks, how, by, False, blocks).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= how.candidates).select("task_id", "rank", "idx", "score")
