@@ -232,16 +232,21 @@ def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP4_SQL = r"""
 WITH RECURSIVE d AS MATERIALIZED (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS MATERIALIZED (
-  SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
-                        ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) END) AS shingle FROM d),
-n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
-l AS MATERIALIZED (SELECT x, y FROM c JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
-e AS MATERIALIZED (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+  SELECT r, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                   ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) END) AS shingle FROM d),
+n AS MATERIALIZED (SELECT r, count(*) AS n FROM s GROUP BY r),
+c AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.r < b.r GROUP BY ALL),
+l AS MATERIALIZED (
+  SELECT x, y, i.doc_id AS of_x, j.doc_id AS of_y, c = a.n AND c = b.n AS equal
+  FROM c JOIN n a ON a.r = x JOIN n b ON b.r = y JOIN d i ON i.r = x JOIN d j ON j.r = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+e AS MATERIALIZED (SELECT of_x AS x, of_y AS y FROM l WHERE of_x <> of_y UNION ALL SELECT of_y, of_x FROM l WHERE of_x <> of_y),
 r AS (SELECT DISTINCT x AS node, x AS least FROM e UNION SELECT e.y, r.least FROM r JOIN e ON e.x = r.node WHERE r.least < e.y),
-g AS (SELECT node, min(least) AS component FROM r GROUP BY node)
-SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(g.component, d.doc_id) AS component_id, coalesce(g.component, d.doc_id) = d.doc_id AS kept
-FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN g ON g.node = d.doc_id
+g AS (SELECT node, min(least) AS component FROM r GROUP BY node),
+u AS (SELECT x AS r, of_y AS same FROM l WHERE equal AND of_x IS NULL AND of_y IS NOT NULL UNION ALL SELECT y, of_x FROM l WHERE equal AND of_y IS NULL AND of_x IS NOT NULL),
+z AS (SELECT r, min(coalesce(g.component, same)) AS component FROM u LEFT JOIN g ON g.node = same GROUP BY r),
+o AS (SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, CASE WHEN d.doc_id IS NULL THEN z.component WHEN n.n IS NULL THEN d.doc_id ELSE coalesce(g.component, d.doc_id) END AS component_id
+      FROM d LEFT JOIN n ON n.r = d.r LEFT JOIN g ON g.node = d.doc_id LEFT JOIN z ON z.r = d.r)
+SELECT *, doc_id IS NOT DISTINCT FROM component_id AS kept FROM o
 """
