@@ -6,7 +6,9 @@ import atexit
 import contextlib
 import ctypes
 import shutil
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -117,6 +119,18 @@ def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(whole, schema)
 
 
+def of_process(kind: str, key: tuple, make: Callable):
+    """make(*key), made once in this process and kept while it lives.
+
+    Tasks get the functions of this package by value, and the module's variables with them; what a worker makes outlives a task only where
+    the process itself keeps it.
+    """
+    held = sys.modules.setdefault("_reelscope_of_process", types.ModuleType("_reelscope_of_process")).__dict__
+    if (kind, key) not in held:
+        held[kind, key] = make(*key)
+    return held[kind, key]
+
+
 def crc32_of_id(column: str = "doc_id") -> F.Column:
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
