@@ -189,3 +189,86 @@ def test_fused_ranks(spark):
     lists = spark.createDataFrame([("t", 1, 1, 2.0), ("t", 2, 2, 2.0), ("t", 2, 1, 1.0)], "task_id string, idx long, rank int, weight double")
     got = {r["idx"]: r["score"] for r in fused_ranks(lists).collect()}
     assert got == pytest.approx({1: 2 / 61, 2: 2 / 62 + 1 / 61})
+
+
+def clustered_frames(spark, n, seed, bad=()):
+    """Runs of frames that hardly change, as those of a video, and tasks near some of them; bad: frames with a value that is not finite."""
+    rng = np.random.default_rng(seed)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    scenes = unit(rng.normal(size=(n // 40 + 1, 16)))
+    vectors = unit(scenes[np.arange(n) // 40] + rng.normal(size=(n, 16)) * 0.03)
+    for k, value in bad:
+        vectors[k, 3] = value
+    frames = spark.createDataFrame([(i, f"v{i // 90}", vectors[i].tolist()) for i in range(n)], "idx long, video_id string, embedding array<double>")
+    pick = lambda: unit(scenes[rng.integers(0, len(scenes))] + rng.normal(size=16) * 0.1).tolist()
+    rows = [(f"t{k}", pick(), [pick()] if k % 3 else [], [pick()] if k % 2 else []) for k in range(7)]
+    return vectors, frames, rows, spark.createDataFrame(rows, "task_id string, main_vec array<double>, before_vecs array<array<double>>, after_vecs array<array<double>>")
+
+
+@pytest.mark.parametrize(("neighbours", "by", "bad"), [("global", "score", ()), ("video", "score", ()), ("global", "max_before", ()), ("global", "score", ((77, float("nan")), (500, float("inf"))))])
+def test_skipped_strips_change_nothing(spark, monkeypatch, tmp_path, neighbours, by, bad):
+    monkeypatch.setattr(op, "BLOCK", 128)
+    monkeypatch.setattr(op, "STRIP", 16)
+    monkeypatch.setattr(op, "TILE", 3)
+    vectors, frames, _, tasks = clustered_frames(spark, 1500, 11, bad)
+    op.write_blocks(frames, str(tmp_path / "blocks"))
+    blocks = spark.read.parquet(str(tmp_path / "blocks"))
+    how = Retrieval(candidates=25, neighbours=neighbours)
+    scan = op.Scan(spark)
+    got = op.top_frames(frames, tasks, how, by, blocks, scan).collect()
+    every = op.all_scores(frames, tasks, how, blocks).collect()
+    value = lambda r: (1, 0) if r[by] != r[by] else (0, r[by])
+    for t in {r["task_id"] for r in every}:
+        want = sorted((r for r in every if r["task_id"] == t), key=lambda r: (value(r), r["idx"]), reverse=True)[:25]
+        mine = sorted((r for r in got if r["task_id"] == t), key=lambda r: r["rank"])
+        assert [r["idx"] for r in mine] == [r["idx"] for r in want]
+        assert [r["score"] for r in mine] == pytest.approx([r["score"] for r in want], abs=1e-12, nan_ok=True)
+    counts = scan.counts()
+    assert counts["multiplied"] + counts["skipped"] == 7 * sum(-(-min(128, 1500 - a) // 16) for a in range(0, 1500, 128))
+    assert by != "score" or counts["skipped"] > counts["multiplied"]
+    assert counts["rows"] <= 7 * 25 * blocks.rdd.getNumPartitions()
+
+
+def test_no_value_beyond_its_bound():
+    rng = np.random.default_rng(4)
+    for spread in (0.01, 0.5, 30.0):
+        vectors = rng.normal(size=(10, 8))[np.arange(300) // 30] + rng.normal(size=(300, 8)) * spread
+        own = np.arange(6, 294)
+        centres, radius, reach = op.summary(vectors, own, 6)
+        for how in (Retrieval(), Retrieval(threshold=-0.2, before=-0.3, after=2.0)):
+            rows = [{"task_id": str(k), "main_vec": rng.normal(size=8).tolist(), "before": rng.normal(size=8).tolist() if k % 2 else None, "after": rng.normal(size=8).tolist() if k % 3 else None} for k in range(5)]
+            for by in op.RANKED_BY:
+                tasks = op.Tasks(rows, how, by)
+                of = np.arange(5)
+                pooled = tasks.pooled(vectors, None, of)
+                rank = {"score": op.combined(vectors @ tasks.main.T, *pooled, how), "max_before": pooled[0], "max_after": pooled[1]}[by][own]
+                upper = tasks.upper(centres.astype(np.float64), radius, reach, of)
+                strips = np.arange(len(own)) // op.STRIP
+                assert (rank <= upper[strips]).all()
+
+
+def test_lists_of_best_rows():
+    rng = np.random.default_rng(2)
+    best, every = op.BestRows(2, 10, np.full(2, -np.inf)), []
+    for k in range(40):
+        value, idx = rng.integers(0, 6, 7).astype(float), np.arange(k * 7, k * 7 + 7)
+        every += zip(value, idx, strict=True)
+        keep = value >= best.bounds[1]
+        best.add(1, value[keep], idx[keep], idx[keep] * 2)
+        assert best.sizes[1] < 20
+    value, idx, twice = best.best(1)
+    assert list(zip(value, idx, strict=True)) == sorted(every, reverse=True)[:10] and (twice == 2 * idx).all() and best.best(0) is None
+
+
+def test_runs_of_rows():
+    rows = np.zeros(30, bool)
+    rows[[0, 1, 12, 29]] = True
+    assert op.runs(rows, 3) == [slice(0, 5), slice(9, 16), slice(26, 30)]
+    assert op.runs(rows, 100) == [slice(0, 30)] and op.runs(np.zeros(4, bool), 2) == []
+
+
+def test_blocks_without_summary(spark, tmp_path):
+    _, frames, _, tasks = clustered_frames(spark, 300, 3)
+    old = op.packed(frames).drop("centres", "radius", "reach")
+    rows = lambda found: sorted((r["task_id"], r["rank"], r["idx"]) for r in found.collect())
+    assert rows(op.top_frames(frames, tasks, Retrieval(candidates=9), blocks=old)) == rows(op.top_frames(frames, tasks, Retrieval(candidates=9)))
