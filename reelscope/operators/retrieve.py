@@ -90,6 +90,9 @@ def summary(vectors: np.ndarray, own: np.ndarray, window: int) -> tuple[np.ndarr
 BLOCKS = "block long, idx array<long>, vectors binary, videos array<string>, centres binary, radius array<double>, reach array<double>"
 
 
+_KINDS = {"block": pa.int64(), "idx": pa.list_(pa.int64()), "vectors": pa.binary(), "videos": pa.list_(pa.string()), "centres": pa.binary(), "radius": pa.list_(pa.float64()), "reach": pa.list_(pa.float64())}
+
+
 def packed(frames: DataFrame, window: int = Retrieval.window) -> DataFrame:
     """A row for each block of frames (idx, embedding, and video_id if there is one): block, idx, vectors (row by row, as float or double), videos, and the summary: centres, radius, reach.
 
@@ -102,10 +105,12 @@ def packed(frames: DataFrame, window: int = Retrieval.window) -> DataFrame:
     def pack(group: pa.Table) -> pa.Table:
         group = group.sort_by("idx").combine_chunks()
         flat = group.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(kind)
-        idx, videos = (pa.array([group.column(c).to_pylist()], t) for c, t in (("idx", pa.list_(pa.int64())), ("video_id", pa.list_(pa.string()))))
+        idx, videos = (pa.array([group.column(c).to_pylist()], _KINDS[t]) for c, t in (("idx", "idx"), ("video_id", "videos")))
         own = np.flatnonzero(group.column("idx").to_numpy() // BLOCK == group.column("block")[0].as_py())
-        centres, radius, reach = summary(flat.reshape(group.num_rows, -1), own, window) if len(own) else (np.zeros(0, np.float32), np.zeros(0), np.zeros(0))
-        told = {"centres": pa.array([centres.tobytes()], pa.binary()), "radius": pa.array([radius.tolist()], pa.list_(pa.float64())), "reach": pa.array([reach.tolist()], pa.list_(pa.float64()))}
+        if not len(own):  # neighbours of frames that are not there
+            return pa.table({name: pa.array([], kind) for name, kind in _KINDS.items()})
+        centres, radius, reach = summary(flat.reshape(group.num_rows, -1), own, window)
+        told = {name: pa.array([value], _KINDS[name]) for name, value in (("centres", centres.tobytes()), ("radius", radius.tolist()), ("reach", reach.tolist()))}
         return pa.table({"block": group.column("block")[:1], "idx": idx, "vectors": pa.array([flat.tobytes()], pa.binary()), "videos": videos, **told})
 
     here = F.floor(F.col("idx") / BLOCK)
