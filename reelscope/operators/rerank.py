@@ -19,16 +19,30 @@ def text_bonus(ratios: Column, how: TextRerank = TextRerank()) -> Column:
     return F.least(F.aggregate(counted, F.lit(0.0), lambda s, x: s + x), F.lit(how.most))
 
 
-def reranked(candidates: DataFrame, targets: DataFrame, seen: DataFrame, results: int = Retrieval.results, how: TextRerank = TextRerank()) -> DataFrame:
+#: Candidates of tasks with targets that go to the workers, at most; more are joined by shuffling.
+MOST_SENT = 1_000_000
+
+
+def of_candidates(seen: DataFrame, candidates: DataFrame, targets: DataFrame, most: int) -> DataFrame:
+    """The rows of seen (video, frame, ...) that are candidates of a task with targets, before anything of seen is shuffled.
+
+    The candidates, `most` a task, go to the workers where tasks times most are MOST_SENT at most.
+    """
+    asked = targets.filter(F.size("ocr_texts") > 0).select("task_id")
+    wanted = candidates.join(asked, "task_id", "left_semi").select("video", "frame")
+    return seen.join(F.broadcast(wanted) if asked.count() * most <= MOST_SENT else wanted, ["video", "frame"], "left_semi")
+
+
+def reranked(candidates: DataFrame, targets: DataFrame, seen: DataFrame, results: int = Retrieval.results, how: TextRerank = TextRerank(), most: int = Retrieval.candidates) -> DataFrame:
     """task_id, rank, video, frame, score: each task's results.
 
     candidates: task_id, rank, video, frame, score. targets: task_id, ocr_texts. seen: video, frame, texts; a frame that is not in it
     has no image, and of a frame that repeats the least texts count. A task without targets, or none of whose candidates has an image, keeps its first candidates; any other task
-    ranks those with an image by score * (1 + bonus), ties by rank. Only tasks with targets are matched, each distinct frame's
-    texts are read once.
+    ranks those with an image by score * (1 + bonus), ties by rank. Only tasks with targets are matched, and of seen only their candidates
+    are shuffled. most: candidates a task, at most.
     """
     place, task = ["video", "frame"], Window.partitionBy("task_id")
-    texts = seen.groupBy(*place).agg(F.min("texts").alias("texts"))
+    texts = of_candidates(seen, candidates, targets, most).groupBy(*place).agg(F.min("texts").alias("texts"))
     found = candidates.join(targets.select("task_id", "ocr_texts"), "task_id", "left").withColumn("ocr_texts", F.coalesce("ocr_texts", F.array().cast("array<string>")))
     found = found.join(texts.select(*place, F.lit(True).alias("has_image")), place, "left")
     found = found.withColumn("plain", (F.size("ocr_texts") == 0) | ~F.coalesce(F.max("has_image").over(task), F.lit(False)))

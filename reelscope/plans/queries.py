@@ -5,6 +5,11 @@ embeddings are frames (label is the video), benchmark items are tasks, lineitem
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -21,7 +26,9 @@ from reelscope.operators.rerank import reranked, submission_rows, text_bonus
 from reelscope.operators.retrieve import all_scores, described, top_frames
 from reelscope.operators.thinning import one_minus_dot, sampled, thinned, tiles_over, until_failure
 from reelscope.plans.retrieval import fused_ranks, retrieve, with_variants
+from reelscope.sources.blocks import BlockStore
 from reelscope.sources.images import totals
+from reelscope.sources.matrix import read_matrix_store, write_entries, write_matrix
 from reelscope.sources.tables import catalogue_of, first_of_each, indexed, merged, normalised_metadata, numbered, parsed_of, parts_of, query_list_of, submission, tasks_of
 from reelscope.streaming.resume import resumed, still_open, still_wanted
 
@@ -97,6 +104,37 @@ def top_frames_by_task(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_frames(_frames(spark, sf_dir), _tasks(spark, sf_dir)).withColumn("score", F.round("score", 9))
 
 
+def _folder(spark: SparkSession) -> str:
+    """A new folder that driver and workers share: in spark.checkpoint.dir; on a local master without that setting, a temporary one that goes with the process."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="reelscope-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
+    return f"{found.rstrip('/')}/store-{uuid.uuid4().hex}"
+
+
+@query(f"WITH {_TOP_CTE} SELECT task_id, CAST(rank AS INT) AS rank, idx, round(score, 9) AS score FROM k WHERE rank <= 500")
+def top_frames_of_a_grown_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same frames out of a store of packed blocks that was written in two appends, with strips skipped and lists started with a bound."""
+    frames = _frames(spark, sf_dir)
+    store, half = BlockStore(spark, _folder(spark)), frames.count() // 2
+    store.append(frames.filter(F.col("idx") < half))
+    store.append(frames.filter(F.col("idx") >= half))
+    return top_frames(frames, _tasks(spark, sf_dir), blocks=store.read()).withColumn("score", F.round("score", 9))
+
+
+@query("SELECT vec_id AS idx, to_json(embedding) AS embedding, 'v' || label AS video_id, vec_id * 40 AS frame_ms, '' AS tar_name FROM embeddings")
+def frames_of_a_matrix_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frames written as a matrix file with its list of entries, and read back by ranges of rows."""
+    frames, place = _frames(spark, sf_dir), _folder(spark).removeprefix("file://")
+    os.makedirs(place)
+    write_matrix(frames, f"{place}/all_embeddings.npy")
+    write_entries(frames, f"{place}/metadata.json")
+    return read_matrix_store(spark, place).withColumn("embedding", F.to_json("embedding"))
+
+
 @query(f"WITH {_GLOBAL} SELECT task_id, idx, round(main, 9) AS main, round(mb, 9) AS max_before, round(ma, 9) AS max_after, round(score, 9) AS score FROM s")
 def fusion_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = all_scores(_frames(spark, sf_dir), _tasks(spark, sf_dir))

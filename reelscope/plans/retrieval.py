@@ -13,7 +13,7 @@ from reelscope.operators.retrieve import described, top_frames
 def retrieve(frames: DataFrame, tasks: DataFrame, seen: DataFrame, how: Retrieval = Retrieval(), text: TextRerank = TextRerank(), blocks: DataFrame | None = None) -> DataFrame:
     """task_id, ordinal, results. tasks: task_id, ordinal, main_vec, before_vecs, after_vecs, ocr_texts. seen: video, frame, texts. blocks: the frames, packed."""
     best = described(top_frames(frames, tasks, how, blocks=blocks), frames).select("task_id", "rank", "video", "frame", "score")
-    ranked = reranked(best, tasks, seen, how.results, text)
+    ranked = reranked(best, tasks, seen, how.results, text, how.candidates)
     return submission_rows(ranked, tasks.filter(F.col("main_vec").isNotNull()))
 
 

@@ -1,7 +1,7 @@
 """A run from files: python -m reelscope.plans.run --frames STORE... --tasks TASKS.jsonl --vectors TABLE --output OUT.json [--seen TABLE] [--blocks TABLE].
 
-STORE is the frame store; the first of those given that exists is read. TABLE of --blocks has the same frames as packed blocks, that of
---vectors task_id, main_vec, before_vecs, after_vecs, ocr_texts (made by an encoder), that of --seen video, frame, texts. Missing
+STORE is the frame store; the first of those given that exists is read. TABLE of --blocks has the same frames as packed blocks (or is
+a folder that a BlockStore appends to), that of --vectors task_id, main_vec, before_vecs, after_vecs, ocr_texts (made by an encoder), that of --seen video, frame, texts. Missing
 inputs are an error.
 """
 
@@ -13,17 +13,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelscope.plans.retrieval import retrieve
+from reelscope.sources.blocks import BlockStore
 from reelscope.sources.tables import first_store, read_frames, read_tasks, write_submission
 
 
 def same_dimension(frames: DataFrame, tasks: DataFrame) -> None:
-    """Raises unless the vectors of the store and of the tasks have one length."""
-    sizes = frames.select(F.size("embedding").alias("n")).unionByName(tasks.select(F.size("main_vec").alias("n"))).filter("n >= 0")
-    found = {r["n"] for r in sizes.distinct().limit(3).collect()}
+    """Raises unless the vectors of the store and of the tasks have one length. Of the store, whose vectors are one model's, the first that is found is looked at."""
+    of = lambda df, column: df.select(F.size(column).alias("n")).filter("n >= 0")
+    found = {r["n"] for r in of(frames, "embedding").limit(1).collect() + of(tasks, "main_vec").distinct().limit(3).collect()}
     if len(found) > 1:
         raise ValueError(f"vectors of different lengths: {sorted(found)}")
 
 
+def blocks_at(spark: SparkSession, path: str) -> DataFrame:
+    """The packed blocks of a store that grows by appending, or of a table."""
+    store = BlockStore(spark, path)
+    return store.read() if store.log() else spark.read.parquet(path)
+
+
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> None:
     says = argparse.ArgumentParser(description=__doc__)
     says.add_argument("--frames", required=True, nargs="+")
@@ -37,7 +44,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
     tasks = read_tasks(spark, given.tasks).join(spark.read.parquet(given.vectors), "task_id")
     same_dimension(frames, tasks)
     seen = spark.read.parquet(given.seen) if given.seen else spark.createDataFrame([], "video string, frame long, texts array<string>")
-    blocks = spark.read.parquet(given.blocks) if given.blocks else None
+    blocks = blocks_at(spark, given.blocks) if given.blocks else None
     write_submission(retrieve(frames, tasks, seen, blocks=blocks), given.output)
 
 

@@ -136,3 +136,12 @@ def write_matrix(frames: DataFrame, path: str) -> None:
 
     frames.select("idx", "embedding").mapInPandas(place, "idx long").write.format("noop").mode("overwrite").save()
 
+
+
+def write_entries(frames: DataFrame, path: str) -> None:
+    """The entries of frames (idx, video_id, frame_ms) as one JSON array in the order of idx; rows come to the driver a partition at a time, as a stream."""
+    entry = F.to_json(F.struct(F.col("idx").alias("index"), "video_id", "frame_ms"))
+    with open(path, "w", encoding="utf-8") as out:
+        for k, row in enumerate(frames.orderBy("idx").select(entry.alias("entry")).toLocalIterator()):
+            out.write(("[" if not k else ",") + "\n" + row["entry"])
+        out.write("\n]" if frames.limit(1).count() else "[]")

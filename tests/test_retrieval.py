@@ -272,3 +272,21 @@ def test_blocks_without_summary(spark, tmp_path):
     old = op.packed(frames).drop("centres", "radius", "reach")
     rows = lambda found: sorted((r["task_id"], r["rank"], r["idx"]) for r in found.collect())
     assert rows(op.top_frames(frames, tasks, Retrieval(candidates=9), blocks=old)) == rows(op.top_frames(frames, tasks, Retrieval(candidates=9)))
+
+
+@pytest.mark.parametrize("sent", [0, 10**6])
+def test_texts_of_candidates_alone_are_shuffled(spark, monkeypatch, sent):
+    from reelscope.operators import rerank
+
+    monkeypatch.setattr(rerank, "MOST_SENT", sent)
+    candidates = spark.createDataFrame([(t, k, f"v{k % 2}", 40 * k, 1.0 / k) for t in ("a", "b", "c") for k in range(1, 9)], "task_id string, rank int, video string, frame long, score double")
+    targets = spark.createDataFrame([("a", ["stop"]), ("b", []), ("c", ["go now"])], "task_id string, ocr_texts array<string>")
+    seen = spark.createDataFrame([(f"v{k % 2}", 40 * k, ["stop" if k == 7 else f"go now {k}"]) for k in range(1, 300)], "video string, frame long, texts array<string>")
+    kept = rerank.of_candidates(seen, candidates, targets, 8)
+    assert sorted(r["frame"] for r in kept.collect()) == [40 * k for k in range(1, 9)]
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and ("strategy=broadcast" in plan) == bool(sent)
+    got = {r["task_id"]: r["frame"] for r in rerank.reranked(candidates, targets, seen, 3, most=8).collect() if r["rank"] == 1}
+    assert got == {"a": 40, "b": 40, "c": 40}
+    best = {(r["task_id"], r["frame"]): r["score"] for r in rerank.reranked(candidates, targets, seen, 8, most=8).collect()}
+    assert best["a", 280] == pytest.approx(1 / 7 * 1.1) and best["b", 280] == pytest.approx(1 / 7)
