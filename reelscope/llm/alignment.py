@@ -37,7 +37,7 @@ FIELD = 40
 #: Groups of more links than this are counted by distinct ids, not link by link.
 MANY = 1024
 #: Units that a worker remembers, at most: the first that it meets, until eight times as many were unknown; and their greatest length.
-KEPT = 400_000
+KEPT = 200_000
 LONG = 64
 
 #: A space behind a white-space character of any kind, where units must not be cut.
