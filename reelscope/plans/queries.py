@@ -125,14 +125,17 @@ def top_frames_of_a_grown_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_frames(frames, _tasks(spark, sf_dir), blocks=store.read()).withColumn("score", F.round("score", 9))
 
 
-@query("SELECT vec_id AS idx, to_json(embedding) AS embedding, 'v' || label AS video_id, vec_id * 40 AS frame_ms, '' AS tar_name FROM embeddings")
+@query("""SELECT vec_id AS idx, len(embedding) AS n, embedding[1]::DOUBLE AS first, round(list_sum(embedding::DOUBLE[]), 9) AS total,
+round(list_dot_product(embedding::DOUBLE[], list_reverse(embedding)::DOUBLE[]), 9) AS folded, 'v' || label AS video_id, vec_id * 40 AS frame_ms, '' AS tar_name FROM embeddings""")
 def frames_of_a_matrix_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The frames written as a matrix file with its list of entries, and read back by ranges of rows."""
     frames, place = _frames(spark, sf_dir), _folder(spark).removeprefix("file://")
     os.makedirs(place)
     write_matrix(frames, f"{place}/all_embeddings.npy")
     write_entries(frames, f"{place}/metadata.json")
-    return read_matrix_store(spark, place).withColumn("embedding", F.to_json("embedding"))
+    own, vector = read_matrix_store(spark, place), F.col("embedding").cast("array<double>")
+    total = F.aggregate(vector, F.lit(0.0), lambda s, x: s + x)
+    return own.select("idx", F.size(vector).alias("n"), vector[0].alias("first"), F.round(total, 9).alias("total"), F.round(dot(vector, F.reverse(vector)), 9).alias("folded"), "video_id", "frame_ms", "tar_name")
 
 
 @query(f"WITH {_GLOBAL} SELECT task_id, idx, round(main, 9) AS main, round(mb, 9) AS max_before, round(ma, 9) AS max_after, round(score, 9) AS score FROM s")
