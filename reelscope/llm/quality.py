@@ -168,6 +168,11 @@ def fit_on_labels(spark: SparkSession, docs: DataFrame, sf_dir: str) -> np.ndarr
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and verdict of every document, by weights learned from the labelled ones outside the held-out fifth.
+
+    A text without words (null, empty) scores by the labels' log-odds; a null id is not held out; rows that repeat score alike; an empty
+    table gives no row.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     weights = fit_on_labels(spark, docs, sf_dir)
     found = scored(docs, weights)
