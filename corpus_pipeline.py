@@ -10,13 +10,19 @@ from reelscope.llm.shared import drop_written, scratch, table, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the classifier, learned from the labels outside the held-out fifth, accepts."""
+    """The documents that the classifier, learned from the labels outside the held-out fifth, accepts.
+
+    A null or empty text scores by the labels' log-odds; rows that repeat stay or go together; an empty table gives none.
+    """
     weights = quality.fit_on_labels(spark, docs, sf_dir)
     return quality.scored(docs, weights).filter(F.col("score") >= quality.ACCEPTED).select(*docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that ten documents or more share; n_chars follows the text."""
+    """All documents, without the lines that ten documents or more share; n_chars follows the text.
+
+    A null text stays null; an empty one is one empty line and stays; rows that repeat are documents of their own; an empty table gives none.
+    """
     kept = line_dedup.dropped_lines(docs)
     kept = kept.withColumn("text", F.when(F.col("text").isNotNull(), F.col("kept_text"))).withColumn("n_chars", F.length("text").cast("long"))
     return kept.select(*docs.columns)
@@ -49,12 +55,19 @@ def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: repeated where their source is short, left out where it is over its target."""
+    """Documents as often as the mix takes them: repeated where their source is short, left out where it is over its target.
+
+    Documents without words, of a null or empty text too, have size 0; null sources are one source; rows that repeat are documents of their
+    own; an empty table gives none.
+    """
     return mixing.mixed_documents(docs).select(*docs.columns)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens, ids and decoded_sha256 (of the bytes that the ids decode to)."""
+    """doc_id, source, n_tokens, ids and decoded_sha256 (of the bytes that the ids decode to).
+
+    A null or empty text has no ids; rows that repeat are rows of their own; an empty table gives none.
+    """
     return bpe.tokenized(docs, *bpe.public_vocabulary())
 
 
