@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reelscope.functions.text import quoted
 from reelscope.sources.tables import PARSED, with_defaults
+from reelscope.streaming.resume import still_open
 
 
 class QueryParser(Protocol):
@@ -53,7 +57,7 @@ def quote_parsed(tasks: DataFrame) -> DataFrame:
     return tasks.select("task_id", F.col("description").alias("original_query"), none.alias("context_before"), F.col("description").alias("main_shot"), none.alias("context_after"), quoted(F.col("description")).alias("ocr_texts"))
 
 
-def task_vectors(parsed: DataFrame, encoder: Encoder) -> DataFrame:
+def task_vectors(parsed: DataFrame, encoder: Encoder | Callable[[], Encoder]) -> DataFrame:
     """task_id, main_vec, before_vecs, after_vecs, ocr_texts of parsed queries. The main vector is of the query as it was asked, else of its main shot."""
     none = F.array().cast("array<array<float>>")
     texts = parsed.select(
@@ -76,18 +80,45 @@ def encoder_for(frames: DataFrame, encoders: list[Encoder]) -> Encoder:
     raise ValueError(f"no encoder makes vectors of length {found[0]['n'] if found else 'any'}")
 
 
-def encoded(df: DataFrame, column: str, into: str, encoder: Encoder, batch_size: int = 64) -> DataFrame:
-    """df with the encoder's vector of a column, scaled to unit length; the encoder gets up to batch_size items at once."""
+def encoded(df: DataFrame, column: str, into: str, encoder: Encoder | Callable[[], Encoder], batch_size: int = 64) -> DataFrame:
+    """df with the encoder's vector of a column, scaled to unit length; the encoder gets up to batch_size items at once.
+
+    encoder: one that is sent to the workers, or what makes one, which each worker calls once: models are loaded where they run.
+    """
+
+    def unit(made) -> np.ndarray:
+        made = np.asarray(made, np.float64)
+        return (made / np.maximum(np.linalg.norm(made, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+
+    if isinstance(encoder, type) or not hasattr(encoder, "encode"):
+
+        def load():
+            own = encoder()
+            return lambda items: unit(own.encode(list(items)))
+
+        return df.withColumn(into, predict_batch_udf(load, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size)(F.col(column)))
 
     @F.pandas_udf("array<float>")
     def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import numpy as np
-
         for batch in batches:
             items, out = list(batch), []
             for at in range(0, len(items), batch_size):
-                made = np.asarray(encoder.encode(items[at : at + batch_size]), np.float64)
-                out += list((made / np.maximum(np.linalg.norm(made, axis=1, keepdims=True), 1e-12)).astype(np.float32))
+                out += list(unit(encoder.encode(items[at : at + batch_size])))
             yield pd.Series(out)
 
     return df.withColumn(into, vectors(column))
+
+
+def add_vectors(tasks: DataFrame, frames: DataFrame, path: str, encoders: list, parser: QueryParser | None = None) -> DataFrame:
+    """The table at path of the tasks' vectors (as task_vectors gives them), with those of tasks (task_id, description) that were not in it yet.
+
+    Each task is parsed and encoded once, whatever reads the table and however often a run is begun again. Of the encoders, the one whose
+    vectors have the length of the store's is taken; without a parser, what a query quotes is looked for as text.
+    """
+    spark = tasks.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        tasks = still_open(tasks, spark.read.parquet(path), "task_id")
+    parsed = quote_parsed(tasks) if parser is None else parsed_queries(tasks, parser)
+    task_vectors(parsed, encoder_for(frames, encoders)).write.mode("append").parquet(path)
+    return spark.read.parquet(path)

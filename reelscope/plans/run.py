@@ -1,17 +1,22 @@
-"""A run from files: python -m reelscope.plans.run --frames STORE... --tasks TASKS.jsonl --vectors TABLE --output OUT.json [--seen TABLE] [--blocks TABLE].
+"""A run from files: python -m reelscope.plans.run --frames STORE... --tasks TASKS.jsonl --vectors TABLE --output OUT.json
+[--encoder MODULE:NAME...] [--parser MODULE:NAME] [--seen TABLE] [--blocks TABLE].
 
-STORE is the frame store; the first of those given that exists is read. TABLE of --blocks has the same frames as packed blocks (or is
-a folder that a BlockStore appends to), that of --vectors task_id, main_vec, before_vecs, after_vecs, ocr_texts (made by an encoder), that of --seen video, frame, texts. Missing
-inputs are an error.
+STORE is the frame store; the first of those given that exists is read. TABLE of --vectors has task_id, main_vec, before_vecs, after_vecs,
+ocr_texts. With --encoder the run makes these itself, for tasks that the table does not have yet: NAME is a class with encode and
+dimension, of which each worker makes one; of several, the one of the store's length is taken. --parser names a class that takes queries
+apart; without it, what a query quotes is looked for as text. TABLE of --blocks has the same frames as packed blocks (or is a folder that
+a BlockStore appends to), that of --seen video, frame, texts. Missing inputs are an error.
 """
 
 from __future__ import annotations
 
 import argparse
+import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reelscope.functions.providers import add_vectors
 from reelscope.plans.retrieval import retrieve
 from reelscope.sources.blocks import BlockStore
 from reelscope.sources.tables import first_store, read_frames, read_tasks, write_submission
@@ -25,6 +30,12 @@ def same_dimension(frames: DataFrame, tasks: DataFrame) -> None:
         raise ValueError(f"vectors of different lengths: {sorted(found)}")
 
 
+def named(place: str):
+    """What MODULE:NAME names."""
+    module, _, name = place.partition(":")
+    return getattr(importlib.import_module(module), name)
+
+
 def blocks_at(spark: SparkSession, path: str) -> DataFrame:
     """The packed blocks of a store that grows by appending, or of a table."""
     store = BlockStore(spark, path)
@@ -36,12 +47,19 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
     says.add_argument("--frames", required=True, nargs="+")
     for name in ("tasks", "vectors", "output"):
         says.add_argument(f"--{name}", required=True)
+    says.add_argument("--encoder", nargs="+")
+    says.add_argument("--parser")
     says.add_argument("--seen")
     says.add_argument("--blocks")
     given = says.parse_args(args)
     spark = spark or SparkSession.builder.appName("reelscope").getOrCreate()
     frames = read_frames(spark, first_store(spark, given.frames))
-    tasks = read_tasks(spark, given.tasks).join(spark.read.parquet(given.vectors), "task_id")
+    tasks = read_tasks(spark, given.tasks)
+    if given.encoder:
+        vectors = add_vectors(tasks, frames, given.vectors, [named(x) for x in given.encoder], named(given.parser)() if given.parser else None)
+    else:
+        vectors = spark.read.parquet(given.vectors)
+    tasks = tasks.join(vectors, "task_id")
     same_dimension(frames, tasks)
     seen = spark.read.parquet(given.seen) if given.seen else spark.createDataFrame([], "video string, frame long, texts array<string>")
     blocks = blocks_at(spark, given.blocks) if given.blocks else None

@@ -145,3 +145,51 @@ def test_encoder_of_the_store(spark):
     assert model_of("1280D")[2] == 1280 and model_of("own", ("m", "w", 8))[0] == "m"
     with pytest.raises(ValueError, match="no set-up"):
         model_of("own")
+
+
+def test_run_from_tasks_alone(spark, tmp_path, monkeypatch):
+    """Parsing, encoding by the model of the store's length, retrieval and submission in one call; begun again, only new tasks are encoded."""
+    import sys
+    import types
+
+    from pyspark import cloudpickle
+
+    plugged = types.ModuleType("plugged_models")
+
+    class Letters:
+        dimension = 26
+
+        def encode(self, items):
+            with open(f"{place}/calls", "a") as out:
+                out.writelines(f"{t}\n" for t in items)
+            return [[1.0 * t.count(chr(97 + k)) for k in range(26)] for t in items]
+
+    class Two:
+        dimension = 2
+
+        def encode(self, items):
+            raise AssertionError("not the model of the store")
+
+    class Parser:
+        def parse(self, queries):
+            return [{"context_before": [q.split(" after ")[1]], "main_shot": q} if " after " in q else None for q in queries]
+
+    place = str(tmp_path)
+    plugged.Letters, plugged.Two, plugged.Parser = Letters, Two, Parser
+    monkeypatch.setitem(sys.modules, "plugged_models", plugged)
+    cloudpickle.register_pickle_by_value(plugged)
+    values = [[1.0 * t.count(chr(97 + k)) for k in range(26)] for t in ("aaa", "abc", "zzz", "xyz")]
+    files = spark.createDataFrame([("v", f"frame_{k * 40:08d}.webp", v) for k, v in enumerate(values)], "video_id string, frame_file string, embedding array<double>")
+    tables.write_frames(tables.indexed(files), f"{place}/store")
+    call = ["--frames", f"{place}/store", "--tasks", f"{place}/tasks.jsonl", "--vectors", f"{place}/vectors", "--output", f"{place}/out.json", "--encoder", "plugged_models:Two", "plugged_models:Letters", "--parser", "plugged_models:Parser"]
+    lines = [{"task_id": 1, "description": "z"}, {"task_id": 2, "description": "a after z"}]
+    (tmp_path / "tasks.jsonl").write_text("\n".join(map(json.dumps, lines)))
+    main(call, spark)
+    first = json.loads((tmp_path / "out.json").read_text())
+    assert [(p["task_id"], p["results"][0]["frame_ms"]) for p in first["predictions"]] == [("1", 80), ("2", 0)]
+    assert sorted((tmp_path / "calls").read_text().split("\n")[:-1]) == ["a after z", "z", "z"]
+    (tmp_path / "tasks.jsonl").write_text("\n".join(map(json.dumps, [*lines, {"task_id": 3, "description": "xyz"}])))
+    main(call, spark)
+    again = json.loads((tmp_path / "out.json").read_text())
+    assert again["predictions"][:2] == first["predictions"] and again["predictions"][2]["results"][0]["frame_ms"] == 120
+    assert sorted((tmp_path / "calls").read_text().split("\n")[:-1]) == ["a after z", "xyz", "z", "z"]
