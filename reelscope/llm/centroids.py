@@ -100,14 +100,14 @@ def first_centroids(kept: DataFrame, k: int, scale: int, seed: str = "1") -> lis
 
 def moved(kept: DataFrame, centroids: list[list[int]], scale: int) -> list[list[int]]:
     """The centroids after a round: the floor of each cluster's mean, and an empty cluster's centroid as it was."""
-    shared = kept.sparkSession.sparkContext.broadcast(Annulus(centroids))
+    shared = kept.sparkSession.sparkContext.broadcast(centroids)
     k, dimension = len(centroids), len(centroids[0])
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each task's count and sums for each cluster; the sums in limbs of 30 bits, so that Spark can add them up whatever their size."""
-        count, total = [0] * k, [[0] * dimension for _ in range(k)]
+        annulus, count, total = Annulus(shared.value), [0] * k, [[0] * dimension for _ in range(k)]
         for _, vectors in _batches(batches, scale, dimension):
-            best, _ = shared.value.nearest(vectors)
+            best, _ = annulus.nearest(vectors)
             for c in np.unique(best).tolist():
                 own = vectors[best == c]
                 count[c] += len(own)
@@ -139,12 +139,13 @@ def limbs(x: int) -> list[int]:
 
 def assigned(kept: DataFrame, centroids: list[list[int]], scale: int) -> DataFrame:
     """vec_id, cluster, distance (squared; LARGEST where it is larger)."""
-    shared = kept.sparkSession.sparkContext.broadcast(Annulus(centroids))
+    shared = kept.sparkSession.sparkContext.broadcast(centroids)
     dimension = len(centroids[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        annulus = Annulus(shared.value)
         for ids, vectors in _batches(batches, scale, dimension):
-            best, least = shared.value.nearest(vectors)
+            best, least = annulus.nearest(vectors)
             yield pa.RecordBatch.from_arrays([ids, pa.array(best, pa.int32()), pa.array([min(int(x), LARGEST) for x in least.tolist()], pa.int64())], ["vec_id", "cluster", "distance"])
 
     kind = kept.schema["vec_id"].dataType.simpleString()
