@@ -158,15 +158,19 @@ class Scan:
         return {name: a.value for name, a in self._counts.items()}
 
 
+def stacked(rows: list[dict]) -> tuple:
+    """What Tasks is made of, as lists and arrays, which a broadcast can carry to workers that do not have this package: ids, main, before and after vectors, who has these two."""
+    width = len(rows[0]["main_vec"])
+    stack = lambda name: np.array([t[name] if t[name] is not None else [0.0] * width for t in rows], np.float64)
+    return [t["task_id"] for t in rows], *map(stack, ("main_vec", "before", "after")), *(np.array([t[name] is not None for t in rows]) for name in ("before", "after"))
+
+
 class Tasks:
     """Vectors of some tasks as matrices (rows of zeros where a task has no such context), and how their frames are ranked."""
 
-    def __init__(self, rows: list[dict], how: Retrieval, by: str):
-        width = len(rows[0]["main_vec"])
-        stack = lambda name: np.array([t[name] if t[name] is not None else [0.0] * width for t in rows], np.float64)
-        self.ids, self.how, self.by, self.width = [t["task_id"] for t in rows], how, by, width
-        self.main, self.before, self.after = stack("main_vec"), stack("before"), stack("after")
-        self.has_before, self.has_after = (np.array([t[name] is not None for t in rows]) for name in ("before", "after"))
+    def __init__(self, made: tuple, how: Retrieval, by: str):
+        self.ids, self.main, self.before, self.after, self.has_before, self.has_after = made
+        self.how, self.by, self.width = how, by, self.main.shape[1]
 
     def pooled(self, vectors: np.ndarray, videos: np.ndarray | None, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For the tasks numbered of: the neighbours' maxima before and after each row."""
@@ -259,10 +263,10 @@ def runs(rows: np.ndarray, window: int) -> list[slice]:
 
 def every_score(blocks: DataFrame, rows: list[dict], how: Retrieval) -> DataFrame:
     """task_id, idx, main, max_before, max_after, score of all rows for all tasks."""
-    shared = blocks.sparkSession.sparkContext.broadcast(Tasks(rows, how, "score"))
+    shared = blocks.sparkSession.sparkContext.broadcast(stacked(rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tasks, by_video = shared.value, how.neighbours == "video"
+        tasks, by_video = Tasks(shared.value, how, "score"), how.neighbours == "video"
         for batch in batches:
             for k in range(batch.num_rows):
                 idx, vectors, videos = _unpacked(batch, k, tasks.width, by_video)
@@ -284,8 +288,7 @@ def scored_blocks(blocks: DataFrame, rows: list[dict], how: Retrieval, tail: int
     Those are the best by `by`, of what is above 0 (or NaN) if that is the score, and what is of index `tail` on. bounds: of a task, what at
     least `candidates` rows of the whole store reach or exceed. scan: counts what is done.
     """
-    tasks = Tasks(rows, how, by)
-    shared = blocks.sparkSession.sparkContext.broadcast((tasks, np.array([(bounds or {}).get(i, -np.inf) for i in tasks.ids])))
+    shared = blocks.sparkSession.sparkContext.broadcast((stacked(rows), np.array([(bounds or {}).get(t["task_id"], -np.inf) for t in rows])))
     told = "centres" in blocks.columns
 
     def score(own: Tasks, best: BestRows, idx: np.ndarray, vectors: np.ndarray, videos: np.ndarray | None, mine: np.ndarray, of: np.ndarray) -> None:
@@ -302,7 +305,7 @@ def scored_blocks(blocks: DataFrame, rows: list[dict], how: Retrieval, tail: int
             best.add(of[j], value[at, j], idx[at], *(x[at, j] for x in (main, *pooled, total)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, first = shared.value
+        own, first = Tasks(shared.value[0], how, by), shared.value[1]
         best = BestRows(len(own.ids), how.candidates, first)
         for batch in batches:
             for k in range(batch.num_rows):
@@ -351,11 +354,10 @@ def first_bounds(blocks: DataFrame, rows: list[dict], how: Retrieval, tail: int,
 
     Reads the summaries of all blocks, and the vectors of as many blocks as tasks times FIRST at most.
     """
-    tasks = Tasks(rows, how, by)
-    shared = blocks.sparkSession.sparkContext.broadcast(tasks)
+    shared = blocks.sparkSession.sparkContext.broadcast(stacked(rows))
 
     def highest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own = Tasks(shared.value, how, by)
         of = np.arange(len(own.ids))
         place, value = np.zeros((0, len(of)), np.int64), np.zeros((0, len(of)))
         for batch in batches:

@@ -20,8 +20,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from reelscope.sources.tables import normalised_metadata
 
-#: Rows that a batch of the reader has.
-ROWS = 4096
+#: Rows that a batch of the reader has, and bytes of a partition where the number of these is not given.
+ROWS, BYTES = 4096, 64_000_000
 
 
 @dataclass(frozen=True)
@@ -58,8 +58,9 @@ class Rows(InputPartition):
 
 
 class MatrixReader(DataSourceReader):
-    def __init__(self, path: str, partitions: int):
-        self.path, self.count, self.header = path, partitions, header(path)
+    def __init__(self, path: str, partitions: int | None):
+        self.path, self.header = path, header(path)
+        self.count = partitions or -(-os.path.getsize(path) // BYTES)
 
     def partitions(self) -> list[Rows]:
         n = self.header.rows
@@ -78,7 +79,7 @@ class MatrixReader(DataSourceReader):
 
 
 class MatrixSource(DataSource):
-    """format("matrix").load(path): idx and embedding of each row; option partitions: ranges of rows (64)."""
+    """format("matrix").load(path): idx and embedding of each row; option partitions: ranges of rows (else by size)."""
 
     @classmethod
     def name(cls) -> str:
@@ -88,13 +89,13 @@ class MatrixSource(DataSource):
         return f"idx long, embedding array<{'float' if header(self.options['path']).kind.itemsize <= 4 else 'double'}>"
 
     def reader(self, schema) -> MatrixReader:
-        return MatrixReader(self.options["path"], int(self.options.get("partitions", "64")))
+        return MatrixReader(self.options["path"], int(self.options.get("partitions", "0")) or None)
 
 
-def read_matrix(spark: SparkSession, path: str, partitions: int = 64) -> DataFrame:
+def read_matrix(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
     """idx and embedding of a matrix file."""
     spark.dataSource.register(MatrixSource)
-    return spark.read.format("matrix").option("partitions", partitions).load(path)
+    return spark.read.format("matrix").option("partitions", partitions or 0).load(path)
 
 
 def read_matrix_store(spark: SparkSession, folder: str, matrix: str = "all_embeddings.npy", metadata: str = "metadata.json") -> DataFrame:

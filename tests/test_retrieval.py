@@ -238,7 +238,7 @@ def test_no_value_beyond_its_bound():
         for how in (Retrieval(), Retrieval(threshold=-0.2, before=-0.3, after=2.0)):
             rows = [{"task_id": str(k), "main_vec": rng.normal(size=8).tolist(), "before": rng.normal(size=8).tolist() if k % 2 else None, "after": rng.normal(size=8).tolist() if k % 3 else None} for k in range(5)]
             for by in op.RANKED_BY:
-                tasks = op.Tasks(rows, how, by)
+                tasks = op.Tasks(op.stacked(rows), how, by)
                 of = np.arange(5)
                 pooled = tasks.pooled(vectors, None, of)
                 rank = {"score": op.combined(vectors @ tasks.main.T, *pooled, how), "max_before": pooled[0], "max_after": pooled[1]}[by][own]
