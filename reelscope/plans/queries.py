@@ -6,6 +6,7 @@ embeddings are frames (label is the video), benchmark items are tasks, lineitem
 from __future__ import annotations
 
 import atexit
+import math
 import os
 import shutil
 import tempfile
@@ -30,7 +31,9 @@ from reelscope.sources.blocks import BlockStore
 from reelscope.sources.images import totals
 from reelscope.sources.matrix import read_matrix_store, write_entries, write_matrix
 from reelscope.sources.tables import catalogue_of, first_of_each, indexed, merged, normalised_metadata, numbered, parsed_of, parts_of, query_list_of, submission, tasks_of
-from reelscope.streaming.resume import resumed, still_open, still_wanted
+from reelscope.streaming.late import rocks, thinned_late
+from reelscope.streaming.once import OnceTable, work_once
+from reelscope.streaming.resume import resumed, run_available, still_open, still_wanted
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -390,6 +393,39 @@ def thinned_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return thinned(_frames(spark, sf_dir).select("video_id", "idx", "embedding"), "idx", "embedding", 0.9, one_minus_dot).select("video_id", "idx", "kept")
 
 
+@query("""WITH RECURSIVE o AS (SELECT label, vec_id, embedding::DOUBLE[] AS e, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings),
+w AS (SELECT label, vec_id, n, e AS last, true AS kept FROM o WHERE n = 1 UNION ALL
+SELECT o.label, o.vec_id, o.n, CASE WHEN 1 - list_dot_product(w.last, o.e) > 0.9 THEN o.e ELSE w.last END, 1 - list_dot_product(w.last, o.e) > 0.9 FROM w JOIN o ON o.label = w.label AND o.n = w.n + 1)
+SELECT 'v' || label AS video_id, vec_id AS idx, false AS late FROM w WHERE kept""")
+def thinned_out_of_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frames that stay, out of a stream that is run as its frames come in: three times, of which each brings frames that should have come before."""
+    place, frames = _folder(spark), _frames(spark, sf_dir).select("video_id", "idx", "embedding", F.lit(False).alias("done"))
+    span = max(1, math.ceil(((frames.agg(F.max("idx")).collect()[0][0] or 0) + 1) / 2))
+    comes = (F.floor(F.col("idx") / span) + F.pmod(F.xxhash64("idx"), F.lit(2))).cast("int")
+    closing = frames.select("video_id").distinct().select("video_id", F.lit(None).cast("long").alias("idx"), F.lit(None).cast(frames.schema["embedding"].dataType).alias("embedding"), F.lit(True).alias("done"))
+    for turn in range(3):
+        came = frames.filter(comes == turn)
+        (came.unionByName(closing) if turn == 2 else came).write.mode("append").parquet(f"{place}/in")
+        stream = spark.readStream.schema(frames.schema).parquet(f"{place}/in")
+        with rocks(spark):
+            run_available(thinned_late(stream, "embedding", 0.9, span, one_minus_dot, end="done"), f"{place}/out", f"{place}/state").awaitTermination()
+    return spark.read.schema("video_id string, idx long, late boolean").parquet(f"{place}/out")
+
+
+@query(f"WITH {_TOP_CTE} SELECT task_id, CAST(rank AS INT) AS rank, idx, round(score, 9) AS score FROM k WHERE rank <= 20")
+def results_of_micro_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best frames of tasks that come in by two batches, kept once each, though a second run reads all tasks again."""
+    place, tasks = _folder(spark), _tasks(spark, sf_dir)
+    table = OnceTable(spark, f"{place}/results", "task_id string, rank int, idx long, score double")
+    for turn in range(2):
+        tasks.filter(F.col("ordinal") % 2 == turn).write.mode("append").parquet(f"{place}/in")
+        for run in ("first", "second"):
+            stream = spark.readStream.schema(tasks.schema).parquet(f"{place}/in")
+            work = lambda batch: top_frames(_frames(batch.sparkSession, sf_dir), batch, Retrieval(candidates=20)).select("task_id", F.col("rank").cast("int"), F.col("idx").cast("long"), F.round("score", 9).alias("score"))
+            work_once(stream, table, run, work, f"{place}/{run}", "task_id").awaitTermination()
+    return table.read()
+
+
 @query("""WITH RECURSIVE o AS (SELECT label, vec_id, embedding::DOUBLE[] AS e, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings),
 w AS (SELECT label, n, e AS last, true AS kept FROM o WHERE n = 1 UNION ALL
 SELECT o.label, o.n, CASE WHEN 1 - list_dot_product(w.last, o.e) > 0.9 THEN o.e ELSE w.last END, 1 - list_dot_product(w.last, o.e) > 0.9 FROM w JOIN o ON o.label = w.label AND o.n = w.n + 1)
