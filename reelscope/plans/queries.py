@@ -33,7 +33,7 @@ from reelscope.sources.matrix import read_matrix_store, write_entries, write_mat
 from reelscope.sources.tables import catalogue_of, first_of_each, indexed, merged, normalised_metadata, numbered, parsed_of, parts_of, query_list_of, submission, tasks_of
 from reelscope.streaming.late import rocks, thinned_late
 from reelscope.streaming.once import OnceTable, work_once
-from reelscope.streaming.resume import resumed, run_available, still_open, still_wanted
+from reelscope.streaming.resume import resumed, still_open, still_wanted
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -398,17 +398,22 @@ w AS (SELECT label, vec_id, n, e AS last, true AS kept FROM o WHERE n = 1 UNION
 SELECT o.label, o.vec_id, o.n, CASE WHEN 1 - list_dot_product(w.last, o.e) > 0.9 THEN o.e ELSE w.last END, 1 - list_dot_product(w.last, o.e) > 0.9 FROM w JOIN o ON o.label = w.label AND o.n = w.n + 1)
 SELECT 'v' || label AS video_id, vec_id AS idx, false AS late FROM w WHERE kept""")
 def thinned_out_of_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The frames that stay, out of a stream that is run as its frames come in: three times, of which each brings frames that should have come before."""
+    """The frames that stay, out of a stream that runs while they come in: three times, and each time some that should have come before."""
     place, frames = _folder(spark), _frames(spark, sf_dir).select("video_id", "idx", "embedding", F.lit(False).alias("done"))
     span = max(1, math.ceil(((frames.agg(F.max("idx")).collect()[0][0] or 0) + 1) / 2))
     comes = (F.floor(F.col("idx") / span) + F.pmod(F.xxhash64("idx"), F.lit(2))).cast("int")
     closing = frames.select("video_id").distinct().select("video_id", F.lit(None).cast("long").alias("idx"), F.lit(None).cast(frames.schema["embedding"].dataType).alias("embedding"), F.lit(True).alias("done"))
-    for turn in range(3):
-        came = frames.filter(comes == turn)
-        (came.unionByName(closing) if turn == 2 else came).write.mode("append").parquet(f"{place}/in")
-        stream = spark.readStream.schema(frames.schema).parquet(f"{place}/in")
-        with rocks(spark):
-            run_available(thinned_late(stream, "embedding", 0.9, span, one_minus_dot, end="done"), f"{place}/out", f"{place}/state").awaitTermination()
+    frames.limit(0).write.parquet(f"{place}/in")
+    with rocks(spark):
+        thinned_now = thinned_late(spark.readStream.schema(frames.schema).parquet(f"{place}/in"), "embedding", 0.9, span, one_minus_dot, end="done")
+        running = thinned_now.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").start()
+    try:
+        for turn in range(3):
+            came = frames.filter(comes == turn)
+            (came.unionByName(closing) if turn == 2 else came).write.mode("append").parquet(f"{place}/in")
+            running.processAllAvailable()
+    finally:
+        running.stop()
     return spark.read.schema("video_id string, idx long, late boolean").parquet(f"{place}/out")
 
 

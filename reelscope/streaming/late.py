@@ -15,22 +15,26 @@ from reelscope.operators.thinning import absolute
 
 #: A video that was closed: no frame of it can still be in time.
 CLOSED = 2**63 - 1
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_ROCKS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 @contextmanager
 def rocks(spark: SparkSession):
-    """Queries started within keep their state in RocksDB, which thinned_late needs. The session's own setting comes back."""
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, _ROCKS)
+    """Queries started within keep their state in RocksDB, which thinned_late needs, and write of it what changed. The session's own settings come back."""
+    before = {name: spark.conf.get(name, None) for name in _ROCKS}
+    for name, value in _ROCKS.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(_PROVIDER)
-        else:
-            spark.conf.set(_PROVIDER, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 class _Thinner(StatefulProcessor):
