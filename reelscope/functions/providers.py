@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import nullcontext
 from typing import Protocol
 
 import numpy as np
@@ -35,18 +36,22 @@ class Encoder(Protocol):
 
 
 def parsed_queries(tasks: DataFrame, parser: QueryParser) -> DataFrame:
-    """task_id and the parts of each task (task_id, description). A query that fails, or raises, is its own main shot without parts."""
+    """task_id and the parts of each task (task_id, description). A query that fails, or raises, is its own main shot without parts.
+
+    A parser with open() is opened once for each partition, and what that gives is closed at the partition's end.
+    """
 
     @F.pandas_udf(PARSED)
     def parts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = ["" if t is None else t for t in batch]
-            try:
-                found = parser.parse(texts)
-            except Exception:  # a parser is a service outside; its failure must not fail the run
-                found = [None] * len(texts)
-            rows = [{**{"context_before": [], "main_shot": t, "context_after": [], "ocr_texts": []}, **(p or {}), "original_query": t} for t, p in zip(texts, found, strict=True)]
-            yield pd.DataFrame(rows, columns=["original_query", "context_before", "main_shot", "context_after", "ocr_texts"])
+        with parser.open() if hasattr(parser, "open") else nullcontext(parser) as own:
+            for batch in batches:
+                texts = ["" if t is None else t for t in batch]
+                try:
+                    found = own.parse(texts)
+                except Exception:  # a parser is a service outside; its failure must not fail the run
+                    found = [None] * len(texts)
+                rows = [{**{"context_before": [], "main_shot": t, "context_after": [], "ocr_texts": []}, **(p or {}), "original_query": t} for t, p in zip(texts, found, strict=True)]
+                yield pd.DataFrame(rows, columns=["original_query", "context_before", "main_shot", "context_after", "ocr_texts"])
 
     return with_defaults(tasks.select("task_id", parts("description").alias("p")).select("task_id", "p.*"))
 
