@@ -7,8 +7,8 @@ judged by them alone. The posterior of a rate gives the verdicts, which are join
 
 - a host is `condemned`, with all its documents, when its rate under some rule, or under any of them, is surely beyond a bound that
   comes from the prior: odds of `odds` times those of all hosts, and half of its documents at least;
-- a host is `trusted` under a soft rule (symbols, repeated lines) when its rate is surely below a share `trust` of that of all
-  hosts; a document that fails a soft rule stays at such a host and goes at any other.
+- a host is `suspect` under a soft rule (symbols, repeated lines) when its rate is surely beyond `suspect` times that of all hosts; a
+  document that fails a soft rule goes at such a host and stays at any other. So where no host tells anything, the base rules decide.
 
 Surely: by `sure` standard deviations of the posterior.
 """
@@ -25,7 +25,7 @@ from .shared import WHITE, WORD, table, written
 #: Bounds of the prior's strength, in documents.
 STRENGTH = (2.0, 1000.0)
 #: What the verdicts are taken by (see above).
-SURE, ODDS, TRUST = 3.0, 4.0, 0.5
+SURE, ODDS, SUSPECT = 3.0, 4.0, 1.5
 SYMBOLS = "#*$%&|<>"
 #: Rules by name, as SQL over the measures; a document that fails a base rule goes at every host.
 BASE = {"short": "n_words < 50", "repeated": "100 * n_repeat_words > 50 * n_words"}
@@ -93,8 +93,8 @@ def prior(n: int, squares: int, hosts: int, failed: int, spread: float) -> tuple
     return mean, min(STRENGTH[1], max(STRENGTH[0], chance / between - 1)) if between > 1e-12 else STRENGTH[1]
 
 
-def host_verdicts(measured: DataFrame, sure: float = SURE, odds: float = ODDS, trust: float = TRUST) -> DataFrame:
-    """host, n_docs, a shrunk rate for each rule and for ANY, condemned, and trusted_<rule> for soft rules, for every host of measured.
+def host_verdicts(measured: DataFrame, sure: float = SURE, odds: float = ODDS, suspect: float = SUSPECT) -> DataFrame:
+    """host, n_docs, a shrunk rate for each rule and for ANY, condemned, and suspect_<rule> for soft rules, for every host of measured.
 
     measured: host and a boolean for each rule. Documents of a null host are one host. The driver sees one row of sums.
     """
@@ -105,7 +105,7 @@ def host_verdicts(measured: DataFrame, sure: float = SURE, odds: float = ODDS, t
     found = hosts.agg(
         F.sum("n_docs").alias("n"), F.sum((n * n).cast("double")).alias("squares"), F.count(F.lit(1)).alias("hosts"), *(F.sum(r).alias(r) for r in rules), *(F.sum(F.col(r) * F.col(r) / n).alias(f"spread_{r}") for r in rules)
     ).collect()[0]
-    condemned, shrunk, trusted = F.lit(False), [], []
+    condemned, shrunk, suspects = F.lit(False), [], []
     for r in rules:
         mean, strength = prior(found["n"] or 0, found["squares"] or 0, found["hosts"], found[r] or 0, found[f"spread_{r}"] or 0.0)
         rate = (F.col(r) + mean * strength) / (n + strength)
@@ -114,26 +114,26 @@ def host_verdicts(measured: DataFrame, sure: float = SURE, odds: float = ODDS, t
         condemned = condemned | (rate - margin > bound_)
         shrunk.append(rate.alias(f"rate_{r}"))
         if r in SOFT:
-            trusted.append((rate + margin < trust * mean).alias(f"trusted_{r}"))
-    return hosts.select("host", "n_docs", *shrunk, condemned.alias("condemned"), *trusted)
+            suspects.append((rate - margin > suspect * mean).alias(f"suspect_{r}"))
+    return hosts.select("host", "n_docs", *shrunk, condemned.alias("condemned"), *suspects)
 
 
-def judged(docs: DataFrame, sure: float = SURE, odds: float = ODDS, trust: float = TRUST) -> DataFrame:
+def judged(docs: DataFrame, sure: float = SURE, odds: float = ODDS, suspect: float = SUSPECT) -> DataFrame:
     """The measures of each row of docs, a boolean for each rule, base_failed, the host's verdicts, and kept.
 
     A null text has no words and fails. Repeated rows count again. An empty table gives an empty result; other columns are not
     looked at.
     """
     measured = written(measures(docs), "measures").select("*", *(F.expr(sql).alias(r) for r, sql in RULES.items()))
-    hosts = host_verdicts(measured, sure, odds, trust).drop("n_docs").withColumnRenamed("host", "of_host")
+    hosts = host_verdicts(measured, sure, odds, suspect).drop("n_docs").withColumnRenamed("host", "of_host")
     joined = measured.join(hosts, F.col("host").eqNullSafe(F.col("of_host"))).drop("of_host")
     joined = joined.withColumn("base_failed", reduce(Column.__or__, (F.col(r) for r in BASE)))
-    soft = reduce(Column.__or__, (F.col(r) & ~F.col(f"trusted_{r}") for r in SOFT))
+    soft = reduce(Column.__or__, (F.col(r) & F.col(f"suspect_{r}") for r in SOFT))
     return joined.withColumn("kept", ~(F.col("base_failed") | F.col("condemned") | soft))
 
 
 def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The base measures of every document, and kept: it fails no base rule, its host is not condemned, and it fails no soft rule that its host is not trusted under.
+    """The base measures of every document, and kept: it fails no base rule, its host is not condemned, and it fails no soft rule that its host is suspect under.
 
     A null text has no words, so it fails; rows that repeat are rows of their own; an empty table gives no row.
     """
@@ -151,8 +151,8 @@ def _sql() -> str:
     rates = ", ".join(f"({r} + m_{r} * t_{r}) / (n + t_{r}) AS r_{r}" for r in rules)
     margins = ", ".join(f"{SURE}::DOUBLE * sqrt(r_{r} * (1 - r_{r}) / (n + t_{r} + 1)) AS e_{r}" for r in rules)
     condemned = " OR ".join(f"r_{r} - e_{r} > greatest(0.5::DOUBLE, {ODDS}::DOUBLE * m_{r} / (1 - m_{r} + {ODDS}::DOUBLE * m_{r}))" for r in rules)
-    trusted = ", ".join(f"r_{r} + e_{r} < {TRUST}::DOUBLE * m_{r} AS trusted_{r}" for r in SOFT)
-    soft = " OR ".join(f"({x}) AND NOT trusted_{r}" for r, x in SOFT.items())
+    suspects = ", ".join(f"r_{r} - e_{r} > {SUSPECT}::DOUBLE * m_{r} AS suspect_{r}" for r in SOFT)
+    soft = " OR ".join(f"({x}) AND suspect_{r}" for r, x in SOFT.items())
     return _MEASURES + f"""b AS (SELECT *, {" OR ".join(BASE.values())} AS base_failed FROM m),
 h AS (SELECT source, count(*) AS n, {sums} FROM b GROUP BY source),
 p AS (SELECT sum(n) AS n, count(*) AS k, sum((n * n)::DOUBLE) / (sum(n)::DOUBLE * sum(n)) AS q, {moments} FROM h),
@@ -160,7 +160,7 @@ v AS (SELECT *, {between} FROM p),
 w AS (SELECT * EXCLUDE (n), {strength} FROM v),
 g AS (SELECT h.*, w.*, {rates} FROM h, w),
 j AS (SELECT *, {margins} FROM g),
-x AS (SELECT source, {condemned} AS condemned, {trusted} FROM j)
+x AS (SELECT source, {condemned} AS condemned, {suspects} FROM j)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR condemned OR {soft}) AS kept
 FROM b JOIN x ON b.source IS NOT DISTINCT FROM x.source
 """

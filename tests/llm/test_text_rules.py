@@ -55,7 +55,7 @@ JUNK = lambda k: " ".join(f"w{k}x{j} ##" for j in range(60))
 
 
 def plain_verdicts(rows):
-    """Hosts condemned and hosts trusted by rule, as the module's docstring has it."""
+    """Hosts condemned and hosts suspect by rule, as the module's docstring has it."""
     from math import sqrt
 
     fails = {"short": lambda m: m[0] < 50, "repeated": lambda m: 2 * m[4] > m[0], "symbols": lambda m: 2 * m[2] > m[0], "lines": lambda m: m[3] >= 2 and 10 * m[3] > 3 * m[5]}
@@ -64,7 +64,7 @@ def plain_verdicts(rows):
     for _, text, host in rows:
         lines = [x for x in (text or "").split("\n") if WORDS.search(x)]
         by_host.setdefault(host, []).append((*measured(text), len(lines)))
-    condemned, trusted = set(), {"symbols": set(), "lines": set()}
+    condemned, suspect = set(), {"symbols": set(), "lines": set()}
     total = len(rows)
     for rule, fail in fails.items():
         counts = {h: (len(ms), sum(map(fail, ms))) for h, ms in by_host.items()}
@@ -78,9 +78,9 @@ def plain_verdicts(rows):
             margin = 3 * sqrt(rate * (1 - rate) / (n + strength + 1))
             if rate - margin > max(0.5, 4 * mean / (1 + 3 * mean)):
                 condemned.add(h)
-            if rule in trusted and rate + margin < mean / 2:
-                trusted[rule].add(h)
-    return condemned, trusted
+            if rule in suspect and rate - margin > 1.5 * mean:
+                suspect[rule].add(h)
+    return condemned, suspect
 
 
 def test_hosts_are_judged_and_shrunk(spark):
@@ -88,17 +88,19 @@ def test_hosts_are_judged_and_shrunk(spark):
     rows += [(300 + k, GOOD(k), "fine") for k in range(2000)] + [(2300, JUNK(1), "fine"), (2301, "x y z\n" * 30, "fine")]
     rows += [(3000 + k, JUNK(k) if k % 3 == 0 else GOOD(k), "mixed") for k in range(600)]
     rows += [(4000, "short", "tiny"), (4001, GOOD(1), "tiny"), (4002, GOOD(1), None), (4003, JUNK(2), None), (4003, JUNK(2), None)]
-    condemned, trusted = plain_verdicts(rows)
-    assert condemned == {"bad"} and trusted["symbols"] == {"bad", "fine"}
+    condemned, suspect = plain_verdicts(rows)
+    assert condemned == {"bad"} and suspect == {"symbols": {"mixed"}, "lines": set()}
     frame = host_rules.judged(rows_of(spark, rows))
     found = frame.collect()
     assert len(found) == len(rows)
     assert {r["host"] for r in found if r["condemned"]} == condemned
-    assert all({r["host"] for r in found if r[f"trusted_{x}"]} == trusted[x] for x in trusted)
+    assert all({r["host"] for r in found if r[f"suspect_{x}"]} == suspect[x] for x in suspect)
     got = {r["doc_id"]: r for r in found}
     assert not any(got[170 + k]["kept"] or got[170 + k]["base_failed"] for k in range(30))  # the host's verdict, not the document's
-    assert got[2300]["kept"] and got[2300]["symbols"] and got[300]["kept"]  # a soft failure at a trusted host
-    assert not got[3000]["kept"] and not got[3000]["base_failed"] and got[3001]["kept"] and not got[4003]["kept"]
+    assert got[2300]["kept"] and got[2300]["symbols"] and got[300]["kept"]  # a soft failure at a host that says nothing
+    assert not got[3000]["kept"] and not got[3000]["base_failed"] and got[3001]["kept"] and got[4003]["kept"] and got[4003]["symbols"]
+    by_host = [r["host"] for r in found if not r["base_failed"] and not r["kept"]]
+    assert {h: by_host.count(h) for h in set(by_host)} == {"bad": 30, "mixed": 200}  # verdicts that only the host decides
     assert not got[4000]["kept"] and got[4001]["kept"] and got[4002]["kept"] and got[4000]["rate_short"] < 1.0
     assert host_rules.judged(rows_of(spark, [])).count() == 0
     assert "Python" not in frame._jdf.queryExecution().executedPlan().toString()
@@ -107,7 +109,9 @@ def test_hosts_are_judged_and_shrunk(spark):
 def test_equal_hosts_are_left_alone(spark):
     rows = [(100 * h + k, "short" if k % 4 == h % 2 else GOOD(k), f"h{h}") for h in range(10) for k in range(40)]
     assert plain_verdicts(rows) == (set(), {"symbols": set(), "lines": set()})
-    assert all(r["kept"] != r["base_failed"] for r in host_rules.judged(rows_of(spark, rows)).collect())
+    rows += [(5000 + k, JUNK(k), f"h{k % 10}") for k in range(20)]
+    found = host_rules.judged(rows_of(spark, rows)).collect()
+    assert sum(r["symbols"] for r in found) == 20 and all(r["kept"] != r["base_failed"] for r in found)
 
 
 # --- secrets
