@@ -62,7 +62,8 @@ class _Thinner(StatefulProcessor):
             self.waiting.put(list(frames.items()))
         elif self.waiting.exists():
             self.waiting.clear()
-        self.place.update((seen, max(decided, upto), None if last is None else last.tolist(), self._timer(timer, bool(frames))))
+        goes_on = last is not None and upto < CLOSED  # of a closed video only that it is closed stays
+        self.place.update((seen, max(decided, upto), last.tolist() if goes_on else None, self._timer(timer, bool(frames))))
         rows = [(at, False) for at in kept] + [(at, True) for at in tardy]
         columns = {self.by: [key[0]] * len(rows), self.order: [at for at, _ in rows], "late": [x for _, x in rows]}
         return pd.DataFrame({name: pd.Series(values, dtype=object) for name, values in columns.items()})  # Spark joins those of several videos, which must not be in pandas' string type
@@ -122,6 +123,7 @@ def thinned_late(
     bound. What waits is decided when the video closes (a row whose column `end` is true, which is no frame itself), or when it has been
     silent for `quiet` milliseconds. Without either, the last `late` places of a video wait for frames to come. A frame that comes again
     while it waits counts once; one at a place that is decided, closed videos' too, is given as late: nothing goes unseen.
+    The state of a video is its last kept frame and what waits; once closed, a few numbers.
 
     kept (by, order, feature): frames that stayed in earlier runs, of which the last of each video is what its first frame here is held
     against. Rows of a null place are left out. Start the query within rocks().
