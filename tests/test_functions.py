@@ -63,6 +63,29 @@ def test_partial_ratio_against_all_stretches(a, b):
     assert text.partial_ratio(a, b) == round(want * 100)
 
 
+def test_a_long_text_is_not_compared_place_by_place(monkeypatch):
+    """Work that grew with both lengths: strands through the whole grid of a target and a text."""
+    rng, cells, strands = np.random.default_rng(3), [], text.strands
+    prose = lambda n: "".join(rng.choice(["the ", "er", "an", "tion ", "in", "ou", "s ", "e", "l", "d "], n))
+    monkeypatch.setattr(text, "strands", lambda a, others: cells.append(len(a) * sum(map(len, others))) or strands(a, others))
+    target, others = prose(120), [prose(n) for n in (200, 2000, 8000)]
+    others.append(others[1] + target[:90] + "?" + target[90:] + others[0])
+    want = [round(text.best_stretch(len(target), strands(text.points(target), [text.points(b)])[0]) * 100) for b in others]
+    assert text.partial_ratios(target, others) == want and want[3] > 95
+    assert sum(cells) < len(target) * sum(map(len, others)) / 10
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text("abc d", min_size=1, max_size=50), st.lists(st.tuples(st.text("abcd ñ\U0001f600", max_size=150), st.integers(1, 4)), min_size=1, max_size=4), st.booleans(), st.booleans())
+def test_bounds_leave_out_no_best_stretch(a, others, many, few_bits):
+    own, others = text.points(a), [text.points(b * times + a[::-1]) for b, times in others]
+    want = [round(text.best_stretch(len(own), text.strands(own, [b])[0]) * 100) for b in others]
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(text, "_MANY", 0 if many else 10**9)
+        patch.setattr(text, "_BITS", 64 if few_bits else 1 << 18)
+        assert text.stretch_ratios(own, others) == want
+
+
 def test_names(spark):
     rows = spark.createDataFrame([(8, 30.0, "frame_00012.jpg"), (30, 29.97, "bad"), (60, 23.976, None)], "k int, fps double, f string")
     ms = text.milliseconds(F.col("k"), F.col("fps"))
